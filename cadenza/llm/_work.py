@@ -46,21 +46,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def ranked(df: DataFrame, key: Column, order: list[Column], *, rows: int, out: str, spread: Column) -> DataFrame:
-    """Add ``out``: a gapless rank from 0 among the rows of ``key``, without a task that holds all rows of a key.
+def running(df: DataFrame, key: Column, order: list[Column], *, out: str, group: Column, value: Column | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` (or the count) over the rows of ``key`` that come before, in two levels.
 
-    ``spread`` must be a function of the row's values; it deals the rows of a key into groups of about RANK_GROUP_ROWS.
-    Ranks run group by group, and by ``order`` inside a group.
+    ``group`` deals the rows of a key into groups of a bounded size and must be a function of the row's values. The
+    order runs group by group, and by ``order`` inside a group, so no task has to hold all rows of a key.
     """
-    groups = max(1, -(-rows // RANK_GROUP_ROWS))
-    df = df.withColumn("_k", key).withColumn("_g", F.pmod(spread, F.lit(groups)))
-    within = Window.partitionBy("_k", "_g").orderBy(*order)
+    df = df.withColumn("_k", key).withColumn("_g", group).withColumn("_v", (F.lit(1) if value is None else value).cast("long"))
+    within = Window.partitionBy("_k", "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("_k").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("_k", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy("_k", "_g").agg(F.sum("_v").alias("_n"))
     starts = sizes.select(F.col("_k").alias("_sk"), F.col("_g").alias("_sg"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (
-        df.withColumn("_r", F.row_number().over(within) - 1)
+        df.withColumn("_r", F.coalesce(F.sum("_v").over(within), F.lit(0)))
         .join(starts, F.col("_k").eqNullSafe(F.col("_sk")) & (F.col("_g") == F.col("_sg")))
         .withColumn(out, F.col("_start") + F.col("_r"))
-        .drop("_k", "_g", "_r", "_sk", "_sg", "_start")
+        .drop("_k", "_g", "_v", "_r", "_sk", "_sg", "_start")
     )
+
+
+def dealt(spread: Column, rows: int) -> Column:
+    """A group number for ``running``: hash groups of about RANK_GROUP_ROWS of the ``rows`` rows."""
+    return F.pmod(spread, F.lit(max(1, -(-rows // RANK_GROUP_ROWS))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, quality_pu, quality_rules, sharding, simhash
+from cadenza.llm import language, mixing, quality_pu, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "_found.*")
 
 
+def op6_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.totals(mixing.mix(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_pu.score(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +48,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
     "op5_bitmask_language": op5_bitmask_language,
+    "op6_golden_mix": op6_golden_mix,
     "op7_pu_quality": op7_pu_quality,
     "op8_hashed_quality_rules": op8_hashed_quality_rules,
     "op10_simhash_tiles": op10_simhash_tiles,

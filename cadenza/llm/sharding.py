@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import ranked, written
+from cadenza.llm._work import dealt, running, written
 
 STEP = np.uint64(2862933555777941757)
 
@@ -50,7 +50,6 @@ def assign(docs: DataFrame, *, shards: int = 16, key: str = "doc_id", text: str
     Slots are gapless from 0 in each shard. They are ranked in hash groups of the rows of a shard, so that no task has
     to hold a shard; only ids and sizes are shuffled, never texts.
     """
-    spark = docs.sparkSession
     keyed = docs.select(
         F.col(key).alias("key"),
         F.xxhash64(F.col(key)).alias("hashed"),
@@ -61,12 +60,11 @@ def assign(docs: DataFrame, *, shards: int = 16, key: str = "doc_id", text: str
         keyed.withColumn("shard", jump_shard("hashed", F.lit(shards))).withColumn("grown_shard", jump_shard("hashed", F.lit(shards + 1))),
         "sharding",
     )
-    slots = ranked(
+    slots = running(
         placed,
         F.col("shard"),
         [F.col("key"), F.col("text_crc32"), F.col("size")],
-        rows=placed.count() // shards,
         out="slot",
-        spread=F.xxhash64("key", "text_crc32"),
+        group=dealt(F.xxhash64("key", "text_crc32"), placed.count() // shards),
     )
     return slots.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
