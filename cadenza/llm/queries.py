@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, mixing, quality_pu, quality_rules, sharding, simhash
+from cadenza.llm import language, mixing, packing, quality_pu, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids column replaced by the crc32 of the ids as little-endian unsigned 32-bit numbers."""
+    for batch in batches:
+        ids = batch.column("ids")
+        data, bounds = ids.values.to_numpy().astype("<u4").data.cast("B"), ids.offsets.to_numpy()
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        rest = [batch.column(c) for c in batch.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(crc, pa.int64())], [*(c for c in batch.schema.names if c != "ids"), "ids_crc32"])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pieces(docs)
+    kind = pieces.schema["key"].dataType.simpleString()
+    digests = pieces.mapInArrow(ids_digests, f"key {kind}, piece int, start long, length long, part int, nth long, ids_crc32 long")
+    placed = packing.place(digests, pieces)
+    return placed.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op2_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -46,6 +71,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minimum_slack_packing": op2_minimum_slack_packing,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_bitmask_language": op5_bitmask_language,
     "op6_golden_mix": op6_golden_mix,
