@@ -10,13 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, mixing, packing, quality_pu, quality_rules, sharding, simhash
+from cadenza.llm import language, mixing, packing, quality_pu, quality_rules, sharding, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = {"com/": urls.ALLOW, "example.com/en/": urls.BLOCK, "www.example.com/en/": urls.ALLOW, "net/es/": urls.BLOCK, "net/fr/": urls.BLOCK}
+
+
+def op1_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES, urls.fit(urls.labelled_by_rules(pages, URL_RULES)))
+
+
 def ids_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids column replaced by the crc32 of the ids as little-endian unsigned 32-bit numbers."""
     for batch in batches:
@@ -71,6 +79,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_url_filter": op1_boosted_url_filter,
     "op2_minimum_slack_packing": op2_minimum_slack_packing,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_bitmask_language": op5_bitmask_language,
