@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, mixing, packing, quality_pu, quality_rules, sharding, simhash, urls
+from cadenza.llm import language, mixing, neighbours, packing, quality_pu, quality_rules, sharding, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op2_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.build(warc.write(pages, least=0))
+    found = warc.lookup(pages.select(warc.url_key(F.col("url")).alias("url_key")), index)
+    return warc.read(found, index.captures, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -78,14 +85,20 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, nearest_rows=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_url_filter": op1_boosted_url_filter,
     "op2_minimum_slack_packing": op2_minimum_slack_packing,
+    "op3_warc_capture_index": op3_warc_capture_index,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_bitmask_language": op5_bitmask_language,
     "op6_golden_mix": op6_golden_mix,
     "op7_pu_quality": op7_pu_quality,
     "op8_hashed_quality_rules": op8_hashed_quality_rules,
+    "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
 
