@@ -199,13 +199,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(key, fp, component_id) of each row."""
+    """(key, fp, component_id, root) of each row; root is the component's smallest fingerprint and names it for sure, as
+    an id may come in more than one."""
     small_batches(docs.sparkSession)
     marked = written(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), F.lit(shingle)).alias("fp")), "marked")
     roots = components(tile_links(marked, radius=radius))
     first = marked.groupBy("fp").agg(F.min("key").alias("first"))
     member = roots.union(roots.select("root", "root").distinct())
     lowest = member.join(first, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("lowest"))
-    merged = member.join(lowest, "root").select(F.col("node").alias("fp"), "lowest")
-    named = written(first.join(merged, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "named")
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    merged = member.join(lowest, "root").select(F.col("node").alias("fp"), "lowest", "root")
+    named = written(first.join(merged, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
+    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays. Rows without an
+    id stay only where no row of their component has one; of rows that repeat an id, one stays."""
+    found = written(linked(docs, key=key, text=text, shingle=shingle, radius=radius).withColumnRenamed(key, "_key"), "linked")
+    rows = found.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = found.where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key", "root").agg(F.min("fp").alias("_fp"))
+    kept = written(kept.join(rows.withColumnRenamed("_key", "_same"), F.col("_key").eqNullSafe(F.col("_same"))).select("_key", "_fp", "_rows"), "kept")
+    once, again = kept.where("_rows = 1 and _key is not null"), kept.where("_rows > 1 or _key is null")
+    single = docs.join(once.select("_key"), F.col(key) == F.col("_key"), "left_semi")
+    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(fingerprints(F.col(text), F.lit(shingle)) == F.col("_fp"))
+    return single.unionByName(repeated.dropDuplicates(["_key", "_fp"]).select(docs.columns))
