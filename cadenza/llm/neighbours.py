@@ -152,7 +152,7 @@ def compared(size: int, most: int):
                 keep = min(len(ids), most + 4)
                 close = np.partition(square, keep - 1, axis=1)[:, keep - 1] if keep else np.zeros(0)
                 i, j = np.nonzero(square <= np.minimum(limit, close)[:, None] + slack)
-                exact = ((x[i] - y[j]) ** 2).sum(axis=1)
+                exact = np.cumsum((x[i] - y[j]) ** 2, axis=1)[:, -1]  # term by term, as SQL adds
                 order = np.lexsort((ids[j], exact, i))
                 i, j, exact = i[order], j[order], exact[order]
                 first = np.searchsorted(i, np.arange(len(asked)))
