@@ -6,6 +6,7 @@ n-grams don't cross a cut, all its bytes count.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,19 +168,44 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 
 class Rows:
-    """Sparse rows for a linear model."""
+    """Sparse rows for a linear model. Products go over STEP entries at a time, so that little is copied."""
+
+    STEP = 1 << 19
 
     def __init__(self, ids: list[np.ndarray], shares: list[np.ndarray]):
         self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         self.ids = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
         self.shares = np.concatenate(shares) if len(shares) else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+
+    def blocks(self) -> Iterator[tuple[slice, slice]]:
+        row, n = 0, len(self.bounds) - 1
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(self.bounds, self.bounds[row] + self.STEP, side="right")) - 1)
+            yield slice(row, end), slice(self.bounds[row], self.bounds[end])
+            row = end
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.shares * weights[self.ids], minlength=len(self.bounds) - 1)
+        out = np.zeros(len(self.bounds) - 1)
+        for rows, at in self.blocks():
+            running = np.concatenate([[0.0], np.cumsum(self.shares[at] * weights[self.ids[at]])])
+            bounds = self.bounds[rows.start : rows.stop + 1] - at.start
+            out[rows] = running[bounds[1:]] - running[bounds[:-1]]
+        return out
 
     def back(self, per_row: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.ids, self.shares * per_row[self.row], minlength=size)
+        out = np.zeros(size)
+        for rows, at in self.blocks():
+            each = np.repeat(per_row[rows], np.diff(self.bounds[rows.start : rows.stop + 1]))
+            out += np.bincount(self.ids[at], self.shares[at] * each, minlength=size)
+        return out
+
+
+def gathered(table: pa.Table) -> list[tuple[float, np.ndarray, np.ndarray, bytes]]:
+    """(y, ids, shares, dense) of the rows of a bounded sample, in an order that doesn't depend on tasks."""
+    cols = [table.column(c).to_pylist() for c in ("y", "ids", "shares")]
+    dense = table.column("dense").to_pylist() if "dense" in table.column_names else [b""] * table.num_rows
+    rows = sorted(zip(*cols, dense, strict=True), key=lambda x: (zlib.crc32(x[1]), x[0], x[1]))
+    return [(y, np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), d) for y, i, s, d in rows]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,12 +1,12 @@
 """A quality classifier by positive-unlabelled learning.
 
 Trusted positives are the rows labelled 1; the rest of the text is unlabelled. A linear model over hashed n-grams and a
-few densities minimises the non-negative unbiased risk with logistic loss,
+few densities minimises the non-negative unbiased risk with the sigmoid loss, loss(z) = sigmoid(-z),
 
     prior * mean_P loss(+z) + max(0, mean_U loss(-z) - prior * mean_P loss(-z)),
 
-and where the second part turns negative, the step goes against it, as the method has it. With logistic loss the
-sigmoid of the margin estimates the probability of label 1, so it is the score. The prior is the share of label 1 among
+and where the second part turns negative, the step goes against it, as the method has it. The loss is bounded, so that
+chance in the sample's share of label 1 doesn't outweigh the rest. The sigmoid of the margin is the score. The prior is the share of label 1 among
 the labelled rows that may be learned from, or is given.
 
 Nulls: a null text counts as empty, and empty texts get a score; rows with a null doc_id or label aren't learned from.
@@ -30,10 +30,12 @@ from cadenza.llm._work import small_batches
 from cadenza.llm.language import held_out
 
 #: Trusted positives and unlabelled texts that the model is fitted to: hash samples of about these sizes.
-POSITIVE_ROWS = 1500
-UNLABELLED_ROWS = 3000
+POSITIVE_ROWS = 1000
+UNLABELLED_ROWS = 2000
 PREDICT_FROM = 0.3
-DENSITIES = 8
+#: A hashed n-gram that fewer texts of the sample share has no weight: the model would know texts by heart.
+LEAST_TEXTS = 0.02
+DENSITIES = 9
 MARKS = np.zeros(256, bool)
 MARKS[list(b"#*$%&|<>!@[]{}=\\^~_")] = True
 UPPER = np.zeros(256, bool)
@@ -43,7 +45,8 @@ DIGIT[48:58] = True
 
 
 def densities(texts: list[bytes]) -> np.ndarray:
-    """Log of the word count, shares of distinct words and pairs, and densities of marks, capitals, digits, lines."""
+    """Log of the word count, shares of distinct words and pairs and of words like the one before, and densities of
+    marks, capitals, digits, lines and characters a word."""
     out = np.zeros((len(texts), DENSITIES))
     for k, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8)
@@ -54,6 +57,7 @@ def densities(texts: list[bytes]) -> np.ndarray:
             np.log1p(n),
             len(set(words)) / max(1, n),
             len(set(zip(words, words[1:]))) / max(1, n - 1),  # noqa: B905
+            sum(map(bytes.__eq__, words, words[1:])) / max(1, n - 1),
             np.count_nonzero(MARKS[data]) / chars,
             np.count_nonzero(UPPER[data]) / chars,
             np.count_nonzero(DIGIT[data]) / chars,
@@ -98,19 +102,21 @@ def sampled(docs: DataFrame, marked: DataFrame, label: int, positive_rows: int,
     return rows, ones / n if n else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, epochs: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, epochs: int = 300) -> Model:
     small_batches(docs.sparkSession)
     rows, share = sampled(docs, labels, 1, positive_rows, unlabelled_rows)
     prior = prior if prior is not None else share
     prior = 0.5 if prior is None else min(max(prior, 0.01), 0.99)
-    got = rows.mapInArrow(vectors, "y double, ids binary, shares binary, dense binary").toPandas().sort_values(["y", "ids", "dense"], kind="stable")
-    y = got["y"].to_numpy(float)
+    got = X.gathered(rows.mapInArrow(vectors, "y double, ids binary, shares binary, dense binary").toArrow())
+    y = np.array([x[0] for x in got])
     size = len(X.FAMILIES) * X.SIZE
     none = np.log(prior / (1 - prior))
     if not 0 < y.sum() < len(y):
         return Model(np.zeros((len(X.FAMILIES), X.SIZE), np.float32), np.zeros(DENSITIES), np.zeros(DENSITIES), np.ones(DENSITIES), none)
-    sparse = X.Rows([np.frombuffer(x, np.int32) for x in got["ids"]], [np.frombuffer(x, np.float32) for x in got["shares"]])
-    dense = np.stack([np.frombuffer(x) for x in got["dense"]])
+    shared = np.bincount(np.concatenate([x[1] for x in got]), minlength=size) >= max(3, LEAST_TEXTS * len(got))
+    sparse = X.Rows([x[1][shared[x[1]]] for x in got], [x[2][shared[x[1]]] for x in got])
+    dense = np.stack([np.frombuffer(x[3]) for x in got])
+    del got
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     dense = ((dense - mean) / scale).clip(-6, 6)
     weights, extra, bias = np.zeros(size), np.zeros(DENSITIES), none
@@ -120,15 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, posit
         z = sparse.times(weights) + dense @ extra + bias
         p = X.sigmoid(z)
         negative = np.where(unl, 1 / unl.sum(), -prior / pos.sum())  # weights of loss(-z) in the second part
-        second = float(negative @ np.logaddexp(0, z))
-        if second >= 0:
-            slope = negative * p + np.where(pos, prior / pos.sum(), 0) * (p - 1)
+        steep = p * (1 - p)
+        if float(negative @ p) >= 0:
+            slope = (negative - np.where(pos, prior / pos.sum(), 0)) * steep
         else:
-            slope = -negative * p
+            slope = -negative * steep
         back, back_extra, back_bias = sparse.back(slope, size) + 1e-7 * weights, dense.T @ slope + 1e-3 * extra, slope.sum()
         seen, seen_extra, seen_bias = seen + back**2, seen_extra + back_extra**2, seen_bias + back_bias**2
-        weights -= 2.0 * back / np.sqrt(seen)
-        extra -= 0.2 * back_extra / np.sqrt(seen_extra)
+        weights -= 0.5 * back / np.sqrt(seen)
+        extra -= 0.3 * back_extra / np.sqrt(seen_extra)
         bias -= 0.2 * back_bias / np.sqrt(seen_bias)
     return Model(weights.reshape(len(X.FAMILIES), X.SIZE).astype(np.float32), extra, mean, scale, float(bias))
 

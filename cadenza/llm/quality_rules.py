@@ -94,13 +94,6 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in shares], pa.binary())], ["y", "ids", "shares"])
 
 
-def gathered(sampled: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """The sparse rows of a bounded sample, in an order that doesn't depend on tasks."""
-    rows = sampled.mapInArrow(vectors, "y double, ids binary, shares binary").toPandas().sort_values(["y", "ids", "shares"], kind="stable")
-    rows = rows.sample(frac=1, random_state=8) if len(rows) else rows
-    return rows["y"].to_numpy(float), [np.frombuffer(x, np.int32) for x in rows["ids"]], [np.frombuffer(x, np.float32) for x in rows["shares"]]
-
-
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve that fits best, by Newton's method with smoothed targets."""
     n1, n0 = y.sum(), (1 - y).sum()
@@ -118,7 +111,8 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, epochs: int = 80) -> Model | None:
-    y, ids, shares = gathered(sample(docs, labels, "quality", rows))
+    got = X.gathered(sample(docs, labels, "quality", rows).mapInArrow(vectors, "y double, ids binary, shares binary").toArrow())
+    y, ids, shares = np.array([x[0] for x in got]), [x[1] for x in got], [x[2] for x in got]
     held = np.arange(len(y)) % 4 == 0
     if not all(0 < y[part].sum() < part.sum() for part in (held, ~held)):
         return None
