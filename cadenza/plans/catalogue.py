@@ -5,16 +5,22 @@ Arrays are joined to text, so that any engine compares them alike.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza import dims
 from cadenza.functions import theory as th
 from cadenza.operators import documents as docs
 from cadenza.operators import harmony, layout, library, playback, progressions, quiz, scales
 from cadenza.plans import bindings as bind
+from cadenza.sources import gp, shared
+from cadenza.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,16 +226,15 @@ def segment_coverage(spark, sf_dir):
 # quiz
 
 
-def quiz_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events are quiz actions of a session: views ask, clicks and purchases answer right, signups start anew."""
-    ev = bind.table(spark, sf_dir, "events")
+def quiz_actions(ev: DataFrame) -> DataFrame:
+    """Events are quiz actions of a session: every third asks, clicks and purchases answer right, signups start anew."""
     kind = F.when(F.col("event_type") == "signup", "resetScore").when(F.col("event_id") % 23 == 0, "changeMode").when(F.col("event_id") % 3 == 0, "question").otherwise("answer")
     return ev.select(F.col("user_id").alias("session"), "ts", "event_id", kind.alias("action"), F.col("event_type").isin("click", "purchase").alias("ok"))
 
 
 @query
 def quiz_scores(spark, sf_dir):
-    made = quiz.scores(quiz_actions(spark, sf_dir), order=["ts", "event_id"])
+    made = quiz.scores(quiz_actions(bind.table(spark, sf_dir, "events")), order=["ts", "event_id"])
     share = quiz.percent(F.col("correct"), F.col("total"))
     return made.select("session", "event_id", "correct", "total", "streak", "best_streak", share.alias("percent"), quiz.band(share).alias("band"))
 
@@ -500,7 +505,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = bind.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_bars"))
     orders = bind.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("section"), "o_orderpriority")
     rows = orders.join(line, F.col("section") == F.col("l_orderkey"), "left")
-    comment = F.when(F.col("section") % 3 == 0, F.concat_ws(" ", "o_orderpriority", "o_orderpriority", "o_orderpriority", "o_orderpriority"))
+    word = F.replace("o_orderpriority", F.lit(" "), F.lit(""))
+    comment = F.when(F.col("section") % 3 == 0, F.concat_ws(" ", word, word, word, word))
     per_row = F.when(F.col("section") % 5 == 0, (F.col("section") % 4 + 2).cast("int"))
     sized = rows.select("doc", "section", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), per_row.alias("bars_per_row"), comment.alias("comment"))
     return layout.section_boxes(sized, "a4")
@@ -526,5 +532,90 @@ def bar_dots(spark, sf_dir):
 
 @query
 def layout_flow(spark, sf_dir):
-    """Sections flow into two columns a page; a fold, so SQL has no plain equivalent."""
-    return layout.flow(boxes(spark, sf_dir), "a4", header=20.0)
+    """Sections flow into two columns a page."""
+    return layout.flow(boxes(spark, sf_dir), "a4", header=20.0).withColumn("y", F.round("y", 3))
+
+
+# streams
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream."""
+    return spark.readStream.schema(bind.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+@query
+def quiz_stream(spark, sf_dir):
+    """The quiz as a stream with state by session; its batch twin is quiz_scores."""
+    actions = quiz_actions(stream(spark, sf_dir, "events"))
+    return sessions.drained(sessions.quiz_scores(actions), shared.fresh_dir(spark, "quiz"))
+
+
+@query
+def debounced_taps(spark, sf_dir):
+    """Each user's clicks at least ten days apart, counted from the last one accepted."""
+    ev = stream(spark, sf_dir, "events").where("event_type = 'click'")
+    taps = ev.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return sessions.drained(sessions.debounced(taps, 10 * 86_400_000_000), shared.fresh_dir(spark, "taps"))
+
+
+# scores read from files
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """Pages as score files: a zip of one GPIF whose notes come from the page's id. Every 10th is of another kind."""
+    @F.pandas_udf(T.BinaryType())
+    def score(n: pd.Series) -> pd.Series:
+        out = []
+        for i in n:
+            if i % 10 == 3:
+                out.append(b"BCFZ1234")
+            elif i % 10 == 6:
+                out.append(b"\x18FICHIER GUITAR PRO v5.00")
+            elif i % 10 == 9:
+                out.append(b"PK\x03\x04broken")
+            else:
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as z:
+                    z.writestr(gp.ENTRY, gpif(i))
+                out.append(buffer.getvalue())
+        return pd.Series(out)
+
+    return pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), score("page_id").alias("content"))
+
+
+def gpif(i: int) -> str:
+    """A score of two tracks and 1 + i % 5 bars; bar b plays a major chord on i + b, and the bass its root."""
+    bars, voices, beats, notes, masters = [], [], [], [], []
+    for b in range(1 + i % 5):
+        masters.append(f"<MasterBar><Time>{('4/4', '3/4', '6/8', 'x/y')[b % 4]}</Time><Bars>{2 * b} {2 * b + 1}</Bars></MasterBar>")
+        root = (i + b) % 12
+        for t, midis in enumerate(([48 + root, 52 + root, 55 + root, 48 + root], [24 + root])):
+            k = 2 * b + t
+            bars.append(f'<Bar id="{k}"><Voices>{k} -1 -1 -1</Voices></Bar>')
+            voices.append(f'<Voice id="{k}"><Beats>{k}</Beats></Voice>')
+            ids = [f"{k}x{j}" for j in range(len(midis))]
+            beats.append(f'<Beat id="{k}"><Notes>{" ".join(ids)}</Notes></Beat>')
+            notes += [f'<Note id="{n}"><Properties><Property name="Fret"><Fret>1</Fret></Property><Property name="Midi"><Number>{m}</Number></Property></Properties></Note>' for n, m in zip(ids, midis, strict=True)]
+    tracks = "".join(f'<Track id="{t}"><Name>{n}</Name></Track>' for t, n in enumerate(("Gtr", "Bass")))
+    return (
+        f'<?xml version="1.0" encoding="utf-8"?><GPIF><GPVersion>7</GPVersion><Score><Title> Page {i} </Title><Artist>{i}</Artist></Score><Tracks>{tracks}</Tracks>'
+        f'<MasterBars>{"".join(masters)}</MasterBars><Bars>{"".join(bars)}</Bars><Voices>{"".join(voices)}</Voices><Beats>{"".join(beats)}</Beats><Notes>{"".join(notes)}</Notes></GPIF>'
+    )
+
+
+@query
+def gp_extract(spark, sf_dir):
+    """Score files parsed, matched and analysed; one row a bar."""
+    scores = gp.parsed(archive(bind.table(spark, sf_dir, "pages"))).cache()  # six walks over the parsed graph follow
+    bars = gp.bars_for(scores, "Gtr", "Bass").withColumns({"key_root": F.lit(0), "is_minor": F.lit(False)})
+    made = harmony.analyze_bars(harmony.match_bars(bars))
+    return made.select(F.substring("song", 6, 20).cast("long").alias("page_id"), "number", text("harmony").alias("harmony"), text("root").alias("root"), "kind", "detected", "degree", "label", "beats")
+
+
+@query
+def gp_errors(spark, sf_dir):
+    """What each file turned out to be."""
+    scores = gp.parsed(archive(bind.table(spark, sf_dir, "pages")))
+    meta = gp.metadata(scores).select("path", "title", "artist", "n_bars", "has_chords")
+    return scores.select("path", "error").join(meta, "path", "left")

@@ -327,3 +327,29 @@ h AS (SELECT *, {COLUMN} - grid_w - {P['commentGap']} >= {P['commentBesideMinW']
 ORACLES["bar_places"] = f"WITH {BOXES}, e AS (SELECT *, unnest(range(n)) AS i FROM h) SELECT doc, section, CAST(i + 1 AS INTEGER) AS number, round(CAST((i % CAST(per_row AS BIGINT)) * {P['barW'] + P['barGap']} AS DOUBLE), 3) AS x, round(CAST({P['barsTopOffset']} + (i // CAST(per_row AS BIGINT)) * {P['barH'] + P['barGap']} AS DOUBLE), 3) AS y FROM e"
 DOTS = "CASE ts " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in dims.DOTS.items()) + " END"
 ORACLES["bar_dots"] = f"WITH {DOCUMENTS}, e AS (SELECT doc, bar_id, accents, unnest(range({DOTS})) AS dot FROM b) SELECT doc, bar_id, CAST(dot AS INTEGER) AS dot, dot % 2 = 0 AS is_downbeat, coalesce(list_contains(accents, dot), FALSE) AS is_accent FROM e"
+
+COUNTED = f"""{BOXES}, k AS (SELECT *, CASE WHEN word IS NULL THEN 0 ELSE CAST(ceil(4.0 / greatest(1, floor((width / 1.5 + 1) / (length(replace(word, ' ', '')) + 1)))) AS INTEGER) END AS n_lines FROM h),
+boxes AS (SELECT *, {P['barsTopOffset']} + CASE WHEN beside THEN greatest(bars_h, n_lines * {P['commentLineHeight']}) ELSE bars_h + CASE WHEN n_lines > 0 THEN 2 + n_lines * {P['commentLineHeight']} ELSE 0 END END AS height FROM k)"""
+ORACLES["section_boxes"] = f"""WITH {COUNTED} SELECT doc, section, CAST(per_row AS INTEGER) AS per_row, CAST(n_rows AS BIGINT) AS n_rows, round(CAST(grid_w AS DOUBLE), 3) AS grid_w, round(CAST(bars_h AS DOUBLE), 3) AS bars_h, beside, n_lines, round(CAST(height AS DOUBLE), 3) AS height FROM boxes"""
+TOP, BOTTOM, WIDTH = P["margin"], P["pageH"] - P["margin"], COLUMN + P["colGap"]
+ORACLES["layout_flow"] = f"""WITH RECURSIVE {COUNTED}, s AS (SELECT doc, section, CAST(height AS DOUBLE) AS height, row_number() OVER (PARTITION BY doc ORDER BY section) AS k FROM boxes),
+f AS (
+  SELECT doc, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS section, 1 AS page, 0 AS col, CAST(0 AS DOUBLE) AS y, CAST({TOP + 20} AS DOUBLE) AS y0, CAST({TOP + 20} AS DOUBLE) AS y1 FROM s WHERE k = 1
+  UNION ALL
+  SELECT doc, k, section, page, col, y, CASE WHEN col = 0 THEN y + height + {P['sectionGapY']} ELSE y0 END, CASE WHEN col = 1 THEN y + height + {P['sectionGapY']} ELSE y1 END FROM (
+    SELECT s.doc, s.k, s.section, s.height, CASE WHEN full_ AND f.col = 1 THEN f.page + 1 ELSE f.page END AS page, CASE WHEN NOT full_ THEN f.col WHEN f.col = 0 THEN 1 ELSE 0 END AS col,
+      CASE WHEN NOT full_ THEN CASE f.col WHEN 0 THEN y0 ELSE y1 END WHEN f.col = 0 THEN y1 ELSE {TOP} END AS y, CASE WHEN full_ AND f.col = 1 THEN {TOP} ELSE y0 END AS y0, CASE WHEN full_ AND f.col = 1 THEN {TOP} ELSE y1 END AS y1
+    FROM (SELECT f.*, s2.height AS h2, CASE f.col WHEN 0 THEN f.y0 ELSE f.y1 END + s2.height > {BOTTOM} AS full_ FROM f JOIN s s2 ON s2.doc = f.doc AND s2.k = f.k + 1) f JOIN s ON s.doc = f.doc AND s.k = f.k + 1
+  )
+)
+SELECT doc, section, page, col, CAST({TOP} + col * {WIDTH} AS DOUBLE) AS x, round(CAST(y AS DOUBLE), 3) AS y FROM f WHERE k > 0"""
+
+ORACLES["quiz_stream"] = f"SELECT session, event_id, correct, total, streak, best_streak FROM ({ORACLES['quiz_scores']})"
+ORACLES["debounced_taps"] = """WITH RECURSIVE c AS (SELECT user_id AS key, epoch_us(ts) AS at_us FROM events WHERE event_type = 'click'),
+t AS (SELECT key, min(at_us) AS at_us FROM c GROUP BY key UNION ALL SELECT t.key, min(c.at_us) FROM t JOIN c ON c.key = t.key AND c.at_us >= t.at_us + 864000000000 GROUP BY t.key) SELECT key, at_us FROM t"""
+GOOD = "page_id % 10 NOT IN (3, 6, 9)"
+ORACLES["gp_errors"] = f"""SELECT 'page-' || page_id AS path, CASE page_id % 10 WHEN 3 THEN 'gpx-container' WHEN 6 THEN 'legacy-binary' WHEN 9 THEN 'corrupt' END AS error, CASE WHEN {GOOD} THEN 'Page ' || page_id END AS title,
+  CASE WHEN {GOOD} THEN CAST(page_id AS VARCHAR) END AS artist, CASE WHEN {GOOD} THEN CAST(1 + page_id % 5 AS INTEGER) END AS n_bars, CASE WHEN {GOOD} THEN FALSE END AS has_chords FROM pages"""
+ORACLES["gp_extract"] = f"""WITH {FIELD}, b AS (SELECT page_id, unnest(range(1 + page_id % 5)) AS b FROM pages WHERE {GOOD}), r AS (SELECT *, (page_id + b) % 12 AS r FROM b)
+SELECT page_id, CAST(b + 1 AS INTEGER) AS number, (48 + r) || ',' || (52 + r) || ',' || (55 + r) AS harmony, CAST(24 + r AS VARCHAR) AS root, 'chord' AS kind, {name('r')} || 'maj' AS detected, f.degree - 1 AS degree, coalesce(f.numeral, {name('r')}) AS label,
+  CASE b % 4 WHEN 1 THEN 3.0 WHEN 2 THEN 3.0 ELSE 4.0 END AS beats FROM r LEFT JOIN field f ON f.key_root = 0 AND NOT f.is_minor AND f.chord_root = r AND f.family = 'MAJ'"""
