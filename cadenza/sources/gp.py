@@ -30,6 +30,7 @@ Notes STRUCT<Note:ARRAY<STRUCT<_id:STRING,Properties:STRUCT<Property:ARRAY<{PROP
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content). Spark's reader leaves files of no bytes out."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

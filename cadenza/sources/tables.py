@@ -14,7 +14,7 @@ PLAYLIST = "release_date string, name string, popularity int, artists string"
 def read_playlist(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of tracks; the artists are a list in one field."""
     raw = spark.read.csv(path, header=True, schema=PLAYLIST, multiLine=True, escape='"')
-    return raw.withColumn("artists", F.transform(F.split("artists", ","), F.trim))
+    return raw.withColumn("artists", F.transform(F.split("artists", ","), lambda a: F.trim(a)))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
