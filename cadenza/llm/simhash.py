@@ -64,6 +64,12 @@ def fingerprints(text: pd.Series, shingle: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(x.encode(), k) if isinstance(x, str) else 0 for x in text], np.uint64).view(np.int64))
 
 
+@F.pandas_udf(T.BooleanType())
+def has_print(text: pd.Series, shingle: pd.Series, fp: pd.Series) -> pd.Series:
+    """Whether the text has the fingerprint. As it takes both sides' columns, a join comes before it."""
+    return pd.Series([(fingerprint(x.encode(), int(k)) if isinstance(x, str) else 0) == f % (1 << 64) for x, k, f in zip(text, shingle, fp, strict=True)], dtype=bool)
+
+
 def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of TILE fingerprints, in the order in which they come."""
     held, count, part = [], 0, TaskContext.get().partitionId()
@@ -221,5 +227,7 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     kept = written(kept.join(rows.withColumnRenamed("_key", "_same"), F.col("_key").eqNullSafe(F.col("_same"))).select("_key", "_fp", "_rows"), "kept")
     once, again = kept.where("_rows = 1 and _key is not null"), kept.where("_rows > 1 or _key is null")
     single = docs.join(once.select("_key"), F.col(key) == F.col("_key"), "left_semi")
-    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(fingerprints(F.col(text), F.lit(shingle)) == F.col("_fp"))
+    if again.isEmpty():  # ids are unique: the texts are shuffled once at most
+        return single
+    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(has_print(F.col(text), F.lit(shingle), F.col("_fp")))
     return single.unionByName(repeated.dropDuplicates(["_key", "_fp"]).select(docs.columns))
