@@ -176,9 +176,14 @@ def rows(docs: DataFrame, found: Mix, *, key: str = "doc_id") -> DataFrame:
     copies = each.groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("crc").alias("_crc"), F.col("size").alias("_size")).agg(
         F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_copies")
     )
+    copies = written(copies, "copies")
     marked = docs.select("*", F.col(key).alias("_key2"), F.col("source").alias("_source2"), F.crc32(F.col("text").cast("binary")).alias("_crc2"))
-    nth = F.row_number().over(Window.partitionBy("_key2", "_source2", "_crc2").orderBy("_key2"))
-    joined = marked.withColumn("_nth", nth).join(copies, [F.col(f"{c}2").eqNullSafe(F.col(c)) for c in same])
+    matched = lambda which: marked.join(which, [F.col(f"{c}2").eqNullSafe(F.col(c)) for c in same])
+    once, again = copies.where(F.size("_copies") == 1), copies.where(F.size("_copies") > 1)
+    joined = matched(once).withColumn("_nth", F.lit(1))
+    if not again.isEmpty():  # only equal rows have to be numbered; otherwise the texts are shuffled once at most
+        nth = F.row_number().over(Window.partitionBy("_key2", "_source2", "_crc2").orderBy("_key2"))
+        joined = joined.unionByName(matched(again).withColumn("_nth", nth))
     part = joined.withColumn("_part", F.explode(F.get(F.col("_copies"), F.col("_nth") - 1)["parts"]))
     cut = F.when(F.col("_part") >= F.col("_size"), F.col("text")).otherwise(first_words("text", "_part"))
     out = part.withColumn("text", cut)
