@@ -226,7 +226,8 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     kept = found.where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key", "root").agg(F.min("fp").alias("_fp"))
     kept = written(kept.join(rows.withColumnRenamed("_key", "_same"), F.col("_key").eqNullSafe(F.col("_same"))).select("_key", "_fp", "_rows"), "kept")
     once, again = kept.where("_rows = 1 and _key is not null"), kept.where("_rows > 1 or _key is null")
-    single = docs.join(once.select("_key"), F.col(key) == F.col("_key"), "left_semi")
+    # the ids that stay grow with the input, so they are never broadcast: the plan is one at every size
+    single = docs.join(once.select("_key").hint("merge"), F.col(key) == F.col("_key"), "left_semi")
     if again.isEmpty():  # ids are unique: the texts are shuffled once at most
         return single
     repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(has_print(F.col(text), F.lit(shingle), F.col("_fp")))
