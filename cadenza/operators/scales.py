@@ -105,3 +105,14 @@ def neck(spark, highlighted: list[int] | None = None) -> DataFrame:
         ((F.col("fret") > 0) & (high != before)).alias("octave_start"),
         F.array_contains(th.literal(highlighted or [-1]), note).alias("highlighted"),
     )
+
+
+def piano(rows: DataFrame, *, notes: str = "notes", voicing: str | None = None, octaves: tuple[int, int] = (3, 4)) -> DataFrame:
+    """Every key of the octaves for each row: octave, note, whether it is black, and whether it is highlighted: its note
+    is in ``notes`` and, with a ``voicing`` that has the note, at the octave that the note has there last."""
+    each = rows.withColumn("octave", F.explode(F.sequence(F.lit(octaves[0]), F.lit(octaves[1])))).withColumn("note", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    here = F.lit(True)
+    if voicing is not None:
+        last = F.get(F.reverse(F.filter(F.col(voicing), lambda v: v["note"] == F.col("note"))), 0)
+        here = F.coalesce(last["octave"] == F.col("octave"), F.lit(True))
+    return each.withColumns({"is_black": F.col("note").isin(1, 3, 6, 8, 10), "highlighted": F.array_contains(notes, F.col("note")) & here})

@@ -151,6 +151,21 @@ def bass_neck(spark, sf_dir):
     return scales.neck(spark, [0, 4, 7])
 
 
+@query
+def piano_keys(spark, sf_dir):
+    """Two octaves of keys for the major triad on each nation's root, voiced upwards from octave 3."""
+    rows = bind.roots(spark, sf_dir).withColumn("notes", th.transposed(F.col("root_note"), th.literal([0, 4, 7])))
+    made = scales.piano(rows.withColumn("voicing", th.voiced(F.col("notes"), F.lit(3))), voicing="voicing")
+    return made.select("n_nationkey", "octave", "note", "is_black", "highlighted")
+
+
+@query
+def labels_and_pitch(spark, sf_dir):
+    """The label of half steps of beats, and the frequency of a MIDI note, for each part."""
+    rows = bind.table(spark, sf_dir, "part")
+    return rows.select("p_partkey", th.beats_label(F.col("p_size") / 2).alias("beats_label"), F.round(th.frequency(F.col("p_partkey") % 128), 4).alias("hertz"))
+
+
 # progressions
 
 
@@ -272,6 +287,15 @@ def diatonic_chord_questions(spark, sf_dir):
     return asked(quiz.diatonic_chord_questions(seeds(spark, sf_dir)))
 
 
+@query
+def answer_options(spark, sf_dir):
+    """The four options of each part's question as shown after its answer; every fifth part has none yet."""
+    key, kinds = F.col("p_partkey"), th.literal([t[0] for t in dims.CHORD_TYPES])
+    rows = bind.table(spark, sf_dir, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(kinds, ((key + 2 * i) % 9).cast("int"))).alias("options"))
+    rows = rows.withColumn("correct", F.get("options", (key % 4).cast("int"))).withColumn("chosen", F.when(key % 5 != 0, F.get("options", (F.floor(key / 4) % 4).cast("int"))))
+    return quiz.option_states(rows).select("p_partkey", "place", "option", "state")
+
+
 # the library
 
 
@@ -329,6 +353,25 @@ def guarded_delete(spark, sf_dir):
     return library.delete(table, keys, ["id", "device_id"], guard=F.col("is_example") == 1)
 
 
+@query
+def device_rows(spark, sf_dir):
+    """One device's rows, less those of a list of keys and devices."""
+    table = stored(spark, sf_dir).select("id", "device_id")
+    keys = table.where(F.substring("id", 2, 20).cast("long") % 3 == 0)
+    return library.delete(library.by_device(table, "d3"), keys, ["id", "device_id"])
+
+
+@query
+def import_guards(spark, sf_dir):
+    """The title that an imported file gets, and whether it can be saved, with titles and contents missing here and there."""
+    key = F.col("p_partkey")
+    number = key.cast("string")
+    title = F.when(key % 4 == 1, "  ").when(key % 4 > 1, F.concat(F.lit(" song "), number, F.lit(" ")))
+    file = F.when(key % 5 == 0, ".gp").when(key % 5 == 1, F.concat(F.lit("f"), number, F.lit(".GP"))).otherwise(F.concat(F.lit("f"), number, F.lit(".gpx")))
+    content = F.when(key % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return bind.table(spark, sf_dir, "part").select("p_partkey", library.import_title(title, file, "Untitled").alias("title"), library.can_save(title, content).alias("can_save"))
+
+
 @query
 def sync_union(spark, sf_dir):
     local, cloud = bind.local_and_cloud(spark, sf_dir)
@@ -480,6 +523,25 @@ def add_and_remove_bar(spark, sf_dir):
     return bar_rows(made, docs.remove_bar("_bars", "_sections", F.col("_first"))[0])
 
 
+@query
+def set_section_fields(spark, sf_dir):
+    """The first section of each document gets a name, a comment and bars per row."""
+    made = structures(spark, sf_dir)
+    sections = F.col("sections")
+    for field, value in (("name", F.lit("renamed")), ("comment", F.lit("again")), ("bars_per_row", F.lit(6))):
+        sections = docs.set_section(sections, nth_section(0), field, value)
+    each = made.select("doc", F.posexplode(sections).alias("place", "s"))
+    return each.select("doc", "place", F.col("s.name").alias("name"), F.col("s.comment").alias("comment"), F.col("s.bars_per_row").alias("bars_per_row"))
+
+
+@query
+def set_bar_color(spark, sf_dir):
+    """The first bar of each document gets a colour of its own."""
+    made = structures(spark, sf_dir)
+    each = made.select("doc", F.explode(docs.set_bar_color("bars", first_bar(), F.lit("#010203"))).alias("b"))
+    return each.select("doc", F.col("b.id").alias("bar_id"), F.col("b.color").alias("color"))
+
+
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Songs of one section, whose steps are an order's lines."""
     step = F.struct("degree", "label", "intervals", "beats", F.col("offset_eighths").cast("double").alias("offset_eighths"), "confidence").cast(docs.STEP)
@@ -497,6 +559,19 @@ def edit_steps(spark, sf_dir):
     return each.select("song", "pos", F.col("s.degree").alias("degree"), F.col("s.label").alias("label"), F.col("s.beats").alias("beats"))
 
 
+@query
+def edit_song_sections(spark, sf_dir):
+    """A second section is added and the first loses its first step; even songs then lose their first section."""
+    first = F.struct(F.lit("a").alias("id"), F.lit("verso").alias("type"), F.lit("").alias("custom_label"), F.col("steps").alias("steps")).cast(docs.SONG_SECTION)
+    sections, active = docs.add_song_section(F.array(first), F.lit("b"), F.lit("refrao"), F.lit("own"))
+    made = songs(spark, sf_dir).select("song", docs.in_section(sections, F.lit(0), lambda steps: docs.remove_step(steps, F.lit(0))).alias("sections"), active.alias("active"))
+    fewer, clamped = docs.remove_song_section("sections", F.lit(0), F.col("active"))
+    even = F.col("song") % 2 == 0
+    made = made.select("song", F.when(even, fewer).otherwise(F.col("sections")).alias("sections"), F.when(even, clamped).otherwise(F.col("active")).alias("active"))
+    each = made.select("song", "active", F.posexplode("sections").alias("place", "s"))
+    return each.select("song", "active", "place", F.col("s.id").alias("section_id"), docs.display_label(F.col("s")).alias("label"), F.size("s.steps").alias("n_steps"))
+
+
 # layout
 
 
@@ -559,6 +634,14 @@ def debounced_taps(spark, sf_dir):
     return sessions.drained(sessions.debounced(taps, 10 * 86_400_000_000), shared.fresh_dir(spark, "taps"))
 
 
+@query
+def held_keys(spark, sf_dir):
+    """Key presses without repeats, as a stream: signups and purchases let the user's key go, others press it."""
+    ev = stream(spark, sf_dir, "events")
+    keys = ev.select(F.col("user_id").alias("player"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.lit("C").alias("note"), (~F.col("event_type").isin("signup", "purchase")).alias("down"))
+    return sessions.drained(sessions.pressed(keys), shared.fresh_dir(spark, "keys"))
+
+
 # scores read from files
 
 

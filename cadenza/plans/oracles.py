@@ -353,3 +353,61 @@ ORACLES["gp_errors"] = f"""SELECT 'page-' || page_id AS path, CASE page_id % 10
 ORACLES["gp_extract"] = f"""WITH {FIELD}, b AS (SELECT page_id, unnest(range(1 + page_id % 5)) AS b FROM pages WHERE {GOOD}), r AS (SELECT *, (page_id + b) % 12 AS r FROM b)
 SELECT page_id, CAST(b + 1 AS INTEGER) AS number, (48 + r) || ',' || (52 + r) || ',' || (55 + r) AS harmony, CAST(24 + r AS VARCHAR) AS root, 'chord' AS kind, {name('r')} || 'maj' AS detected, f.degree - 1 AS degree, coalesce(f.numeral, {name('r')}) AS label,
   CASE b % 4 WHEN 1 THEN 3.0 WHEN 2 THEN 3.0 ELSE 4.0 END AS beats FROM r LEFT JOIN field f ON f.key_root = 0 AND NOT f.is_minor AND f.chord_root = r AND f.family = 'MAJ'"""
+
+ORACLES["piano_keys"] = """
+WITH t AS (SELECT n_nationkey, list_transform([0, 4, 7], lambda i: (n_nationkey + i) % 12) AS n FROM nation),
+v AS (SELECT *, 3 + CASE WHEN n[2] <= n[1] THEN 1 ELSE 0 END AS second FROM t), w AS (SELECT *, [3, second, second + CASE WHEN n[3] <= n[2] THEN 1 ELSE 0 END] AS high FROM v)
+SELECT n_nationkey, CAST(o AS INTEGER) AS octave, CAST(k AS INTEGER) AS note, k IN (1, 3, 6, 8, 10) AS is_black, coalesce(high[list_position(n, k)] = o, FALSE) AS highlighted
+FROM w, range(3, 5) a(o), range(12) b(k)
+"""
+
+ORACLES["labels_and_pitch"] = """
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE printf('%.1f', p_size / 2.0) END || 't' AS beats_label, round(440.0 * pow(2.0, (p_partkey % 128 - 69) / 12.0), 4) AS hertz
+FROM part
+"""
+
+ORACLES["answer_options"] = f"""
+WITH q AS (SELECT p_partkey, list_transform(range(4), lambda i: {lit([t[0] for t in dims.CHORD_TYPES])}[(p_partkey + 2 * i) % 9 + 1]) AS o FROM part),
+a AS (SELECT p_partkey, o, o[p_partkey % 4 + 1] AS correct, CASE WHEN p_partkey % 5 <> 0 THEN o[p_partkey // 4 % 4 + 1] END AS chosen FROM q)
+SELECT p_partkey, CAST(i AS INTEGER) AS place, o[i + 1] AS option,
+  CASE WHEN chosen IS NULL THEN 'open' WHEN o[i + 1] = correct THEN 'right' WHEN o[i + 1] = chosen THEN 'wrong' ELSE 'other' END AS state
+FROM a, range(4) t(i)
+"""
+
+ORACLES["device_rows"] = """
+SELECT 's' || o_orderkey AS id, 'd' || (o_custkey % 10) AS device_id FROM orders WHERE o_custkey % 10 = 3 AND o_orderkey % 3 <> 0
+"""
+
+ORACLES["import_guards"] = """
+WITH p AS (
+  SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' song ' || p_partkey || ' ' END AS title,
+    CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'f' || p_partkey ELSE 'f' || p_partkey || '.gpx' END AS stem FROM part
+)
+SELECT p_partkey, coalesce(nullif(trim(title), ''), nullif(stem, ''), 'Untitled') AS title, trim(coalesce(title, '')) <> '' AND p_partkey % 3 <> 0 AS can_save FROM p
+"""
+
+ORACLES["set_section_fields"] = """
+WITH o AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place, o_orderstatus FROM orders)
+SELECT doc, place, CASE WHEN place = 0 THEN 'renamed' ELSE 'part ' || o_orderstatus END AS name, CASE WHEN place = 0 THEN 'again' END AS comment, CASE WHEN place = 0 THEN 6 END AS bars_per_row FROM o
+"""
+
+ORACLES["set_bar_color"] = f"""
+WITH b AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS n FROM lineitem),
+d AS (SELECT o_custkey AS doc, l_orderkey, n, l_partkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n) AS nth FROM orders JOIN b ON o_orderkey = l_orderkey)
+SELECT doc, 'b' || l_orderkey || '-' || n AS bar_id, CASE WHEN nth = 1 THEN '#010203' WHEN l_partkey % 5 = 0 THEN {lit(dims.PALETTE[3])} END AS color FROM d
+"""
+
+ORACLES["edit_song_sections"] = f"""
+WITH s AS (SELECT l_orderkey AS song, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT song, CAST(song % 2 AS INTEGER) AS active, 0 AS place, CASE WHEN song % 2 = 1 THEN 'a' ELSE 'b' END AS section_id,
+  CASE WHEN song % 2 = 1 THEN {lit(dict((t, n) for t, n, _ in dims.SECTION_TYPES)["verso"])} ELSE 'own' END AS label, CASE WHEN song % 2 = 1 THEN n - 1 ELSE 0 END AS n_steps
+FROM s
+UNION ALL
+SELECT song, 1, 1, 'b', 'own', 0 FROM s WHERE song % 2 = 1
+"""
+
+ORACLES["held_keys"] = """
+WITH k AS (SELECT user_id AS player, epoch_us(ts) AS at_us, event_type NOT IN ('signup', 'purchase') AS down FROM events),
+b AS (SELECT *, lag(down, 1, FALSE) OVER (PARTITION BY player ORDER BY at_us) AS before FROM k)
+SELECT player, at_us, 'C' AS note FROM b WHERE down AND NOT before
+"""
