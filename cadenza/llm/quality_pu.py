@@ -6,8 +6,8 @@ few densities minimises the non-negative unbiased risk with the sigmoid loss, lo
     prior * mean_P loss(+z) + max(0, mean_U loss(-z) - prior * mean_P loss(-z)),
 
 and where the second part turns negative, the step goes against it, as the method has it. The loss is bounded, so that
-chance in the sample's share of label 1 doesn't outweigh the rest. The sigmoid of the margin is the score. The prior is the share of label 1 among
-the labelled rows that may be learned from, or is given.
+chance in the sample's share of label 1 doesn't outweigh the rest. The sigmoid of the margin is the score. The prior is
+the share of label 1 among the labelled rows that may be learned from, or is given.
 
 Nulls: a null text counts as empty, and empty texts get a score; rows with a null doc_id or label aren't learned from.
 Repeated rows each get a row. Columns that aren't named are ignored. Without trusted positives every score is the
