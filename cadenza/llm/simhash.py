@@ -16,7 +16,7 @@ named are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,7 +221,13 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays. Rows without an
     id stay only where no row of their component has one; of rows that repeat an id, one stays."""
-    found = written(linked(docs, key=key, text=text, shingle=shingle, radius=radius).withColumnRenamed(key, "_key"), "linked")
+    found = linked(docs, key=key, text=text, shingle=shingle, radius=radius)
+    return one_of_found(docs, found, lambda fp: has_print(F.col(text), F.lit(shingle), fp), key=key)
+
+
+def one_of_found(docs: DataFrame, found: DataFrame, has: Callable[[Column], Column], *, key: str) -> DataFrame:
+    """``one_of_each`` of the rows' (key, fp, component_id, root); ``has`` tells whether a row of ``docs`` has an fp."""
+    found = written(found.withColumnRenamed(key, "_key"), "linked")
     rows = found.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
     kept = found.where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key", "root").agg(F.min("fp").alias("_fp"))
     kept = written(kept.join(rows.withColumnRenamed("_key", "_same"), F.col("_key").eqNullSafe(F.col("_same"))).select("_key", "_fp", "_rows"), "kept")
@@ -230,5 +236,5 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     single = docs.join(once.select("_key").hint("merge"), F.col(key) == F.col("_key"), "left_semi")
     if again.isEmpty():  # ids are unique: the texts are shuffled once at most
         return single
-    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(has_print(F.col(text), F.lit(shingle), F.col("_fp")))
+    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(has(F.col("_fp")))
     return single.unionByName(repeated.dropDuplicates(["_key", "_fp"]).select(docs.columns))

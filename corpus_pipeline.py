@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, mixing, packing, quality_rules, queries, simhash
+from cadenza.llm import language, mixing, near_copies, packing, quality_rules, queries
 from cadenza.llm._work import written
 
 #: Below this share of n-grams known in the best language, a text is taken for noise or a mixture.
@@ -30,8 +30,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (0.8 of five-word shingles): the one with the smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
