@@ -20,12 +20,13 @@ def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str =
     """Events of each song at each tick (tick: the global eighth at which it comes; each covers two eighths).
 
     Columns song, tick, eighth, type ('timeline' or 'step'), value (cycle position or step index) and at, in eighths
-    from the tick. A step comes at its onset, or later by a positive offset; an offset of -1 brings it an eighth early,
+    from the tick. ``ticks`` is one list for all songs, or has the song's column and is each song's own. A step comes at its onset, or later by a positive offset; an offset of -1 brings it an eighth early,
     and any negative one at its onset only in the first eighths. Both rules are equi-joins on the cycle position.
     """
     placed = offsets(steps, song=song, pos=pos).withColumn("offset", F.coalesce("offset_eighths", F.lit(0)))
     length = placed.groupBy(song).agg(F.first("total").alias("total"))
-    grid = length.join(F.broadcast(ticks)).withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1))))  # a bounded list of ticks
+    each = length.join(ticks, song) if song in ticks.columns else length.join(F.broadcast(ticks))  # one list is bounded
+    grid = each.withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1))))
     grid = grid.withColumn("eighth", F.col("tick") + F.col("sub")).withColumn("cycle", F.pmod("eighth", "total"))
     line = grid.select(song, "tick", "eighth", F.lit("timeline").alias("type"), F.col("cycle").cast("long").alias("value"), F.col("sub").cast("double").alias("at"))
     onset = placed.select(F.col(song).alias("_song"), F.col(pos).alias("index"), "begin", "offset")
@@ -36,6 +37,12 @@ def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str =
     return line.unionAll(now).unionAll(soon)
 
 
+def cycle_ticks(steps: DataFrame, *, song: str = "song") -> DataFrame:
+    """(song, tick): each song's ticks from two eighths before the start over one whole cycle."""
+    length = steps.groupBy(song).agg(F.sum(th.step_eighths(F.col("beats"))).cast("long").alias("total"))
+    return length.select(song, F.explode(F.sequence(F.lit(-2).cast("long"), F.col("total") - 1, F.lit(2).cast("long"))).alias("tick"))
+
+
 def at_position(steps: DataFrame, positions: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
     """The step at each (song, position): begin <= position < begin + dur. A position outside is the first step, at 0.
 

@@ -207,6 +207,13 @@ def playback_events(spark, sf_dir):
     return playback.events(bind.steps(spark, sf_dir), ticks)
 
 
+@query
+def playback_cycle(spark, sf_dir):
+    """Each song's own ticks, from two eighths before the start over one whole cycle."""
+    steps = bind.steps(spark, sf_dir)
+    return playback.events(steps, playback.cycle_ticks(steps))
+
+
 @query
 def beat_timeline(spark, sf_dir):
     return playback.timeline(bind.steps(spark, sf_dir)).drop("label")

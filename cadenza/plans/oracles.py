@@ -184,6 +184,14 @@ e AS (
   UNION ALL SELECT g.song, tick, eighth, 'step', p.pos, CAST(sub + 1 + p.off AS DOUBLE) FROM grid g JOIN placed p ON p.song = g.song AND p.begin_ = (g.cycle + 1) % g.total WHERE p.off = -1
 )
 SELECT song, CAST(tick AS BIGINT) AS tick, CAST(eighth AS BIGINT) AS eighth, type, CAST(value AS BIGINT) AS value, at_ AS \"at\" FROM e"""
+ORACLES["playback_cycle"] = f"""WITH {DURATIONS}, cycles AS (SELECT DISTINCT song, total, unnest(range(-2, CAST(total AS BIGINT), 2)) AS tick FROM placed),
+grid AS (SELECT song, total, tick, sub, tick + sub AS eighth, ((tick + sub) % total + total) % total AS cycle FROM cycles, range(2) y(sub)),
+e AS (
+  SELECT song, tick, eighth, 'timeline' AS type, cycle AS value, CAST(sub AS DOUBLE) AS at_ FROM grid
+  UNION ALL SELECT g.song, tick, eighth, 'step', p.pos, CAST(sub + greatest(p.off, 0) AS DOUBLE) FROM grid g JOIN placed p ON p.song = g.song AND p.begin_ = g.cycle WHERE p.off >= 0 OR eighth <= 0
+  UNION ALL SELECT g.song, tick, eighth, 'step', p.pos, CAST(sub + 1 + p.off AS DOUBLE) FROM grid g JOIN placed p ON p.song = g.song AND p.begin_ = (g.cycle + 1) % g.total WHERE p.off = -1
+)
+SELECT song, CAST(tick AS BIGINT) AS tick, CAST(eighth AS BIGINT) AS eighth, type, CAST(value AS BIGINT) AS value, at_ AS \"at\" FROM e"""
 ORACLES["beat_timeline"] = f"""WITH {STEPS}, c AS (SELECT song, pos, off, coalesce(beats, 4) * 2 AS n, unnest(range(CAST(ceil(coalesce(beats, 4) * 2) AS BIGINT))) AS e FROM steps)
 SELECT song, pos, CAST(e AS INTEGER) AS e, e % 2 = 0 AS is_downbeat, e % 8 = 0 AS is_measure_start, e = CASE WHEN off > 0 THEN off WHEN off < 0 THEN n + off ELSE 0 END AS is_chord_start FROM c"""
 ORACLES["step_at_position"] = f"""WITH {DURATIONS}, q AS (SELECT song, pos * 7 AS position FROM steps)

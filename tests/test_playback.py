@@ -51,6 +51,16 @@ def test_events_equal_a_plain_loop(spark):
     assert events(spark, steps, ticks) == sorted(x for t in ticks for x in loop(steps, t))
 
 
+def test_each_song_plays_its_whole_cycle(spark):
+    long = [(1, n, str(n), 2.0, None) for n in range(40)]  # 160 eighths
+    steps = spark.createDataFrame([*long, (2, 0, "a", 1.5, None), (2, 1, "b", 1.0, 0)], STEPS)
+    got = playback.events(steps, playback.cycle_ticks(steps)).collect()
+    ticks = {s: sorted({r["tick"] for r in got if r["song"] == s}) for s in (1, 2)}
+    assert ticks == {1: list(range(-2, 160, 2)), 2: [-2, 0, 2, 4]}
+    assert {r["value"] for r in got if r["song"] == 1 and r["type"] == "step"} == set(range(40))
+    assert sorted((r["tick"], r["value"], r["at"]) for r in got if r["song"] == 2 and r["type"] == "step") == sorted((t, v, a) for t in ticks[2] for t, _, v, a in loop([(1.5, 0), (1.0, 0)], t))
+
+
 def test_positions(spark):
     steps = spark.createDataFrame([(1, 0, "a", 2.0, None), (1, 1, "b", None, None)], STEPS)
     at = spark.createDataFrame([(1, p) for p in (0, 3, 4, 11, 12)], "song int, position int")
