@@ -1,11 +1,12 @@
 """Hashed n-gram features of UTF-8 texts, with numpy over whole batches.
 
-A batch of texts is cut into chunks of about CHUNK bytes. A text longer than that is cut into pieces at white space; its
-n-grams don't cross a cut, all its bytes count.
+Texts are taken together in chunks of about CHUNK bytes. A text longer than that is read in steps which overlap: each
+n-gram counts once, where it begins, whatever CHUNK is. Words are never cut.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACES = b" \t\n\r\x0b\x0c"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
+_space = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -38,31 +40,59 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    for row, text in enumerate(texts):
-        at = 0
-        while len(text) - at > CHUNK:
-            cut = max(text.rfind(s, at + 1, at + CHUNK) for s in (b" ", b"\n", b"\t"))
-            cut = cut if cut > at else at + CHUNK
-            yield row, text[at:cut]
-            at = cut
-        yield row, text[at:] if at else text
-
-
-def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, piece bounds, row of each piece) of about CHUNK bytes each."""
+def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """The rows of a chunk, and for each family the slots of its n-grams and the bounds of the rows among them."""
     rows: list[int] = []
     parts: list[bytes] = []
     held = 0
-    for row, piece in pieces(texts):
-        if parts and held + len(piece) > CHUNK:
-            yield chunk(rows, parts)
+
+    def one() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        data, bounds, which = chunk(rows, parts)
+        return which, instances(data, bounds)
+
+    for row, text in enumerate(texts):
+        if parts and held + len(text) > CHUNK:
+            yield one()
             rows, parts, held = [], [], 0
+        if len(text) > CHUNK:
+            for found in steps(text):
+                yield np.array([row]), [(slot, np.array([0, len(slot)])) for slot in found]
+            continue
         rows.append(row)
-        parts.append(piece)
-        held += len(piece)
+        parts.append(text)
+        held += len(text)
     if parts:
-        yield chunk(rows, parts)
+        yield one()
+
+
+def steps(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The slots of each family in a long text, step by step."""
+    data = np.frombuffer(text, np.uint8)
+    none = np.zeros(0, np.int64)
+    for at in range(0, len(data), CHUNK):
+        yield quads(data[at : at + CHUNK + 3]), none, none
+    at, last = 0, np.zeros(0, np.uint64)
+    while at < len(text):
+        found = _space.search(text, min(at + CHUNK, len(text)))
+        end = found.start() if found else len(text)
+        hashed = piece_hashes(text[at:end])
+        joined = np.concatenate([last, hashed])
+        yield none, slots(hashed), pair_slots(joined)
+        at, last = end, joined[-1:]
+
+
+def piece_hashes(piece: bytes) -> np.ndarray:
+    """The words' hashes in a piece that ends with a word; what is longer than CHUNK is hashed block by block."""
+    data = np.frombuffer(piece, np.uint8)
+    starts, ends = word_bounds(data, np.array([0, len(data)]))
+    if len(data) <= 2 * CHUNK or not len(starts):
+        return word_hashes(data, starts, ends)
+    head, total, power = int(starts[-1]), 0, powers(CHUNK)[0]
+    for at in range(head, int(ends[-1]), CHUNK):
+        block = data[at : min(at + CHUNK, int(ends[-1]))].astype(np.uint64) + np.uint64(1)
+        total += int((block * power[: len(block)]).sum()) * pow(int(PRIME), at - head, 1 << 64)
+    total += (int(ends[-1]) - head) * int(MIX)
+    return np.append(word_hashes(data[:head], starts[:-1], ends[:-1]), np.uint64(total % (1 << 64)))
 
 
 def chunk(rows: list[int], parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,47 +127,44 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes * MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def instances(data: np.ndarray, bounds: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each family the hashed slot of each n-gram of the chunk, and the bounds of the pieces among them."""
-    out = {}
-    n = len(data)
-    if n >= 4:
-        quad = data[:-3].astype(np.uint32) | data[1:-2].astype(np.uint32) << 8 | data[2:-1].astype(np.uint32) << 16 | data[3:].astype(np.uint32) << 24
-        slot = (quad * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32)
-        whole = np.ones(len(slot), bool)
-        for back in (1, 2, 3):  # those that begin here end in the next piece
-            at = bounds[1:-1] - back
-            whole[at[(at >= 0) & (at < len(slot))]] = False
-        kept = np.zeros(n + 1, np.int64)
-        np.cumsum(whole, out=kept[1 : len(slot) + 1])
-        kept[len(slot) + 1 :] = kept[len(slot)]
-        out["chars"] = slot[whole], kept[bounds]
-    else:
-        out["chars"] = np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
+def quads(data: np.ndarray) -> np.ndarray:
+    """The slot of each four bytes in a row."""
+    if len(data) < 4:
+        return np.zeros(0, np.int32)
+    quad = data[:-3].astype(np.uint32) | data[1:-2].astype(np.uint32) << 8 | data[2:-1].astype(np.uint32) << 16 | data[3:].astype(np.uint32) << 24
+    return (quad * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def pair_slots(hashed: np.ndarray) -> np.ndarray:
+    return slots(hashed[:-1] * PRIME + hashed[1:]) if len(hashed) > 1 else np.zeros(0, np.int64)
+
+
+def within(slot: np.ndarray, bounds: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the slots, one for each place, whose ``reach`` next places lie in the same row; and the rows' bounds."""
+    n = int(bounds[-1])
+    whole = np.zeros(n, bool)
+    whole[: len(slot)] = True
+    for back in range(1, reach + 1):
+        at = bounds[1:-1] - back
+        whole[at[at >= 0]] = False
+    kept = np.concatenate([[0], np.cumsum(whole)])
+    return slot[whole[: len(slot)]], kept[bounds]
+
+
+def instances(data: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each family the hashed slot of each n-gram of the chunk, and the bounds of the rows among them."""
     starts, ends = word_bounds(data, bounds)
     hashed = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, bounds)
-    out["words"] = slots(hashed), first
-    if len(hashed) > 1:
-        pair = slots(hashed[:-1] * PRIME + hashed[1:])
-        whole = np.ones(len(pair), bool)
-        at = first[1:-1] - 1
-        whole[at[(at >= 0) & (at < len(pair))]] = False
-        kept = np.zeros(len(hashed) + 1, np.int64)
-        np.cumsum(whole, out=kept[1 : len(pair) + 1])
-        kept[len(pair) + 1 :] = kept[len(pair)]
-        out["pairs"] = pair[whole], kept[first]
-    else:
-        out["pairs"] = np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    return out
+    return [within(quads(data), bounds, 3), (slots(hashed), first), within(pair_slots(hashed), first, 1)]
 
 
 def mean_weights(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
     """For each text the sum, over the families, of the mean weight of its n-grams. weights: FAMILIES x SIZE."""
     total = np.zeros((len(FAMILIES), len(texts)))
     count = np.zeros((len(FAMILIES), len(texts)))
-    for data, bounds, rows in chunks(texts):
-        for k, (slot, at) in enumerate(instances(data, bounds).values()):
+    for rows, families in chunks(texts):
+        for k, (slot, at) in enumerate(families):
             running = np.zeros(len(slot) + 1)
             np.cumsum(weights[k][slot], out=running[1:])
             np.add.at(total[k], rows, running[at[1:]] - running[at[:-1]])
@@ -149,8 +176,8 @@ def sparse(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text the slots (family * SIZE + slot) and their shares of the family's n-grams."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     count = np.zeros((len(FAMILIES), len(texts)))
-    for data, bounds, rows in chunks(texts):
-        for k, (slot, at) in enumerate(instances(data, bounds).values()):
+    for rows, families in chunks(texts):
+        for k, (slot, at) in enumerate(families):
             for j, row in enumerate(rows):
                 found[row].append(slot[at[j] : at[j + 1]].astype(np.int64) + k * SIZE)
                 count[k][row] += at[j + 1] - at[j]

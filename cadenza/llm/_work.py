@@ -1,34 +1,48 @@
-"""Shared helpers: the shared work folder, written intermediate tables, distributed ranks."""
+"""Shared helpers: the shared work folder, written intermediate tables, distributed ranks, joins on hot keys.
+
+Batches that go to Python are bounded by Spark itself, in bytes as well as rows, so no session setting is touched.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 1000
 #: Rows that one ranking group is sized for.
 RANK_GROUP_ROWS = 100_000
+#: A key is hot if it holds more than one in HOT_KEYS of the rows, and HOT_ROWS rows: there are fewer than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 10_000, 1000
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made and set.
+    Only in local mode (tests, a laptop), and only where the setting is absent, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: The open ``scratch`` blocks, innermost last: the paths that ``written`` has made in them.
+_scratch: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,9 +55,43 @@ def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the text that a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        for path in {x.rpartition("/")[0] for x in table.inputFiles()}:
+            if "/cadenza-" in path:
+                _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete what is made in the block when it ends, but for the paths that the block takes off the list."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, a written table with one small row a key; its column ``n`` says how many
+    rows have the key. Hot keys, whose number is bounded whatever the input, are broadcast, so that no task gets all rows
+    of one; the others are joined as Spark likes."""
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = keyed.where(F.col(n) > least).drop(n), keyed.where(F.col(n) <= least).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def running(df: DataFrame, key: Column, order: list[Column], *, out: str, group: Column, value: Column | None = None) -> DataFrame:
@@ -68,3 +116,9 @@ def running(df: DataFrame, key: Column, order: list[Column], *, out: str, group:
 def dealt(spread: Column, rows: int) -> Column:
     """A group number for ``running``: hash groups of about RANK_GROUP_ROWS of the ``rows`` rows."""
     return F.pmod(spread, F.lit(max(1, -(-rows // RANK_GROUP_ROWS))))
+
+
+def drawn(texts: DataFrame, rows: int, key: str, text: str) -> DataFrame:
+    """The first ``rows`` rows of a hash order: a bounded sample, however often an id repeats."""
+    order = F.xxhash64(key, F.crc32(F.col(text).cast("binary")), F.lit(9))
+    return texts.orderBy(order, key).limit(rows).repartition(max(1, -(-rows // 250)))

@@ -6,11 +6,13 @@ languages that contain it, in one lookup whatever the number of languages. The l
 are counted, each count is corrected for that language's false-positive rate, and the largest decides.
 
 Texts are lower-cased; what isn't a letter counts as one space, and n-grams without a letter are skipped. A text longer
-than CHUNK characters is read in pieces.
+than CHUNK characters is read in steps that overlap, so that each n-gram counts once, whatever CHUNK is.
 
 Nulls: a null text and one without letters are ``und`` with score 0; rows with a null lang or doc_id aren't learned
-from. Equal shares go to the language that sorts first. Repeated rows each get a row. Columns that aren't named are
-ignored. An empty table gives no rows; without any labelled text, or no n-gram of a text known, the answer is ``und``.
+from. A text with letters always gets a learned language: equal shares go to the one that sorts first, and where no
+n-gram is known to any, the one with the most labelled texts is named, with score 0. Only without any labelled text is
+every answer ``und``. Repeated rows each get a row. Results come beside the caller's row, whose columns may have any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import small_batches, written
+from cadenza.llm._work import written
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
-#: Texts of each language that the filters are built from: a hash sample of about this size.
+#: Texts of each language that the filters are built from: the first of a hash order, so never more than these.
 TRAIN_ROWS = 1500
 POSITIONS = 1 << 20
 PROBES = 3
@@ -52,38 +54,60 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(x).isalpha() for x in range(0x110000)), bool, 0x110000)
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+def coded(parts: list[str], rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(code point or 32, row) of the characters between two spaces a text, runs of what isn't a letter shrunk to one."""
+    points = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.array(rows), [len(x) + 2 for x in parts])
+    letter = letters()[points]
+    keep = np.ones(len(points), bool)
+    keep[1:] = letter[1:] | letter[:-1] | (row[1:] != row[:-1])
+    return np.where(letter, points, np.uint32(32))[keep], row[keep]
+
+
+def collapsed(text: str) -> np.ndarray:
+    """The codes of one long text, made step by step."""
+    out = [np.array([32], np.uint32)]
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out.append(np.where(letters()[points], points, np.uint32(32)))
+    codes = np.concatenate([*out, out[0]])
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
+    return codes[keep]
+
+
+def stretches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(codes, rows, how many n-grams may begin here): texts together, or a step of a long one with what overlaps."""
     rows, parts, held = [], [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text), CHUNK):
-            piece = text[at : at + CHUNK]
-            if parts and held + len(piece) > CHUNK:
-                yield rows, parts
-                rows, parts, held = [], [], 0
-            rows.append(row)
-            parts.append(piece)
-            held += len(piece)
+        if parts and held + len(text) > CHUNK:
+            code, which = coded(parts, rows)
+            yield code, which, len(code)
+            rows, parts, held = [], [], 0
+        if len(text) > CHUNK:
+            code = collapsed(text)
+            for at in range(0, len(code), CHUNK):
+                step = code[at : at + CHUNK + max(SIZES) - 1]
+                yield step, np.full(len(step), row), CHUNK
+            continue
+        rows.append(row)
+        parts.append(text)
+        held += len(text)
     if parts:
-        yield rows, parts
+        code, which = coded(parts, rows)
+        yield code, which, len(code)
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(64-bit n-gram hashes, row of each), in chunks."""
-    for rows, parts in grouped([x.lower() for x in texts]):
-        lengths = np.array([len(x) + 2 for x in parts])
-        points = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = letters()[points]
-        code = np.where(letter, points, 32).astype(np.uint64)
-        row = np.repeat(np.array(rows), lengths)
-        # runs of spaces shrink to one
-        keep = np.ones(len(code), bool)
-        keep[1:] = letter[1:] | letter[:-1]
-        code, row, letter = code[keep], row[keep], letter[keep]
+    for points, row, starts in stretches([x.lower() for x in texts]):
+        code, letter = points.astype(np.uint64), points != 32
         key = code.copy()
         for n in range(2, max(SIZES) + 1):
             key = key[:-1] * PRIME + code[n - 1 :]
             if n in SIZES and len(key):
                 whole = row[: len(key)] == row[n - 1 :]
+                whole[starts:] = False
                 if n == 2:
                     whole &= letter[:-1] | letter[1:]
                 yield key[whole] * MIXES[0] ^ key[whole] >> np.uint64(29), row[: len(key)][whole]
@@ -95,11 +119,13 @@ def positions(keys: np.ndarray, probe: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """planes: a mask of up to 64 languages at each position; miss: each language's false-positive rate."""
+    """planes: a mask of up to 64 languages at each position; miss: each language's false-positive rate; usual: the
+    number of the language with the most labelled texts."""
 
     languages: list[str]
     planes: list[np.ndarray]
     miss: np.ndarray
+    usual: int = 0
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         hits, total = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
@@ -120,9 +146,10 @@ class Filters:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         true = (hits - total * self.miss[:, None]) / (1 - self.miss[:, None])
         share = np.clip(true / np.maximum(total, 1), 0, 1)
-        best = share.argmax(axis=0)
         score = share.max(axis=0)
-        return [self.languages[b] if s > 0 else UNKNOWN for b, s in zip(best, score, strict=True)], score
+        best = np.where(score > 0, share.argmax(axis=0), self.usual)
+        # every n-gram has a letter, so a text without any n-gram has none
+        return [self.languages[b] if n else UNKNOWN for b, n in zip(best, total, strict=True)], score
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +171,17 @@ def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> Filters:
     """Filters from the texts outside the held-out fold. What comes to the driver is one row a filter position."""
     spark = docs.sparkSession
-    small_batches(spark)
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").count().orderBy("lang").collect()
     languages = [x["lang"] for x in sizes]
     if not languages:
         return Filters([], [], np.zeros(0))
-    plan = spark.createDataFrame([(x["lang"], k, int(min(1.0, rows / x["count"]) * (1 << 20))) for k, x in enumerate(sizes)], "lang string, code int, below long")
-    chosen = known.join(F.broadcast(plan), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("below"))
+    usual = max(range(len(sizes)), key=lambda k: (sizes[k]["count"], -k))
+    # a hash decides, drawn with a margin; then the first rows of the hash order count, so that a repeated id can't add more
+    plan = spark.createDataFrame([(x["lang"], k, int(min(1.0, 2 * rows / x["count"]) * (1 << 20))) for k, x in enumerate(sizes)], "lang string, code int, below long")
+    drawn = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(5))
+    chosen = known.join(F.broadcast(plan), "lang").withColumn("drawn", drawn).where(F.pmod("drawn", F.lit(1 << 20)) < F.col("below"))
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("drawn", "doc_id"))).where(F.col("n") <= rows)
     counted = chosen.select("text", "code").mapInArrow(gram_counts, "gram long, code int, n long").groupBy("gram", "code").agg(F.sum("n").alias("n"))
     counted = written(counted, "grams")
     total = counted.groupBy("code").agg(F.sum("n").alias("total"))
@@ -167,18 +197,16 @@ def fit(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> Filters:
         plane[filled["at"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64).astype(kind)
         planes.append(plane)
         miss += [float(np.mean(plane >> kind(k) & kind(1))) ** PROBES for k in range(min(64, len(languages) - j))]
-    return Filters(languages, planes, np.array(miss))
+    return Filters(languages, planes, np.array(miss), usual)
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with a struct ``_found`` of lang_pred and score; no shuffle. The prediction sees the text only."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(filters)  # POSITIONS masks: a fixed size
+    """(row, lang_pred, score): the caller's row as a struct, and the prediction, which sees the text only; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS masks: a fixed size
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def found(text: pd.Series) -> pd.DataFrame:
         lang, score = shared.value.predict([x if isinstance(x, str) else "" for x in text])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("_found", found(F.col("text")))
+    return docs.select(F.struct("*").alias("row"), found(F.col("text")).alias("found")).select("row", "found.lang_pred", "found.score")

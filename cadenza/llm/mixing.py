@@ -9,8 +9,9 @@ Targets: sources in code-point order, null last, have the weights given, repeati
 source stops at MOST times its own size, and the excess is shared again by weight until none is above.
 
 Nulls: a null text has no words and is never taken; a null source is a source, sorted last; a null doc_id is kept.
-Documents without words are returned with taken 0. Repeated rows are documents of their own. Columns that aren't named
-are ignored. An empty table gives no rows.
+Documents without words are returned with taken 0. Very long texts are counted whole and span many blocks. Repeated rows
+are documents of their own; documents with equal hashes go by id and checksum. The columns of a table may have any names:
+the mix as rows keeps them all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import RANK_GROUP_ROWS, dealt, running, written
+from cadenza.llm._work import RANK_GROUP_ROWS, dealt, hot_join, running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPOCHS = 1.5
 MOST = 2.0
 BLOCK = 1024
+#: Copies of one document that are made in one place.
+REPEATED = 1000
 _word = re.compile(WORD.encode())
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -129,12 +132,13 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
     """
     need = np.array([s.slots for s in sources], float)
     total = int(need.sum())
-    bounds = np.cumsum(need) / max(1, total)
+    bounds = [float(x) for x in np.cumsum(need) / max(1, total)]
     last = max(0, len(sources) - 1)
+    # a point belongs to the first source whose bound is above it: one row a source
+    reach = F.array(*(F.lit(x) for x in bounds)) if bounds else F.array(F.lit(1.0))
 
-    @F.pandas_udf(T.IntegerType())
-    def source_of(point: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(np.searchsorted(bounds, point.to_numpy(), side="right"), last).astype(np.int32))
+    def source_of(point: Column) -> Column:
+        return F.least(F.size(F.filter(reach, lambda x: x <= point)), F.lit(last)).cast("int")
 
     drawn = int(total * 1.01) + 64 if total else 0
     point = (F.col("place") + 0.5) * GOLDEN
@@ -169,24 +173,33 @@ def first_words(text: pd.Series, words: pd.Series) -> pd.Series:
 
 def rows(docs: DataFrame, found: Mix, *, key: str = "doc_id") -> DataFrame:
     """The mix as rows with the columns of ``docs``: one for each time that a document comes, its text cut (and n_chars
-    with it) where the source's target ends. Texts are matched by id, source and checksum; equal ones by their number."""
-    same = ["_key", "_source", "_crc"]
+    with it) where the source's target ends. Texts are matched by id, source and checksum. Rows that are equal in these
+    are copies of one document: the mix has as many of them, and their other columns are those of one of them."""
+    same = ["hash", "crc"]
     parts = found.taken.groupBy("code", "start", "epoch").agg(F.sum("words").alias("part"))
     each = found.docs.where("size > 0").join(parts, ["code", "start"]).groupBy("code", "start", "key", "source", "crc", "size").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    copies = each.groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("crc").alias("_crc"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_copies")
-    )
-    copies = written(copies, "copies")
-    marked = docs.select("*", F.col(key).alias("_key2"), F.col("source").alias("_source2"), F.crc32(F.col("text").cast("binary")).alias("_crc2"))
-    matched = lambda which: marked.join(which, [F.col(f"{c}2").eqNullSafe(F.col(c)) for c in same])
-    once, again = copies.where(F.size("_copies") == 1), copies.where(F.size("_copies") > 1)
-    joined = matched(once).withColumn("_nth", F.lit(1))
-    if not again.isEmpty():  # only equal rows have to be numbered; otherwise the texts are shuffled once at most
-        nth = F.row_number().over(Window.partitionBy("_key2", "_source2", "_crc2").orderBy("_key2"))
-        joined = joined.unionByName(matched(again).withColumn("_nth", nth))
-    part = joined.withColumn("_part", F.explode(F.get(F.col("_copies"), F.col("_nth") - 1)["parts"]))
-    cut = F.when(F.col("_part") >= F.col("_size"), F.col("text")).otherwise(first_words("text", "_part"))
-    out = part.withColumn("text", cut)
+    each = written(each.select(F.xxhash64("key", "source").alias("hash"), "crc", "size", "parts"), "parts")
+    many = written(each.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).withColumn("n", F.col("copies")), "copies")
+    each = written(hot_join(each, many, same, "n"), "each")
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(key), F.col("source")).alias("hash"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    joined = whole.join(each.where("copies = 1"), same).select("row", "parts", "size")
+    again = each.where("copies > 1")
+    if not again.isEmpty():  # otherwise the texts are shuffled once at most
+        joined = joined.unionByName(copied(whole, again))
+    part = joined.select("row", "size", F.explode("parts").alias("part"))
+    text = F.col("row")["text"]
+    row = F.col("row").withField("text", F.when(F.col("part") >= F.col("size"), text).otherwise(first_words(text, F.col("part"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.length(row["text"]).cast(docs.schema["n_chars"].dataType))
+    return part.select(row.alias("row")).select("row.*")
+
+
+def copied(whole: DataFrame, again: DataFrame) -> DataFrame:
+    """Rows of documents that come several times. A group of copies may hold much of the table, so that one row stands for
+    all, and it is repeated in steps of REPEATED."""
+    texts = whole.groupBy("hash", "crc").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    groups = again.groupBy("hash", "crc", "size", "parts").agg(F.count(F.lit(1)).alias("times"))  # few ways to be taken
+    step = F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(REPEATED))).alias("from")
+    steps = texts.join(groups.select("hash", "crc", "size", "parts", "times", step), ["hash", "crc"]).repartition("hash", "crc", "from")
+    each = F.array_repeat("parts", F.least(F.lit(REPEATED), F.col("times") - F.col("from")).cast("int"))
+    return steps.select("row", F.explode(each).alias("parts"), "size")

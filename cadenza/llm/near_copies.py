@@ -10,11 +10,14 @@ together, so such tile pairs are skipped without losing a link. The others are c
 
 Verification: each candidate pair is joined with both sets and compared exactly; components go over verified pairs.
 
-Large groups: in a tile pair each node lists its ``FEW`` nearest candidates and the first one. Nodes with unlisted
-candidates go through another round with a list eight times as long, in which pairs that are already in one component are
-left out. Rounds end when nothing is unlisted, so no candidate is dropped, and a group of copies doesn't list all pairs.
-
-Nulls and texts without words are one node without shingles, which is like no other.
+Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
+all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates and the first one, and two components no more
+than ``FEW`` pairs between them. Nodes with unlisted candidates go through another round with lists eight times as long, in
+which pairs that are already in one component are left out. Rounds end when nothing is unlisted, so no candidate is
+dropped, and a group of copies doesn't list all pairs.
+
+Nulls and texts without words are one node without shingles, which is like no other. Very long texts are read whole. Equal
+distances are listed in the order of ids. The columns of a table may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import small_batches, written
-from cadenza.llm.simhash import SEED, STRIP, components, one_of_found
+from cadenza.llm._work import discard, hot_join, written
+from cadenza.llm.simhash import SEED, STRIP, components, lowest_of, one_of_found
 
 SHINGLE = 5
 #: A similarity of 4 / 5 or more makes near copies.
 LIKE, OF = 4, 5
 #: Bits of 128.
 RADIUS = 32
-FEW = 16
+FEW = 4
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
 TILES, TILE_FROM, TILE_TO = 24, 4096, 65_536
 #: Keys that are broadcast at once.
@@ -88,9 +91,9 @@ def marks(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "n", "hi", "lo"])
 
 
-@F.pandas_udf(T.BooleanType())
-def has_id(text: pd.Series, node: pd.Series) -> pd.Series:
-    return pd.Series([split(x)[0] == i for x, i in zip(text, node, strict=True)], dtype=bool)
+@F.pandas_udf(T.LongType())
+def node_of(text: pd.Series) -> pd.Series:
+    return pd.Series([split(x)[0] for x in text], dtype="int64")
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +140,19 @@ def cut(size: int):
 CUT = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("nodes", pa.binary())])
 
 
+def sizes_of(labels: np.ndarray) -> np.ndarray:
+    """How many nodes have the label of each."""
+    _, which, many = np.unique(labels, return_inverse=True, return_counts=True)
+    return many[which]
+
+
 def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The listed candidates (u, v) of two tiles that are sorted by n, and the ids of nodes with unlisted ones."""
     us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sizes = b["n"].astype(np.int64)
     hi, lo = np.ascontiguousarray(b["hi"]), np.ascontiguousarray(b["lo"])
+    many_a, many_b = sizes_of(a["label"]), sizes_of(b["label"])
+    between: dict[tuple[int, int], int] = {}  # listed pairs between two components of several nodes
     for at in range(0, len(a), STRIP):
         strip = a[at : at + STRIP]
         n = strip["n"].astype(np.int64)
@@ -165,6 +176,10 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: in
         rank[order] = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
         listed = rank < few
         listed[starts] = True
+        for k in np.flatnonzero(listed & (many_a[i + at] > 1) & (many_b[j] > 1)):
+            pair = (int(strip["label"][i[k]]), int(b["label"][j[k]]))
+            between[pair] = between.get(pair, 0) + 1
+            listed[k] = between[pair] <= few
         us.append(strip["id"][i[listed]])
         vs.append(b["id"][j[listed]])
         more.append(np.unique(np.concatenate([strip["id"][i[~listed]], b["id"][j[~listed]]])))
@@ -181,8 +196,9 @@ def compared(few: int):
     return run
 
 
-def candidates(nodes: DataFrame, few: int) -> DataFrame:
-    """(u, v) of listed candidates, and (u, null) of nodes with unlisted ones, from (id, n, hi, lo, label)."""
+def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, bool]:
+    """(u, v) of listed candidates and (u, null) of nodes with unlisted ones, from (id, n, hi, lo, label); and whether
+    these are of all tile pairs. ``alone``: each tile is compared with itself only."""
     count = nodes.count()
     size = min(TILE_TO, max(TILE_FROM, count // TILES))
     order = ("n", "hi", "id")
@@ -190,18 +206,19 @@ def candidates(nodes: DataFrame, few: int) -> DataFrame:
     tiles = written(ranged.mapInArrow(cut(size), "part int, nth int, low int, high int, nodes binary"), "tiles")
     one = tiles.select(F.col("part").alias("pa"), F.col("nth").alias("na"), "high")
     two = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), "low")
+    same = (F.col("pa") == F.col("pb")) & (F.col("na") == F.col("nb"))
     later = (F.col("pb") > F.col("pa")) | ((F.col("pb") == F.col("pa")) & (F.col("nb") >= F.col("na")))
     # rows of whole tiles, without the nodes
-    pairs = written(one.join(F.broadcast(two), later & (F.col("low").cast("long") * LIKE <= F.col("high").cast("long") * OF)).select("pa", "na", "pb", "nb"), "pairs")
+    reach = same if alone else later & (F.col("low").cast("long") * LIKE <= F.col("high").cast("long") * OF)
+    pairs = written(one.join(F.broadcast(two), reach).select("pa", "na", "pb", "nb"), "pairs")
     left = tiles.select(F.col("part").alias("pa"), F.col("nth").alias("na"), F.col("nodes").alias("a"))
     right = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("nodes").alias("b"))
-    same = (F.col("pa") == F.col("pb")) & (F.col("na") == F.col("nb"))
     tasks = max(12, min(4000, -(-pairs.count() // 4)))
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     both = pairs.join(left, ["pa", "na"]).join(right, ["pb", "nb"]).repartition(tasks, "pa", "na", "pb", "nb")
     found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates")
-    small_batches(nodes.sparkSession)
-    return found
+    whole = not alone or tiles.count() <= 1
+    discard(tiles, pairs)
+    return found, whole
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -222,37 +239,36 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, key: str, t
     ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     wanted = written(nodes.join(ends, "id", "left_semi").select("id", "first"), "wanted")
     known = written(sets_of(docs, wanted, key=key, text=text), "known")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     both = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     made = written(both.where(alike("a", "b")).select("u", "v"), "verified")
-    small_batches(docs.sparkSession)
+    discard(wanted, known)
     return made
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
-    small_batches(docs.sparkSession)
     marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked").select("key", "m.*")
-    nodes = written(marked.groupBy("id", "n", "hi", "lo").agg(F.min("key").alias("first")), "nodes")
-    left, roots, links = nodes.withColumn("label", F.col("id")), None, None
+    nodes = written(marked.groupBy("id", "n", "hi", "lo").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+    left, roots, links, alone = nodes.withColumn("label", F.col("id")), None, None, True
     while True:
-        found = candidates(left, few)
+        found, whole = candidates(left, few, alone=alone)
         pairs = written(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "listed")
         made = verified(docs, nodes, pairs, key=key, text=text)
         links = made if links is None else links.unionAll(made)
         roots = written(components(links), "roots")
-        more = written(found.where("v is null").select(F.col("u").alias("id")).distinct(), "more")
-        if more.isEmpty():
-            break
-        left = nodes.join(more, "id", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        left, few = written(left.select("id", "n", "hi", "lo", F.coalesce("root", "id").alias("label")), "left"), few * 8
-    member = roots.union(roots.select("root", "root").distinct())
-    lowest = member.join(nodes, F.col("node") == F.col("id")).groupBy("root").agg(F.min("first").alias("lowest"))
-    merged = member.join(lowest, "root").select(F.col("node").alias("id"), "lowest", "root")
-    named = written(nodes.join(merged, "id", "left").select("id", F.coalesce("lowest", "first").alias("component_id"), F.coalesce("root", "id").alias("root")), "named")
-    return marked.join(named, "id").select(F.col("key").alias(key), F.col("id").alias("fp"), "component_id", "root")
+        if whole:
+            more = written(found.where("v is null").select(F.col("u").alias("id")).distinct(), "more")
+            if more.isEmpty():
+                break
+            left, few = nodes.join(more, "id", "left_semi"), few * 8
+        else:
+            left, alone = nodes, False
+        left = left.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        left = written(left.select("id", "n", "hi", "lo", F.coalesce("root", "id").alias("label")), "left")
+    named = lowest_of(roots, nodes.select("id", "first", F.col("rows").alias("n")), "id")
+    return hot_join(marked.select("key", "id"), named, ["id"], "n").select(F.col("key").alias(key), F.col("id").alias("fp"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` less near copies, by the rules of ``simhash.one_of_each``."""
-    return one_of_found(docs, linked(docs, key=key, text=text), lambda node: has_id(F.col(text), node), key=key)
+    return one_of_found(docs, linked(docs, key=key, text=text), node_of(F.col(text)), key=key)

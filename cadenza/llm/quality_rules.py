@@ -5,8 +5,10 @@ probability on rows that the fit didn't see (a logistic curve), and texts are sc
 threshold.
 
 Nulls: a null text has no words and so fails the base rules; a null label or doc_id isn't learned from. Empty and blank
-texts have no words. Repeated rows are judged alike, each by itself. Columns that aren't named are ignored. With no
-labelled rows, or only one class, the model says nothing and the base rules decide alone. An empty table gives no rows.
+texts have no words. Very long texts are read whole, in steps that overlap. Repeated rows are judged alike, each by
+itself; of an id with several labels the largest counts. A score equal to the threshold is kept. Results come beside the
+caller's row, whose columns may have any names. With no labelled rows, or only one class, the model says nothing and the
+base rules decide alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import _features as X
-from cadenza.llm._work import small_batches
+from cadenza.llm._work import drawn
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
-#: Labelled rows that a model is fitted to: a hash sample of the labelled rows of about this size.
+#: Labelled rows that a model is fitted to: the first of a hash order, so never more than these.
 TRAIN_ROWS = 3000
 SYMBOLS = b"#*$%&|<>"
 
@@ -81,11 +83,12 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, y): about ``rows`` labelled texts, chosen by a hash of the id, so that reruns agree."""
+    """(doc_id, text, y): ``rows`` labelled texts at most, chosen by a hash, so that reruns agree."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    share = rows / max(1, marked.count())
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("double"))
+    share = 2 * rows / max(1, marked.count())
+    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)))  # about 2 * rows ids
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("double"))
+    return drawn(found, rows, "doc_id", "text")
 
 
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, epochs: i
 
 
 def judge(docs: DataFrame, model: Model | None, *, keep_from: float = KEEP_FROM) -> DataFrame:
-    """All columns of ``docs`` that the contract names, the counts, base_failed, score and kept, row by row; no shuffle."""
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few weights tables of fixed size
+    """(row, the counts, score, base_failed, kept): the caller's row as a struct, and the verdict, row by row; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few weights tables of fixed size
 
     @F.pandas_udf(T.StructType([T.StructField(x.split()[0], T.LongType()) for x in STATS.split(", ")] + [T.StructField("score", T.DoubleType())]))
     def judged(text: pd.Series) -> pd.DataFrame:
@@ -145,10 +146,6 @@ def judge(docs: DataFrame, model: Model | None, *, keep_from: float = KEEP_FROM)
         out["score"] = shared.value.scores(texts) if shared.value is not None else 1.0
         return out
 
-    got = F.col("_judged")
-    failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PERCENT * got["n_words"])
-    return docs.withColumn("_judged", judged(F.col("text"))).withColumn("_failed", failed).withColumn("_kept", ~failed & (got["score"] >= keep_from))
-
-
-def flat(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "_judged.*", F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    got = docs.select(F.struct("*").alias("row"), judged(F.col("text")).alias("judged")).select("row", "judged.*")
+    return got.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= keep_from))

@@ -62,7 +62,7 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
-    return found.select("doc_id", language.held_out().alias("held_out"), "_found.*")
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", language.held_out())
 
 
 def op6_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,8 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hashed_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.flat(quality_rules.judge(docs, model))
+    judged = quality_rules.judge(docs, model)
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

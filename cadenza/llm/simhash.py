@@ -9,14 +9,18 @@ population counts within the radius, so tile pairs that are further apart are sk
 with numpy exclusive-or and bit counts. No link is lost, and a tile pair gives back a spanning forest of its links,
 never all pairs. Equal texts have equal fingerprints and so are compared once, however many copies there are.
 
-Nulls and texts without words have the fingerprint zero, which is linked like any other. A null doc_id gets a result
-row but is never the id of a component, unless all ids in it are null. Repeated rows each get a row. Columns that aren't
-named are ignored. An empty table gives no rows.
+Hot groups: rows of a fingerprint that very many rows share, and the links of a fingerprint that very many others link
+to, are joined by broadcasting those few keys, so that no task gets a whole group.
+
+Nulls and texts without words have the fingerprint zero, which is linked like any other. Very long texts are read whole.
+A null doc_id gets a result row but is never the id of a component, unless all ids in it are null. Repeated rows each get
+a row; a bit that is set in exactly half of the shingles isn't set. Columns that aren't named are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -24,11 +28,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import small_batches, written
+from cadenza.llm._work import discard, hot_join, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -64,12 +68,6 @@ def fingerprints(text: pd.Series, shingle: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(x.encode(), k) if isinstance(x, str) else 0 for x in text], np.uint64).view(np.int64))
 
 
-@F.pandas_udf(T.BooleanType())
-def has_print(text: pd.Series, shingle: pd.Series, fp: pd.Series) -> pd.Series:
-    """Whether the text has the fingerprint. As it takes both sides' columns, a join comes before it."""
-    return pd.Series([(fingerprint(x.encode(), int(k)) if isinstance(x, str) else 0) == f % (1 << 64) for x, k, f in zip(text, shingle, fp, strict=True)], dtype=bool)
-
-
 def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of TILE fingerprints, in the order in which they come."""
     held, count, part = [], 0, TaskContext.get().partitionId()
@@ -154,14 +152,13 @@ def compared(radius: int):
 
 def tile_links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints of column ``fp`` which differ in at most ``radius`` bits."""
-    spark = prints.sparkSession
-    distinct = written(prints.select("fp").distinct(), "prints")
+    distinct = prints.select("fp").distinct()
     count = distinct.count()
     parts = max(1, -(-count // TILE))
     ones = F.bit_count("fp")
     cut = written(distinct.repartitionByRange(parts, ones, "fp").sortWithinPartitions(ones, "fp").mapInArrow(tiles, "part int, nth int, low int, high int, prints binary"), "tiles")
-    # the order of tiles: a row for each TILE fingerprints, without the fingerprints
-    numbered = cut.select("part", "nth", "low", "high", F.row_number().over(_in_order()).alias("tile"))
+    # the order of tiles: one row for each TILE fingerprints, without the fingerprints, so one task holds count / TILE rows
+    numbered = cut.select("part", "nth", "low", "high", F.row_number().over(Window.orderBy("part", "nth")).alias("tile"))
     reach = numbered.select("tile", F.explode(F.sequence("low", F.lit(64))).alias("ones")).groupBy("ones").agg(F.max("tile").alias("last"))  # 65 rows at most
     pairs = numbered.join(F.broadcast(reach), F.least(F.col("high") + radius, F.lit(64)) == F.col("ones"))
     pairs = written(pairs.select(F.col("part").alias("pa"), F.col("nth").alias("na"), F.col("tile").alias("ta"), F.explode(F.sequence("tile", "last")).alias("tb")), "pairs")
@@ -169,24 +166,15 @@ def tile_links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     left = cut.select(F.col("part").alias("pa"), F.col("nth").alias("na"), F.col("prints").alias("a"))
     right = cut.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("prints").alias("b"))
     each = max(1, min(4000, -(-pairs.count() // 8)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     both = pairs.join(names, "tb").join(left, ["pa", "na"]).join(right, ["pb", "nb"]).select("ta", "tb", (F.col("ta") == F.col("tb")).alias("same"), "a", "b")
-    links = written(both.repartition(max(12, each), "ta", "tb").select("same", "a", "b").mapInArrow(compared(radius), LINKS), "links")
-    small_batches(spark)
-    return links
-
-
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("part", "nth")
+    return written(both.repartition(max(12, each), "ta", "tb").select("same", "a", "b").mapInArrow(compared(radius), LINKS), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that is reachable; nodes without links are absent.
 
     Alternating large-star and small-star steps, each written to the shared folder; the number of rounds grows with the
-    logarithm of the size of a component.
+    logarithm of the size of a component. What a round read is deleted once the next is written.
     """
     pairs = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
@@ -196,45 +184,55 @@ def components(links: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "stars")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest)
-        pairs = written(small.distinct(), "stars")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "stars")
+        large = written(hot_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        small = hot_join(large, lowest, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
+        read, pairs = pairs, written(small.distinct(), "stars")
+        discard(read, least, large, lowest)
+
+
+def lowest_of(roots: DataFrame, first: DataFrame, node: str) -> DataFrame:
+    """(node, component_id, root, n) of each node of the written ``first`` (node, first: its smallest key, n: its rows)."""
+    member = roots.union(roots.select("root", "root").distinct())
+    known = member.join(first.select(F.col(node).alias("node"), "first"), "node")
+    lowest = written(known.groupBy("root").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("nodes")), "lowest")
+    merged = hot_join(member, lowest, ["root"], "nodes").select(F.col("node").alias(node), "lowest", "root")
+    return written(first.join(merged, node, "left").select(node, F.coalesce("lowest", "first").alias("component_id"), F.coalesce("root", node).alias("root"), "n"), "named")
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id, root) of each row; root is the component's smallest fingerprint and names it for sure, as
     an id may come in more than one."""
-    small_batches(docs.sparkSession)
     marked = written(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), F.lit(shingle)).alias("fp")), "marked")
-    roots = components(tile_links(marked, radius=radius))
-    first = marked.groupBy("fp").agg(F.min("key").alias("first"))
-    member = roots.union(roots.select("root", "root").distinct())
-    lowest = member.join(first, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("lowest"))
-    merged = member.join(lowest, "root").select(F.col("node").alias("fp"), "lowest", "root")
-    named = written(first.join(merged, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
-    return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
+    first = written(marked.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    named = lowest_of(components(tile_links(first, radius=radius)), first, "fp")
+    return hot_join(marked, named, ["fp"], "n").select(F.col("key").alias(key), "fp", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the row with the smallest id stays. Rows without an
-    id stay only where no row of their component has one; of rows that repeat an id, one stays."""
+    id stay only where no row of their component has one; of rows that repeat an id and a fingerprint, one stays. The
+    columns of ``docs`` may have any names."""
     found = linked(docs, key=key, text=text, shingle=shingle, radius=radius)
-    return one_of_found(docs, found, lambda fp: has_print(F.col(text), F.lit(shingle), fp), key=key)
-
-
-def one_of_found(docs: DataFrame, found: DataFrame, has: Callable[[Column], Column], *, key: str) -> DataFrame:
-    """``one_of_each`` of the rows' (key, fp, component_id, root); ``has`` tells whether a row of ``docs`` has an fp."""
-    found = written(found.withColumnRenamed(key, "_key"), "linked")
-    rows = found.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = found.where(F.col("_key").eqNullSafe(F.col("component_id"))).groupBy("_key", "root").agg(F.min("fp").alias("_fp"))
-    kept = written(kept.join(rows.withColumnRenamed("_key", "_same"), F.col("_key").eqNullSafe(F.col("_same"))).select("_key", "_fp", "_rows"), "kept")
-    once, again = kept.where("_rows = 1 and _key is not null"), kept.where("_rows > 1 or _key is null")
+    return one_of_found(docs, found, fingerprints(F.col(text), F.lit(shingle)), key=key)
+
+
+def one_of_found(docs: DataFrame, found: DataFrame, mark: Column, *, key: str) -> DataFrame:
+    """``one_of_each`` of the rows' (key, fp, component_id, root); ``mark`` gives the fp of a row of ``docs``."""
+    hashed = F.xxhash64("key")  # never null
+    found = written(found.select(F.col(key).alias("key"), "fp", "component_id", "root").withColumn("hash", hashed), "linked")
+    rows = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n")), "rows")
+    kept = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key", "hash", "root").agg(F.min("fp").alias("fp"))
+    kept = written(hot_join(kept, rows, ["hash"], "n").select("key", "hash", "fp", "rows"), "kept")
+    once, again = kept.where("rows = 1 and key is not null"), kept.where("rows > 1 or key is null")
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), mark.alias("fp"))
     # the ids that stay grow with the input, so they are never broadcast: the plan is one at every size
-    single = docs.join(once.select("_key").hint("merge"), F.col(key) == F.col("_key"), "left_semi")
+    single = whole.select("row", "key").join(once.select("key").hint("merge"), "key", "left_semi").select("row.*")
     if again.isEmpty():  # ids are unique: the texts are shuffled once at most
         return single
-    repeated = docs.join(again, F.col(key).eqNullSafe(F.col("_key"))).where(has(F.col("_fp")))
-    return single.unionByName(repeated.dropDuplicates(["_key", "_fp"]).select(docs.columns))
+    keys = written(again.groupBy("hash").agg(F.first("rows").alias("n")), "again")
+    copies = hot_join(whole.withColumn("hash", hashed), keys, ["hash"], "n").groupBy("hash", "key", "fp").agg(F.first("row").alias("row"))  # copies go before the shuffle
+    wanted = again.select(F.col("hash").alias("_hash"), F.col("key").alias("_key"), F.col("fp").alias("_fp"))
+    repeated = copies.join(wanted, (F.col("hash") == F.col("_hash")) & (F.col("fp") == F.col("_fp")) & F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    return single.unionByName(repeated.select("row.*"))

@@ -5,9 +5,15 @@ host and all subdomains if the URL's path starts with the rule's; the longest th
 are scored by trees that are trained on labelled URLs. The features are lengths, depth, digit ratio, character entropy,
 parameter counts, and how often each suffix (top-level domain, file ending) is blocked among the labelled URLs.
 
+Where the rules are the only source of labels, the URLs that none of them decides count as weak examples of "allow"
+(UNDECIDED of a labelled URL each): no rule speaks against them. Without them, the trees would know a suffix only from the
+rules that block it, and would block all of it.
+
 Nulls: a null URL, or one without ``://``, has an empty host and path; no rule fits it, and the trees judge its lengths.
-A null page_id is kept. Repeated rows are judged alike. Columns that aren't named are ignored. If the labelled URLs are
-fewer than two classes, the verdict without a rule is "allow". An empty table gives no rows.
+A null page_id is kept. Repeated rows are judged alike, and a URL that repeats is learned from once. Very long URLs are
+judged whole. Equal scores get equal verdicts; of rules that fit, the longest is unique. Columns that aren't named are
+ignored. If the labelled URLs are fewer than two classes, the verdict without a rule is "allow". An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ from pyspark.sql import functions as F
 from cadenza.llm._work import written
 
 ALLOW, BLOCK = "allow", "block"
-#: Labelled URLs that the trees are trained on: a hash sample of about this size.
+#: Distinct URLs that the trees are trained on: a hash sample of about this size at most.
 TRAIN_ROWS = 8000
+UNDECIDED = 0.5
 TREES, DEPTH = 8, 4
 BLOCK_FROM = 0.5
 #: A suffix's rate is drawn towards the overall rate as if by this many URLs.
@@ -99,24 +106,26 @@ def assembled(features: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, *, url: str = "url", rows: int = TRAIN_ROWS) -> Filter:
-    """Trees from (url, label) rows; label 1 means block."""
-    known = labelled.where(F.col("label").isNotNull()).select(url, F.col("label").cast("double").alias("label"))
+    """Trees from (url, label) rows, with a column ``weight`` if there is one; label 1 means block."""
+    weight = F.col("weight").cast("double") if "weight" in labelled.columns else F.lit(1.0)
+    known = labelled.where(F.col("label").isNotNull()).select(url, F.col("label").cast("double").alias("label"), weight.alias("weight"))
     n, ones = known.agg(F.count(F.lit(1)), F.count_if(F.col("label") > 0)).first()
     if not 0 < ones < n:
         return Filter(None, {}, 0.0)
     below = int(min(1.0, rows / n) * (1 << 20))
-    chosen = written(lexical(known.where(F.pmod(F.xxhash64(url), F.lit(1 << 20)) < below), url), "url-sample")
+    drawn = known.where(F.pmod(F.xxhash64(url), F.lit(1 << 20)) < below).distinct()  # copies of a hot URL go before the shuffle
+    chosen = written(lexical(drawn, url), "url-sample")
     chosen = chosen.coalesce(4)  # a bounded sample; many short rounds follow
-    count, ones = chosen.agg(F.count(F.lit(1)), F.sum("label")).first()
+    count, ones, weights, share = chosen.agg(F.count(F.lit(1)), F.count_if(F.col("label") > 0), F.sum("weight"), F.sum(F.col("label") * F.col("weight"))).first()
     if not count or not 0 < ones < count:
         return Filter(None, {}, 0.0)
-    overall = ones / count
+    overall = share / weights
     suffixes = {}
     for kind in ("tld", "ending"):
-        rate = (F.sum("label") + PRIOR_URLS * overall) / (F.count(F.lit(1)) + PRIOR_URLS)
-        suffixes[kind] = written(chosen.groupBy(kind).agg(rate.alias(f"{kind}_rate"), F.log1p(F.count(F.lit(1))).alias(f"{kind}_seen")), f"suffix-{kind}")
-    ready = assembled(with_suffixes(chosen, suffixes, overall)).select("features", "label")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, minInstancesPerNode=5).fit(ready)
+        rate = (F.sum(F.col("label") * F.col("weight")) + PRIOR_URLS * overall) / (F.sum("weight") + PRIOR_URLS)
+        suffixes[kind] = written(chosen.groupBy(kind).agg(rate.alias(f"{kind}_rate"), F.log1p(F.sum("weight")).alias(f"{kind}_seen")), f"suffix-{kind}")
+    ready = assembled(with_suffixes(chosen, suffixes, overall)).select("features", "label", "weight")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, minInstancesPerNode=5, weightCol="weight").fit(ready)
     return Filter(trees, suffixes, overall)
 
 
@@ -133,8 +142,10 @@ def judge(pages: DataFrame, rules: dict[str, str], found: Filter, *, block_from:
     return scored.select("page_id", "host", "path", which.alias("rule"), verdict.alias("verdict"), "score")
 
 
-def labelled_by_rules(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(url, label) of the URLs that a rule decides: label 1 for block."""
+def labelled_by_rules(pages: DataFrame, rules: dict[str, str], *, undecided: float = UNDECIDED) -> DataFrame:
+    """(url, label, weight): label 1 where a rule blocks, 0 where one allows, and 0 with less weight where none decides."""
     host, path, _ = parsed(F.col("url"))
     decided = ruled(host, path, rules)[1]
-    return pages.select("url", (decided == BLOCK).cast("double").alias("label")).where(F.col("label").isNotNull())
+    label = F.coalesce((decided == BLOCK).cast("double"), F.lit(0.0))
+    known = pages.select("url", label.alias("label"), F.when(decided.isNull(), undecided).otherwise(1.0).alias("weight"))
+    return known.where(F.col("weight") > 0)

@@ -8,12 +8,18 @@ Index: the captures are range-sorted by reversed-host key. Each index file is a
 and, at its end, a sparse directory with the first key of each block. A lookup finds the file by the files' first keys,
 binary-searches the directory, and reads just the blocks that may hold the key; records are then read by ranges.
 
-A task that fails leaves files that nothing refers to: only what a successful task gives back is kept.
+Which record is a revisit is decided on ids and digests alone, and revisits are written from these small rows. Responses
+are the pages that aren't in the list of revisits: where that list is too large to broadcast, html is shuffled once, by
+page, so that a payload which very many pages share isn't gathered.
+
+A lookup deals a key's index files to several tasks and gives back a block at a time, so that a URL which very many
+captures share is held by no task. A task that fails leaves files that nothing refers to: only what a successful task
+gives back is kept.
 
 Nulls: a null html is an empty payload; a null URL is the empty URL, with a key like any other; a null page_id is written
 as such, is smaller than no other id, and isn't referred to unless all ids of its payload are null. Repeated rows are
-records of their own; all rows with the smallest id of a payload are responses. Columns that aren't named are ignored.
-An empty table gives no records and an empty index.
+records of their own; all rows with the smallest id of a payload are responses. Very long payloads are written whole.
+Columns that aren't named are ignored. An empty table gives no records and an empty index.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._work import fresh_dir, small_batches, written
+from cadenza.llm._work import fresh_dir, hot_join, written
 
 DATE = "2026-01-01T00:00:00Z"
 #: Compressed bytes after which a task begins another archive.
@@ -59,15 +65,17 @@ def gzipped(data: bytes) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit (refers_to is given) has the HTTP head only."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, *, known: tuple[str, int] | None = None) -> bytes:
+    """One WARC record; a revisit (refers_to is given) has the HTTP head only. ``known``: the payload's digest and size,
+    where the payload isn't at hand."""
+    name_of, size = known or (digest(payload), len(payload))
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     revisit = refers_to is not None
     block = http if revisit else http + payload
     name = lambda x: f"<urn:page:{'null' if x is None else x}>"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
     head.append("WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"))
-    head.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{name_of}")
     if revisit:
         head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -110,16 +118,32 @@ def url_key(url: Column) -> Column:
 PLACES = "url_key string, archive string, at long, size long"
 
 
+def decided(pages: DataFrame, least: int) -> DataFrame:
+    """A written table of (page_id, url, url_key, sha, bytes, refers_to, shared) of each page, without the html: refers_to
+    for revisits, and whether a payload that counts comes more than once."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    small = written(pages.select("page_id", "url", url_key(F.col("url")).alias("url_key"), F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("bytes")), "digests")
+    several = small.where(F.col("bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    several = written(several, "payloads")
+    known = small.where(F.col("bytes") >= least)
+    shared = hot_join(known, several, ["sha"], "n").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    return written(shared.select("page_id", "url", "url_key", "sha", "bytes", "refers_to"), "shared")
+
+
 def write(pages: DataFrame, *, least: int = 0) -> DataFrame:
     """Write the archives; one row a record, with its key and place."""
-    small_batches(pages.sparkSession)
     folder = fresh_dir(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    shared = decided(pages, least)
+    revisits = shared.where("refers_to is not null")
+    # a page is a revisit if its (page_id, sha) is in the list: what goes to the join is spread by page
+    again = revisits.select(F.xxhash64("page_id").alias("_id"), F.col("sha").alias("_sha")).distinct()
     rows = pages.select("page_id", "url", url_key(F.col("url")).alias("url_key"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    large = rows.where(F.octet_length("payload") >= least)
-    several = large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
-    several = written(several, "payloads")  # its true size decides how Spark joins it
-    tagged = rows.join(several, "sha", "left").select("page_id", "url", "url_key", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")) & (F.octet_length("payload") >= least), F.col("first")).alias("refers_to"))
+    responses = rows.join(again, (F.xxhash64("page_id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti")
+    empty = F.lit(None)
+    tagged = responses.select("page_id", "url", "url_key", "payload", empty.cast("long").alias("refers_to"), empty.cast("string").alias("sha"), empty.cast("long").alias("bytes")).unionByName(
+        revisits.select("page_id", "url", "url_key", empty.cast("binary").alias("payload"), "refers_to", "sha", "bytes")
+    )
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = opened(folder)
@@ -127,11 +151,12 @@ def write(pages: DataFrame, *, least: int = 0) -> DataFrame:
         out, path, at = None, "", 0
         for batch in batches:
             places = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page_id, url, payload, refers_to, sha, size in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "sha", "bytes")), strict=True):
                 if out is None:
                     path, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(f"{root}/{path}", compression=None)
-                data = gzipped(record(page_id, url, payload, refers_to))
+                known = None if sha is None else (base64.b32encode(bytes.fromhex(sha)).decode(), size)
+                data = gzipped(record(page_id, url, payload or b"", refers_to, known=known))
                 out.write(data)
                 places.append((f"{folder}/{path}", at, len(data)))
                 at += len(data)
@@ -198,32 +223,38 @@ def lookup(wanted: DataFrame, index: Index) -> DataFrame:
     files = index.files
     firsts, lasts = [x[1].encode() for x in files], [x[2].encode() for x in files]
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The index files that may hold each key."""
+        for batch in batches:
+            keys = batch.column("url_key").to_pylist()
+            found = [(k, key) for key in keys for k in range(bisect_left(lasts, key.encode()), bisect_right(firsts, key.encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([key for _, key in found], pa.string())], ["file", "url_key"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, open_, directory, keys, blocks = None, -1, [], [], {}
+        stream, open_, directory, keys, at_block, lines = None, -1, [], [], -1, {}
         for batch in batches:
-            out = []
-            for key in batch.column("url_key").to_pylist():
+            for k, key in zip(batch.column("file").to_pylist(), batch.column("url_key").to_pylist(), strict=True):
                 code = key.encode()
-                for k in range(bisect_left(lasts, code), bisect_right(firsts, code)):
-                    if k != open_:
-                        system, path = opened(files[k][0])
-                        stream = system.open_input_file(path)
-                        end = stream.size()
-                        foot = int.from_bytes(stream.read_at(8, end - 8), "little")
-                        directory = json.loads(zlib.decompress(stream.read_at(foot, end - 8 - foot), wbits=31))
-                        keys, blocks, open_ = [x[0].encode() for x in directory], {}, k
-                    for b in range(max(0, bisect_left(keys, code) - 1), bisect_right(keys, code)):
-                        if b not in blocks:
-                            _, at, size = directory[b]
-                            if len(blocks) > 1:  # keys come in order: older blocks aren't needed again
-                                blocks = {}
-                            blocks[b] = [json.loads(x) for x in zlib.decompress(stream.read_at(size, at), wbits=31).split(b"\n")]
-                        out += [x for x in blocks[b] if x[0] == key]
-            cols = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["url_key", "archive", "at", "size"])
+                if k != open_:
+                    system, path = opened(files[k][0])
+                    stream = system.open_input_file(path)
+                    end = stream.size()
+                    foot = int.from_bytes(stream.read_at(8, end - 8), "little")
+                    directory = json.loads(zlib.decompress(stream.read_at(foot, end - 8 - foot), wbits=31))
+                    keys, at_block, open_ = [x[0].encode() for x in directory], -1, k
+                for b in range(max(0, bisect_left(keys, code) - 1), bisect_right(keys, code)):
+                    if b != at_block:  # keys come in order, so a block is read once
+                        _, at, size = directory[b]
+                        lines, at_block = {}, b
+                        for line in zlib.decompress(stream.read_at(size, at), wbits=31).split(b"\n"):
+                            x = json.loads(line)
+                            lines.setdefault(x[0], []).append(x)
+                    if key in lines:  # a block's captures at a time
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines[key], strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["url_key", "archive", "at", "size"])
 
     parts = max(1, -(-index.captures // READ_ROWS))
-    return wanted.select("url_key").distinct().repartitionByRange(parts, "url_key").sortWithinPartitions("url_key").mapInArrow(find, PLACES)
+    pairs = wanted.select("url_key").distinct().mapInArrow(places, "file int, url_key string")
+    return pairs.repartitionByRange(parts, "file", "url_key").sortWithinPartitions("file", "url_key").mapInArrow(find, PLACES)
 
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
@@ -231,7 +262,6 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload
 
 def read(places: DataFrame, captures: int, *, payloads: bool = True) -> DataFrame:
     """The records at the places (archive, at, size), read by ranges and checked against their digests."""
-    small_batches(places.sparkSession)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, stream, begin, held = None, None, 0, b""
