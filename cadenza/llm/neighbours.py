@@ -1,39 +1,45 @@
-"""Nearest neighbours along shifted Hilbert curves, with an exact check.
-
-Equal vectors are one point. The points are laid out along several Hilbert curves, each over another random projection
-to a few dimensions and another shift; Spark range-partitions each curve's keys, and runs of BLOCK points become blocks.
-A query is compared with its own block and both neighbours on every curve, and the candidates are merged and reranked on
-the original vectors. That bounds the distance of each query's last neighbour.
-
-The exact check then visits the blocks of the first curve that may hold something nearer: a block has a centre and a
-radius, and by the triangle inequality most blocks are skipped where vectors cluster. Vectors without any structure let
-none be skipped, and then the check reads all blocks, in tiles of queries against blocks. So the result is exact.
-
-Nulls: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id or of
-another length than most. Of several vectors of one id, the first in array order counts. Equal distances go to the
-smaller id. With fewer candidates than asked for, all are returned. Columns that aren't named are ignored. An empty
-table, or one without queries, gives no rows.
+"""Nearest neighbours by windows along shifted Hilbert curves.
+
+Equal vectors are one point. The points lie along several Hilbert curves, each over another random projection to a few
+dimensions and another shift. A point's rank along a curve, from 0 to 1, comes from the sorted keys of a bounded sample;
+points with equal keys are dealt over their ranks by a hash. Spark splits each curve into parts of about PART ranks, a
+query goes to each part that its window of ranks touches, and the points of the windows are compared on the original
+vectors. The curves' results are merged and reranked: every result row comes from a window.
+
+The windows' width is measured: for a bounded sample of queries the true neighbours are found among all points, and the
+windows are as wide as it takes to hold ``AIM`` of them on some curve, at every size of the table. Where vectors cluster
+the windows are narrow. Vectors without structure need windows that hold much of the table, and cost accordingly.
+
+Nulls: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id.
+Vectors are compared with those of their own length. Repeated rows, or ids with several vectors, are rows of their own:
+each is a candidate, and a query leaves out just its own row. Equal distances go to the smaller id. With fewer candidates
+than asked for, all are returned. Columns that aren't named are ignored. An empty table, or one without queries, gives no
+rows. Ids and vectors have a fixed size, so that there are no long texts to mind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm._work import small_batches, written
+from cadenza.llm._work import hot_join, written
 
 NEAREST = 10
 CURVES = 3
 PROJECTED, BITS = 6, 10
-BLOCK = 512
+#: Points of a part: what one group holds.
+PART = 8192
+#: Share of the sampled queries' true neighbours that the windows must hold, and the least points on each side.
+AIM, LEAST = 0.97, 1024
+#: Points that the projections are scaled by, keys that ranks are told by, queries that widths are measured on: hash
+#: samples of about these sizes.
+SPREAD_ROWS, KEY_ROWS, WIDTH_ROWS = 2000, 65_536, 256
 TILE = 256
-#: Points that the projections' spread is measured on: a hash sample of about this size.
-SPREAD_ROWS = 2000
 
 
 def usable(vector: Column) -> Column:
@@ -70,193 +76,207 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-POINT = "curve int, place long, rep long, asked boolean, vector binary"
+@dataclass
+class Curves:
+    """A projection, its spread and its shift for each curve, and the sorted sample of its keys."""
+
+    centre: np.ndarray
+    maps: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    keys: list[np.ndarray]
+
+    def places(self, vectors: np.ndarray) -> list[np.ndarray]:
+        out = []
+        with np.errstate(over="ignore", invalid="ignore"):
+            for axes, spread, shift in self.maps:
+                unit = np.nan_to_num((vectors - self.centre) @ axes / (8 * spread) + 0.5 + 0.25 * (shift - 0.5), posinf=1.0, neginf=0.0).clip(0, 1 - 1e-9)
+                out.append(hilbert((unit * (1 << BITS)).astype(np.uint64), BITS))
+        return out
+
+    def ranks(self, vectors: np.ndarray, jitter: np.ndarray) -> list[np.ndarray]:
+        """The points' ranks, from 0 to 1. ``jitter`` (0 to 1) deals points with equal keys."""
+        out = []
+        for place, keys in zip(self.places(vectors), self.keys, strict=True):
+            low, high = np.searchsorted(keys, place), np.searchsorted(keys, place, side="right")
+            # between two sampled keys the rank grows with the key
+            before, after = keys[np.maximum(low - 1, 0)], keys[np.minimum(low, len(keys) - 1)]
+            part = np.clip((place - before) / np.maximum(after - before, 1), 0, 1)
+            # a key that was sampled more than once holds a stretch of ranks
+            rank = np.where(high > low, low + jitter * np.maximum(high - low - 1, 0), np.maximum(low - 1 + part, 0))
+            out.append((rank / (len(keys) + 1)).clip(0, 1 - 1e-12))
+        return out
+
 
+def share_of(rows: int, of: int, seed: int) -> Column:
+    """A hash sample of about ``rows`` of ``of`` points."""
+    return F.pmod(F.xxhash64(F.lit(seed), "mark"), F.lit(1 << 20)) < int(min(1.0, rows / max(1, of)) * (1 << 20))
 
-def laid_out(points: DataFrame, size: int) -> DataFrame:
-    """The points along each curve: (curve, place, rep, asked, vector)."""
-    drawn = points.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(min(1.0, SPREAD_ROWS / max(1, points.count())) * (1 << 20))).select("vector").toPandas()
+
+def fitted(points: DataFrame, count: int, size: int) -> Curves:
+    drawn = points.where(share_of(SPREAD_ROWS, count, 1)).select("vector").orderBy("vector").toPandas()
     sample = np.stack(drawn["vector"].to_list()).astype(float) if len(drawn) else np.zeros((1, size))
     centre, rng = sample.mean(axis=0), np.random.default_rng(9)
     maps = []
     for _ in range(CURVES):
         axes = np.linalg.qr(rng.standard_normal((size, min(PROJECTED, size))))[0]
         maps.append((axes, ((sample - centre) @ axes).std(axis=0) + 1e-12, rng.random(axes.shape[1])))
+    curves = Curves(centre, maps, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = matrix(batch.column("vector"), size)
-            blobs = pa.array([v.tobytes() for v in vectors], pa.binary())
-            for k, (axes, spread, shift) in enumerate(maps):
-                unit = ((vectors - centre) @ axes / (8 * spread) + 0.5 + 0.25 * (shift - 0.5)).clip(0, 1 - 1e-9)
-                place = hilbert((unit * (1 << BITS)).astype(np.uint64), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), k, np.int32)), pa.array(place), batch.column("rep"), batch.column("asked"), blobs], ["curve", "place", "rep", "asked", "vector"])
-
-    return points.select("rep", "asked", "vector").mapInArrow(run, POINT)
-
-
-BLOCKS = "curve int, part int, nth int, reps binary, vectors binary, asked_reps binary, asked_vectors binary, centre array<double>, radius double"
-
-
-def blocks(points: DataFrame, size: int) -> DataFrame:
-    laid = written(laid_out(points, size), "curves")
-    parts = max(1, -(-laid.count() // (8 * BLOCK)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in curves.places(matrix(batch.column("vector"), size))], [f"k{c}" for c in range(CURVES)])
+
+    keys = points.where(share_of(KEY_ROWS, count, 2)).select("vector").mapInArrow(run, ", ".join(f"k{c} long" for c in range(CURVES))).toPandas()
+    curves.keys = [np.sort(keys[f"k{c}"].to_numpy(np.int64)) if len(keys) else np.zeros(1, np.int64) for c in range(CURVES)]
+    return curves
+
+
+def jitter(mark: np.ndarray) -> np.ndarray:
+    return (mark.astype(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def close(x: np.ndarray, y: np.ndarray, within: np.ndarray | None, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, square): for each row of ``x`` the nearest ``most`` rows of ``y`` where ``within``, ties to the smaller ``first``."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = (y**2).sum(axis=1)
+        square = (x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ y.T
+        slack = 1e-9 * ((x**2).sum(axis=1)[:, None] + norms.max(initial=0.0))
+        square = np.where(np.isfinite(square), square, 0.0)  # too large for the short formula: compared exactly
+        if within is not None:
+            square = np.where(within, square, np.inf)
+        keep = min(len(y), most + 4)
+        last = np.partition(square, keep - 1, axis=1)[:, keep - 1]
+        i, j = np.nonzero((square <= last[:, None] + slack) & np.isfinite(square))
+        exact = np.cumsum((x[i] - y[j]) ** 2, axis=1)[:, -1] if len(i) else np.zeros(0)  # term by term, as SQL adds
+    order = np.lexsort((first[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    near = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[near], j[near], exact[near]
+
+
+def width(points: DataFrame, curves: Curves, count: int, asked: int, size: int, most: int) -> float:
+    """Half the width of the windows, as a share of the ranks: what it takes to hold AIM of the sample's neighbours."""
+    drawn = points.where(F.col("asked") & share_of(WIDTH_ROWS, asked, 3)).select("rep", "mark", "vector").orderBy("mark", "rep").toPandas()
+    least = LEAST / max(1, count)
+    if not len(drawn):
+        return least
+    reps, queries = drawn["rep"].to_numpy(np.int64), np.stack(drawn["vector"].to_list()).astype(float)
+    own = curves.ranks(queries, jitter(drawn["mark"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = TaskContext.get().partitionId(), 0
-        curve, reps, asked, vectors = None, [], [], []
-
-        def block() -> pa.RecordBatch:
-            nonlocal nth
-            x = np.frombuffer(b"".join(vectors)).reshape(-1, size)
-            ids, flags = np.array(reps, np.int64), np.array(asked, bool)
-            centre = x.mean(axis=0)
-            nth += 1
-            return pa.RecordBatch.from_pylist(
-                [{"curve": curve, "part": part, "nth": nth, "reps": ids.tobytes(), "vectors": x.tobytes(), "asked_reps": ids[flags].tobytes(), "asked_vectors": x[flags].tobytes(), "centre": centre.tolist(), "radius": float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))}],
-                pa.schema([("curve", pa.int32()), ("part", pa.int32()), ("nth", pa.int32()), ("reps", pa.binary()), ("vectors", pa.binary()), ("asked_reps", pa.binary()), ("asked_vectors", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]),
-            )
-
+        best = None  # a query's nearest of this task's points: a bounded number
         for batch in batches:
-            for c, rep, flag, vector in zip(*(batch.column(x).to_pylist() for x in ("curve", "rep", "asked", "vector")), strict=True):
-                if reps and (c != curve or len(reps) == BLOCK):
-                    yield block()
-                    reps, asked, vectors = [], [], []
-                curve = c
-                reps.append(rep)
-                asked.append(flag)
-                vectors.append(vector)
-        if reps:
-            yield block()
+            vectors, rep, mark = matrix(batch.column("vector"), size), batch.column("rep").to_numpy(), batch.column("mark").to_numpy()
+            if not len(rep):
+                continue
+            i, j, exact = close(queries, vectors, reps[:, None] != rep[None, :], rep, most)
+            gap = np.min([np.abs(own[c][i] - r[j]) for c, r in enumerate(curves.ranks(vectors, jitter(mark)))], axis=0)
+            new = np.stack([i, exact, gap])
+            best = new if best is None else np.concatenate([best, new], axis=1)
+            best = best[:, np.lexsort((best[1], best[0]))]
+            best = best[:, np.arange(best.shape[1]) - np.searchsorted(best[0], best[0]) < most]
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int32)), pa.array(best[1]), pa.array(best[2])], ["q", "square", "gap"])
 
-    order = ["curve", "place", "rep"]
-    return written(laid.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS), "blocks")
+    found = points.select("rep", "mark", "vector").mapInArrow(run, "q int, square double, gap double")
+    gaps = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("square"))).where(F.col("n") <= most).select("gap").toPandas()["gap"]
+    return max(least, float(np.quantile(gaps, AIM)) * 1.001 if len(gaps) else least)
 
 
-FOUND = "asked long, rep long, square double"
-FOUND_SCHEMA = pa.schema([("asked", pa.int64()), ("rep", pa.int64()), ("square", pa.float64())])
+LAID = "curve int, part int, asks boolean, rank double, rep long, first long, vector binary"
 
 
-def compared(size: int, most: int):
-    """From rows of (q, qv, bound, reps, vectors): for each query the nearest ``most`` points of the block within its bound."""
+def laid_out(points: DataFrame, curves: Curves, parts: int, half: float, size: int) -> DataFrame:
+    """Each point once a curve, and each query once for each part that its window touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds = batch.column("bound").to_pylist() if "bound" in batch.schema.names else [None] * batch.num_rows
-            for q, qv, bound, reps, vectors in zip(*(batch.column(c).to_pylist() for c in ("q", "qv")), bounds, *(batch.column(c).to_pylist() for c in ("reps", "vectors")), strict=True):
-                asked, x, ids, y = np.frombuffer(q, np.int64), np.frombuffer(qv).reshape(-1, size), np.frombuffer(reps, np.int64), np.frombuffer(vectors).reshape(-1, size)
-                limit = np.full(len(asked), np.inf) if bound is None else np.frombuffer(bound)
-                square = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
-                slack = 1e-9 * ((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1).max())
-                out = []
-                keep = min(len(ids), most + 4)
-                close = np.partition(square, keep - 1, axis=1)[:, keep - 1] if keep else np.zeros(0)
-                i, j = np.nonzero(square <= np.minimum(limit, close)[:, None] + slack)
-                exact = np.cumsum((x[i] - y[j]) ** 2, axis=1)[:, -1]  # term by term, as SQL adds
-                order = np.lexsort((ids[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.searchsorted(i, np.arange(len(asked)))
-                near = np.arange(len(i)) - first[i] < most
-                out = near & (exact <= limit[i])
-                yield pa.RecordBatch.from_arrays([pa.array(asked[i[out]]), pa.array(ids[j[out]]), pa.array(exact[out])], schema=FOUND_SCHEMA)
+            vectors, rep, first = matrix(batch.column("vector"), size), batch.column("rep").to_numpy(), batch.column("first").to_numpy()
+            asks = np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
+            blobs = pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
+            for c, rank in enumerate(curves.ranks(vectors, jitter(batch.column("mark").to_numpy()))):
+                low = ((rank[asks] - half) * parts).astype(int).clip(0, parts - 1)
+                many = ((rank[asks] + half) * parts).astype(int).clip(0, parts - 1) - low + 1
+                begin = np.cumsum(many) - many
+                who = np.r_[np.arange(len(rep)), np.repeat(asks, many)]
+                part = np.r_[(rank * parts).astype(int), np.repeat(low - begin, many) + np.arange(many.sum())]
+                for at in range(0, len(who), 4096):
+                    w = who[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(w), c, np.int32)), pa.array(part[at : at + 4096].astype(np.int32)), pa.array(np.arange(at, at + len(w)) >= len(rep)), pa.array(rank[w]), pa.array(rep[w]), pa.array(first[w]), blobs.take(pa.array(w))],
+                        ["curve", "part", "asks", "rank", "rep", "first", "vector"],
+                    )
+
+    kind = stored(points)
+    return points.select("rep", "mark", "first", "asked", "vector").mapInArrow(run, LAID)
+
+
+def stored(points: DataFrame) -> type:
+    return np.float32 if points.schema["vector"].dataType.elementType.simpleString() == "float" else np.float64
+
+
+def compared(size: int, half: float, most: int, kind: type):
+    """For a part of a curve: the nearest points of each query among those of its window that lie in the part."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        rank, rep, first = (group.column(c).to_numpy() for c in ("rank", "rep", "first"))
+        x = np.frombuffer(b"".join(group.column("vector").to_pylist()), kind).reshape(-1, size).astype(float)
+        points, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        order = points[np.argsort(rank[points], kind="stable")]
+        queries = queries[np.argsort(rank[queries], kind="stable")]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(queries), TILE):
+            q = queries[at : at + TILE]
+            low, high = np.searchsorted(rank[order], [rank[q[0]] - half, rank[q[-1]] + half + 1e-15])
+            p = order[low:high]
+            if not len(p):
+                continue
+            i, j, square = close(x[q], x[p], np.abs(rank[q][:, None] - rank[p][None, :]) <= half, first[p], most)
+            out.append((rep[q[i]], rep[p[j]], first[p[j]], square))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["asked", "rep", "first", "square"])
 
     return run
 
 
-TILES = "tile_part int, tile_nth int, q binary, qv binary, bound binary, tile_centre array<double>, tile_radius double, reach double"
-TILE_SCHEMA = pa.schema([("tile_part", pa.int32()), ("tile_nth", pa.int32()), ("q", pa.binary()), ("qv", pa.binary()), ("bound", pa.binary()), ("tile_centre", pa.list_(pa.float64())), ("tile_radius", pa.float64()), ("reach", pa.float64())])
-
-
-def tiles(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, held = TaskContext.get().partitionId(), 0, []
-
-        def tile(rows: list) -> pa.RecordBatch:
-            nonlocal nth
-            nth += 1
-            x = np.frombuffer(b"".join(r[1] for r in rows)).reshape(-1, size)
-            bound, centre = np.array([r[2] for r in rows]), x.mean(axis=0)
-            row = {"tile_part": part, "tile_nth": nth, "q": np.array([r[0] for r in rows], np.int64).tobytes(), "qv": x.tobytes(), "bound": bound.tobytes()}
-            return pa.RecordBatch.from_pylist([row | {"tile_centre": centre.tolist(), "tile_radius": float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())), "reach": float(np.sqrt(bound.max()))}], TILE_SCHEMA)
-
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("rep", "vector", "bound")), strict=True)
-            while len(held) >= TILE:
-                yield tile(held[:TILE])
-                held = held[TILE:]
-        if held:
-            yield tile(held)
-
-    return run
-
-
-def nearest(found: DataFrame, most: int) -> DataFrame:
-    """The nearest ``most`` distinct points of each query."""
-    order = Window.partitionBy("asked").orderBy("square", "rep")
-    return found.dropDuplicates(["asked", "rep"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-
-
-def search(vectors: DataFrame, asked: Column, *, nearest_rows: int = NEAREST, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows for which ``asked`` (an expression over the id, as ``id``) holds."""
+def search(vectors: DataFrame, asked: Column, *, nearest_rows: int = NEAREST, key: str = "vec_id", vector: str = "embedding", half: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows for which ``asked`` (an expression over the id, as ``id``) holds.
+    ``half`` sets half the width of the windows instead of measuring it."""
     spark = vectors.sparkSession
-    small_batches(spark)
-    k = nearest_rows + 1  # the query's own point may be among them
-    good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("id").isNotNull())
-    common = good.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = common["size"]
-    single = written(good.where(F.size("vector") == size).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
-    queries = single.where(asked)
-    # of equal vectors no more than the k smallest ids can be results
-    few = single.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k)
-    points = few.groupBy("vector").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
-    points = points.join(queries.select("vector", F.lit(True).alias("asked")).distinct(), "vector", "left")
-    points = written(points.select("rep", "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "vector"), "points")
-    cut = blocks(points, size)
-    names = cut.select("curve", "part", "nth", (F.length("asked_reps") > 0).alias("asks"), F.row_number().over(Window.partitionBy("curve").orderBy("part", "nth")).alias("seq"))
-    names = written(names, "block-names")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    # windows: each block's queries against the block and its neighbours
-    sides = names.where("asks").select("curve", F.col("part").alias("qpart"), F.col("nth").alias("qnth"), F.explode(F.array(*(F.col("seq") + d for d in (-1, 0, 1)))).alias("seq"))
-    sides = sides.join(names.select("curve", "seq", "part", "nth"), ["curve", "seq"])
-    left = cut.select(F.col("part").alias("qpart"), F.col("nth").alias("qnth"), F.col("asked_reps").alias("q"), F.col("asked_vectors").alias("qv"))
-    both = sides.join(left, ["qpart", "qnth"]).join(cut.select("part", "nth", "reps", "vectors"), ["part", "nth"])
-    pairs = 3 * max(1, names.count())
-    window = both.select("qpart", "qnth", "part", "nth", "q", "qv", "reps", "vectors").repartition(max(12, min(4000, pairs // 16)), "qpart", "qnth", "part", "nth")
-    found = written(window.select("q", "qv", "reps", "vectors").mapInArrow(compared(size, k), FOUND), "window")
-    bound = nearest(found, k).groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("bound"))
-    bound = bound.select(F.col("asked").alias("rep"), F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
-    # the exact check: tiles of queries against the blocks of the first curve that may hold something nearer
-    small_batches(spark)
-    packed = points.where("asked").select("rep", "vector").join(bound, "rep", "left")
-    blob = packed.select("rep", F.col("vector"), F.coalesce("bound", F.lit(float("inf"))).alias("bound")).mapInArrow(_blobs, "rep long, vector binary, bound double")
-    many = points.where("asked").count()
-    parts = max(1, -(-many // (8 * TILE)))
-    sets = written(blob.repartitionByRange(parts, "rep").sortWithinPartitions("rep").mapInArrow(tiles(size), TILES), "tiles")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    numbered = written(sets.select("tile_part", "tile_nth", "tile_centre", "tile_radius", "reach", F.row_number().over(Window.orderBy("tile_part", "tile_nth")).alias("tile")), "tile-names")
-    last = numbered.count()
-    home = cut.where("curve = 0").select("part", "nth", "centre", "radius")
-    near = home.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(last)))) if last else home.withColumn("tile", F.lit(0))
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "tile_centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    near = near.join(numbered, "tile").where((gap - F.col("radius") - F.col("tile_radius")) * (1 - 1e-9) <= F.col("reach")).select("part", "nth", "tile_part", "tile_nth")
-    full = near.join(sets.select("tile_part", "tile_nth", "q", "qv", "bound"), ["tile_part", "tile_nth"]).join(cut.where("curve = 0").select("part", "nth", "reps", "vectors"), ["part", "nth"])
-    spread = max(12, min(4000, -(-names.count() * max(1, last) // (CURVES * 8))))
-    checked = full.repartition(spread, "part", "nth", "tile_part", "tile_nth").select("q", "qv", "bound", "reps", "vectors").mapInArrow(compared(size, k), FOUND)
-    best = nearest(written(checked, "checked"), k)
-    small_batches(spark)
-    # back from points to ids
-    each = best.join(points.select("rep", "ids"), "rep").select("asked", "square", F.explode("ids").alias("vec_id"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    plain = F.transform(F.col(vector).cast(kind), lambda x: x + F.lit(0).cast(kind[6:-1]))  # no negative zero
+    good = vectors.select(F.col(key).cast("long").alias("id"), plain.alias("vector")).where(usable(F.col("vector")) & F.col("id").isNotNull())
+    sizes = [r["size"] for r in good.groupBy(F.size("vector").alias("size")).count().orderBy("size").collect()]  # a row a length
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size in sizes:
+        out = out.unionByName(of_size(good.where(F.size("vector") == size), asked, size, nearest_rows, half))
+    return out
+
+
+def of_size(good: DataFrame, asked: Column, size: int, nearest_rows: int, half: float | None) -> DataFrame:
+    k = nearest_rows + 1  # the query's own row may be among them
+    # two hashes tell vectors apart; of equal vectors no more than the k smallest ids can be results
+    same = ["mark", "twin"]
+    named = good.select("id", asked.alias("asked"), F.xxhash64("vector").alias("mark"), F.xxhash64(F.lit(1), "vector").alias("twin"), "vector")
+    queries = written(named.where("asked").select("id", *same), "queries")
+    few = named.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).where(F.col("n") <= k)
+    points = few.groupBy(*same).agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids"))
+    points = points.join(queries.groupBy(*same).agg(F.count(F.lit(1)).alias("asks")), same, "left").withColumn("asks", F.coalesce("asks", F.lit(0)))
+    points = written(points.select(F.monotonically_increasing_id().alias("rep"), *same, F.element_at("ids", 1).alias("first"), "asks", (F.col("asks") > 0).alias("asked"), "ids", "vector"), "points")
+    count, many = points.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    curves = fitted(points, count, size)
+    half = width(points, curves, count, many, size, k) if half is None else half
+    parts = max(1, -(-count // PART))
+    laid = laid_out(points, curves, parts, half, size).repartition(max(12, min(20_000, CURVES * parts)), "curve", "part")
+    found = laid.groupBy("curve", "part").applyInArrow(compared(size, half, k, stored(points)), "asked long, rep long, first long, square double")
+    order = Window.partitionBy("asked").orderBy("square", "first", "rep")
+    best = written(found.dropDuplicates(["asked", "rep"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"), "nearest")
+    # back from points to rows
+    each = best.join(points.select("rep", "ids"), "rep").select("asked", "rep", "square", F.explode("ids").alias("vec_id"))
     each = each.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy("square", "vec_id"))).where(F.col("n") <= k)
-    lists = each.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("square", "vec_id"))).alias("near"))
-    named = queries.join(points.where("asked").select("vector", F.col("rep").alias("asked")), "vector").select("id", "asked")
-    own = named.join(lists, "asked").select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, nearest_rows).alias("near"))
-    return own.select("query_id", F.posexplode("near").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), "hit.vec_id", F.sqrt("hit.square").alias("score"))
-
-
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = len(batch.column("vector")[0].as_py()) if batch.num_rows else 1
-        vectors = matrix(batch.column("vector"), size)
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([v.tobytes() for v in vectors], pa.binary()), batch.column("bound")], ["rep", "vector", "bound"])
+    lists = each.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("square", "vec_id", "rep"))).alias("near")).withColumnRenamed("asked", "own")
+    lists = written(lists.join(points.select(F.col("rep").alias("own"), *same, "asks"), "own"), "lists")
+    own = hot_join(queries, lists, same, "asks")
+    at = F.array_position(F.transform("near", lambda x: (x["vec_id"] == F.col("id")) & (x["rep"] == F.col("own"))), F.lit(True))
+    rest = F.slice(F.filter("near", lambda x, i: i + 1 != at), 1, nearest_rows)
+    return own.select(F.col("id").alias("query_id"), F.posexplode(rest).alias("rank", "hit")).select("query_id", (F.col("rank") + 1).alias("rank"), "hit.vec_id", F.sqrt("hit.square").alias("score"))
