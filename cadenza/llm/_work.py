@@ -1,6 +1,7 @@
 """Shared helpers: the shared work folder, written intermediate tables, distributed ranks, joins on hot keys.
 
-Batches that go to Python are bounded by Spark itself, in bytes as well as rows, so no session setting is touched.
+A table whose rows hold texts goes through Python in small batches: the setting is lowered while that table is written, and
+then put back, also after a failure. What is given back lazily holds no texts that Python still has to see.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch where a row holds a text.
+TEXTS = 1000
 #: Rows that one ranking group is sized for.
 RANK_GROUP_ROWS = 100_000
 #: A key is hot if it holds more than one in HOT_KEYS of the rows, and HOT_ROWS rows: there are fewer than HOT_KEYS of them.
@@ -45,13 +49,29 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """No more than ``rows`` rows in a batch that goes to Python, for what runs in the block."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def written(df: DataFrame, name: str, *, batches: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back. ``batches`` bounds the rows of the
+    batches that go to Python meanwhile.
 
     Unlike a cached frame it outlives its executors, and Spark knows its true size.
     """
     path = fresh_dir(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    if batches is None:
+        df.write.parquet(path)
+    else:
+        with small_batches(df.sparkSession, batches):
+            df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

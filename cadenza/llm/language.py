@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import written
+from cadenza.llm._work import TEXTS, written
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> Filters:
     chosen = known.join(F.broadcast(plan), "lang").withColumn("drawn", drawn).where(F.pmod("drawn", F.lit(1 << 20)) < F.col("below"))
     chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("drawn", "doc_id"))).where(F.col("n") <= rows)
     counted = chosen.select("text", "code").mapInArrow(gram_counts, "gram long, code int, n long").groupBy("gram", "code").agg(F.sum("n").alias("n"))
-    counted = written(counted, "grams")
+    counted = written(counted, "grams", batches=TEXTS)
     total = counted.groupBy("code").agg(F.sum("n").alias("total"))
     rated = counted.join(F.broadcast(total), "code").withColumn("rate", F.col("n") / F.col("total"))
     most = rated.groupBy("gram").agg(F.max("rate").alias("most"))
@@ -201,7 +201,8 @@ def fit(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """(row, lang_pred, score): the caller's row as a struct, and the prediction, which sees the text only; no shuffle."""
+    """(row, lang_pred, score): the caller's row as a struct, and the prediction, which sees the text only; no shuffle. What
+    is kept of it is best written at once, in batches of TEXTS rows."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS masks: a fixed size
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

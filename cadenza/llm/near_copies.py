@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import discard, hot_join, written
+from cadenza.llm._work import TEXTS, discard, hot_join, written
 from cadenza.llm.simhash import SEED, STRIP, components, lowest_of, one_of_found
 
 SHINGLE = 5
@@ -215,7 +215,7 @@ def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, b
     right = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("nodes").alias("b"))
     tasks = max(12, min(4000, -(-pairs.count() // 4)))
     both = pairs.join(left, ["pa", "na"]).join(right, ["pb", "nb"]).repartition(tasks, "pa", "na", "pb", "nb")
-    found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates")
+    found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates", batches=16)
     whole = not alone or tiles.count() <= 1
     discard(tiles, pairs)
     return found, whole
@@ -229,7 +229,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataF
     found = [docs.join(F.broadcast(keys.where(F.pmod(F.xxhash64("_first"), F.lit(chunks)) == c)), F.col(key) == F.col("_first"), "left_semi").select(text) for c in range(chunks)]
     if not wanted.where("first is null").isEmpty():
         found.append(docs.where(F.col(key).isNull()).select(text))
-    made = written(reduce(DataFrame.unionAll, found).mapInArrow(sets, "id long, shingles binary"), "sets")
+    made = written(reduce(DataFrame.unionAll, found).mapInArrow(sets, "id long, shingles binary"), "sets", batches=TEXTS)
     # rows that share a key may have other texts, and rows without one may repeat a text
     return made.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
@@ -240,14 +240,14 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, key: str, t
     wanted = written(nodes.join(ends, "id", "left_semi").select("id", "first"), "wanted")
     known = written(sets_of(docs, wanted, key=key, text=text), "known")
     both = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    made = written(both.where(alike("a", "b")).select("u", "v"), "verified")
+    made = written(both.where(alike("a", "b")).select("u", "v"), "verified", batches=64)
     discard(wanted, known)
     return made
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
-    marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked").select("key", "m.*")
+    marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked", batches=TEXTS).select("key", "m.*")
     nodes = written(marked.groupBy("id", "n", "hi", "lo").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
     left, roots, links, alone = nodes.withColumn("label", F.col("id")), None, None, True
     while True:

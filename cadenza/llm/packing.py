@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import written
+from cadenza.llm._work import TEXTS, written
 
 CAPACITY = 1024
 CLOSING = 2
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return written(docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, {PIECE}"), "pieces")
+    return written(docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, {PIECE}"), "pieces", batches=TEXTS)
 
 
 Pattern = tuple[list[tuple[int, int]], int]

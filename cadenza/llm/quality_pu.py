@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import _features as X
-from cadenza.llm._work import drawn
+from cadenza.llm._work import TEXTS, drawn, written
 from cadenza.llm.language import held_out
 
 #: Trusted positives and unlabelled texts that the model is fitted to: the first of a hash order, never more than these.
@@ -193,12 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float | None = None, posit
 
 
 def score(docs: DataFrame, model: Model, *, predict_from: float = PREDICT_FROM) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row, in Arrow batches; no shuffle."""
+    """A written table of (doc_id, held_out, score, predicted) of each row, in Arrow batches; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights tables of a fixed size
 
     @F.pandas_udf(T.DoubleType())
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores([x.encode() if isinstance(x, str) else b"" for x in text]))
 
-    got = docs.select("doc_id", held_out().alias("held_out"), scored(F.col("text")).alias("score"))
+    got = written(docs.select("doc_id", held_out().alias("held_out"), scored(F.col("text")).alias("score")), "scores", batches=TEXTS)
     return got.withColumn("predicted", (F.col("score") >= predict_from).cast("int"))

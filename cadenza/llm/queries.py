@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import language, mixing, neighbours, packing, quality_pu, quality_rules, sharding, simhash, urls, warc
+from cadenza.llm._work import TEXTS, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +62,8 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
-    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", language.held_out())
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs)).select("row.doc_id", "lang_pred", "score")
+    return written(found, "languages", batches=TEXTS).withColumn("held_out", language.held_out())
 
 
 def op6_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +78,8 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hashed_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules.judge(docs, model)
-    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    judged = quality_rules.judge(docs, model).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return written(judged, "judged", batches=TEXTS)
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

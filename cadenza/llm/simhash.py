@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import discard, hot_join, written
+from cadenza.llm._work import TEXTS, discard, hot_join, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -167,7 +167,7 @@ def tile_links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     right = cut.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("prints").alias("b"))
     each = max(1, min(4000, -(-pairs.count() // 8)))
     both = pairs.join(names, "tb").join(left, ["pa", "na"]).join(right, ["pb", "nb"]).select("ta", "tb", (F.col("ta") == F.col("tb")).alias("same"), "a", "b")
-    return written(both.repartition(max(12, each), "ta", "tb").select("same", "a", "b").mapInArrow(compared(radius), LINKS), "links")
+    return written(both.repartition(max(12, each), "ta", "tb").select("same", "a", "b").mapInArrow(compared(radius), LINKS), "links", batches=64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def lowest_of(roots: DataFrame, first: DataFrame, node: str) -> DataFrame:
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id, root) of each row; root is the component's smallest fingerprint and names it for sure, as
     an id may come in more than one."""
-    marked = written(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), F.lit(shingle)).alias("fp")), "marked")
+    marked = written(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), F.lit(shingle)).alias("fp")), "marked", batches=TEXTS)
     first = written(marked.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "first")
     named = lowest_of(components(tile_links(first, radius=radius)), first, "fp")
     return hot_join(marked, named, ["fp"], "n").select(F.col("key").alias(key), "fp", "component_id", "root")

@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._work import fresh_dir, hot_join, written
+from cadenza.llm._work import TEXTS, fresh_dir, hot_join, written
 
 DATE = "2026-01-01T00:00:00Z"
 #: Compressed bytes after which a task begins another archive.
@@ -168,7 +168,7 @@ def write(pages: DataFrame, *, least: int = 0) -> DataFrame:
         if out is not None:
             out.close()
 
-    return written(tagged.mapInArrow(archives, PLACES), "captures")
+    return written(tagged.mapInArrow(archives, PLACES), "captures", batches=TEXTS)
 
 
 @dataclass

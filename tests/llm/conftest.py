@@ -4,6 +4,9 @@ import pytest
 
 #: Documents with every awkward case, and extra columns whose names operators use themselves.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, shard int, kept boolean"
+CLASHES = {"row": "string", "key": "long", "fp": "long", "hash": "long", "crc": "string", "parts": "int", "part": "int", "n": "long", "lang_pred": "int", "_found": "string", "_kept": "boolean", "_key": "string", "_part": "int", "_size": "double"}
+SCHEMA += "".join(f", {name} {kind}" for name, kind in CLASHES.items())
+EXTRA = {"string": "own", "long": 7, "int": 3, "boolean": False, "double": 0.25}
 
 
 def prose(seed: int, words: int, stems: str = "lo mi ra ten gu sel vor pha kin dru") -> str:
@@ -30,7 +33,8 @@ def awkward_rows() -> list[tuple]:
         (10, "same line\nsame line\n\n\nother\nsame line", "aa", "s4"),
         (11, prose(11, 400, "che vos nir ael umb"), "bb", "s3"),
     ]
-    return [(i, t, lang, src, None if t is None else len(t), -1, 0.5, 99, True) for i, t, lang, src in texts]
+    own = [EXTRA[kind] for kind in CLASHES.values()]
+    return [(i, t, lang, src, None if t is None else len(t), -1, 0.5, 99, True, *own) for i, t, lang, src in texts]
 
 
 @pytest.fixture(scope="session")

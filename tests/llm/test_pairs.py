@@ -10,8 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cadenza.llm import neighbours, simhash, urls, warc
-from tests.llm.conftest import awkward_rows, prose
+from cadenza.llm import _work, neighbours, simhash, urls, warc
+from tests.llm.conftest import CLASHES, EXTRA, awkward_rows, prose
 
 
 def brute_print(text: str | None) -> int:
@@ -107,18 +107,14 @@ def test_simhash_awkward(spark, awkward, empty):
 # neighbours
 
 
-def brute_near(rows: list[tuple], every: int, k: int) -> set:
-    good = {}
-    for i, v in rows:
-        if i is None or v is None or not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-            continue
-        good[i] = min(good.get(i, v), v)
-    out = set()
-    for q in good:
+def brute_near(rows: list[tuple], every: int, k: int) -> Counter:
+    good = [(i, v) for i, v in rows if i is not None and v and not any(x is None or not np.isfinite(x) for x in v) and any(v)]
+    out = Counter()
+    for at, (q, x) in enumerate(good):
         if q % every == 0:
-            x = np.array(good[q])
-            near = sorted((float(np.cumsum((x - np.array(v)) ** 2)[-1]), i) for i, v in good.items() if i != q)[:k]
-            out |= {(q, n + 1, i, float(np.sqrt(s))) for n, (s, i) in enumerate(near)}
+            rest = [(i, v) for n, (i, v) in enumerate(good) if n != at and len(v) == len(x)]
+            near = sorted((float(np.cumsum((np.array(x) - np.array(v)) ** 2)[-1]), i) for i, v in rest)[:k]
+            out.update((q, n + 1, i, float(np.sqrt(s))) for n, (s, i) in enumerate(near))
     return out
 
 
@@ -131,19 +127,39 @@ def vectors(n: int, size: int = 12) -> list[tuple]:
     return [*rows, (9001, None), (9100, [0.0] * size), (9200, [float("nan")] + [1.0] * (size - 1)), (9300, [None] + [1.0] * (size - 1)), (None, same), (9400, [float("inf")] * size), rows[7], rows[0]]
 
 
-def test_neighbours_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 64)
+def test_neighbours_of_whole_windows_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 64)
     monkeypatch.setattr(neighbours, "TILE", 16)
-    rows = vectors(900)
-    table = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double").repartition(4)
-    got = {tuple(r) for r in neighbours.search(table, F.col("id") % 10 == 0, nearest_rows=10).collect()}
+    rows = [*vectors(900), (11, [1.0, 2.0]), (20, [1.0, 3.0]), (1e9, None)]  # two of another length
+    table = spark.createDataFrame([(None if i is None else int(i), v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double").repartition(4)
+    got = Counter(tuple(r) for r in neighbours.search(table, F.col("id") % 10 == 0, nearest_rows=10, half=2.0).collect())
     assert got == brute_near(rows, 10, 10)
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_windows_hold_most_neighbours(spark, monkeypatch, clustered):
+    monkeypatch.setattr(neighbours, "PART", 256)
+    monkeypatch.setattr(neighbours, "LEAST", 16)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 16))
+    if clustered:
+        x = rng.standard_normal((60, 16))[np.arange(3000) % 60] * 6 + x * 0.3
+        x[:1000] = x[0] + rng.standard_normal((1000, 16)) * 1e-7  # a third of the rows nearly the same
+    rows = [(i, v.tolist()) for i, v in enumerate(x.round(9))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    halves = []
+    measured = neighbours.width
+    monkeypatch.setattr(neighbours, "width", lambda *a: halves.append(measured(*a)) or halves[-1])
+    got = {(r[0], r[2]) for r in neighbours.search(table, F.col("id") % 100 == 0).collect()}
+    want = {(q, i) for q, _, i, _ in brute_near(rows, 100, 10)}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+    assert not clustered or halves[0] < 0.3
+
+
 def test_neighbours_few_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     few = [(0, [1.0, 2.0]), (5, [2.0, 2.0]), (10, [1.0, 2.0])]
-    got = {tuple(r) for r in neighbours.search(spark.createDataFrame(few, kind), F.col("id") % 10 == 0).collect()}
+    got = Counter(tuple(r) for r in neighbours.search(spark.createDataFrame(few, kind), F.col("id") % 10 == 0).collect())
     assert got == brute_near(few, 10, 10)
     assert neighbours.search(spark.createDataFrame([], kind), F.col("id") % 10 == 0).count() == 0
     assert neighbours.search(spark.createDataFrame([(1, [1.0])], kind), F.col("id") % 10 == 0).count() == 0
@@ -251,6 +267,23 @@ def test_trees_learn_lexical_signs(spark):
     assert np.mean([(r.verdict == "block") == bool(r.label) for r in got]) > 0.97
 
 
+def test_urls_without_a_rule_count_as_weak_allow(spark):
+    rows = [(i, f"http://h{i % 9}.example.net/{('es', 'en')[i % 2]}/{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = urls.labelled_by_rules(table, RULES)
+    assert sorted((r.label, r.weight, r["count"]) for r in labelled.groupBy("label", "weight").count().collect()) == [(0.0, 0.5, 200), (1.0, 1.0, 200)]
+    judged = {r.page_id: (r.rule, r.verdict) for r in urls.judge(table, RULES, urls.fit(labelled)).collect()}
+    assert all(judged[i] == ("net/es/", "block") for i in range(0, 400, 2))
+    echo = urls.fit(urls.labelled_by_rules(table.where("page_id % 2 = 0"), RULES, undecided=0.0))
+    assert echo.trees is None  # one class only: nothing to learn
+
+
+def test_a_hot_url_is_learned_from_once(spark):
+    rows = [(i, "http://hot.com/a" if i < 500 else f"http://h.com/{i}", float(i % 2)) for i in range(1000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, label double")
+    assert urls.fit(table, rows=100).trees is not None
+
+
 def test_urls_one_class_and_empty(spark):
     table = spark.createDataFrame([(1, "http://a.com/", 1), (2, None, 1)], "page_id long, url string, label int")
     assert {r.verdict for r in urls.judge(table, {}, urls.fit(table)).collect()} == {"allow"}
@@ -281,6 +314,7 @@ def test_pipeline_stages(spark, tmp_path):
     rows += [(300 + i, " ".join(f"{w}***" for w in prose(i, 90).split()), "aa", "s1", None) for i in range(60)]
     rows += [(400, None, "aa", None, None), (401, "1 2 3 " * 40, "aa", "s2", None), (None, prose(999, 90, "lo mi ra ten gu"), "aa", "s1", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(EXTRA[kind]).cast(kind).alias(name) for name, kind in CLASHES.items()))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(r[0], int(r[0] < 300)) for r in rows if r[0] is not None and r[0] < 360], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     at, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
@@ -288,7 +322,9 @@ def test_pipeline_stages(spark, tmp_path):
         stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
         at = spark.read.parquet(f"{tmp_path}/{k}")
         assert at.columns == docs.columns, name
-        kept.append([r.doc_id for r in at.collect()])
+        found = at.collect()
+        kept.append([r.doc_id for r in found])
+        assert all(r[name] == EXTRA[kind] for r in found for name, kind in CLASHES.items()), name
     assert not any(i is not None and i >= 300 for i in kept[0])
     assert set(kept[0]) >= set(range(150))
     assert set(kept[1]) >= set(range(150)) and len(kept[1]) == len(kept[0])
@@ -298,3 +334,46 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(kept[3])
     assert max(r.offset + r.length for r in out) <= 1024
+
+
+def test_pipeline_of_nothing(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(_work, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(50 if k == 2 else 2)], "k int, i int")
+    keyed = _work.written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 4").withColumn("v", F.col("k") * 10), "keyed")
+    got = Counter((r.k, r.i, r.v) for r in _work.hot_join(rows, keyed, ["k"], "n").collect())
+    assert got == Counter((r.k, r.i, r.k * 10) for r in rows.collect() if r.k != 4)
+
+
+def test_scratch_and_discard(spark):
+    import pathlib
+
+    folder = lambda df: pathlib.Path(df.inputFiles()[0].removeprefix("file:")).parent
+    with _work.scratch(spark):
+        inside = folder(_work.written(spark.range(3), "inside"))
+        assert inside.exists()
+    outside = _work.written(spark.range(3), "outside")
+    assert not inside.exists() and folder(outside).exists()
+    gone = folder(outside)
+    _work.discard(outside)
+    assert not gone.exists()
+
+
+def test_session_settings_stay(spark, awkward):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
+    try:
+        simhash.linked(awkward).collect()
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+        with pytest.raises(RuntimeError), _work.small_batches(spark, 16):
+            assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "16"
+            raise RuntimeError
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

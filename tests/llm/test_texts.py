@@ -86,6 +86,7 @@ def test_mix_rows_hold_the_words_taken(awkward):
     found = mixing.mix(awkward)
     rows = mixing.rows(awkward, found)
     assert rows.columns == awkward.columns
+    assert {(r["row"], r["crc"], r["_part"]) for r in rows.collect()} == {("own", "own", 3)}
     words = defaultdict(int)
     for r in rows.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
@@ -96,6 +97,21 @@ def test_mix_rows_hold_the_words_taken(awkward):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_a_hot_document_is_mixed_like_others(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 7)
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(1, prose(1, 30), "a")] * 90 + [(i, prose(i, 30), "ab"[i % 2]) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mixing.mix(docs)
+    words = Counter()
+    for r in mixing.rows(docs, found).collect():
+        words[r.doc_id] += len(r.text.split())
+    want = Counter()
+    for r in mixing.totals(found).collect():
+        want[r.key] += r.taken
+    assert words == want
+
+
 def test_schedule_is_even(spark):
     sources = [mixing.Source(0, "a", 500_000, 300_000.0), mixing.Source(1, "b", 90_000, 100_000.0)]
     rows = mixing.schedule(spark, sources).orderBy("place").collect()
@@ -176,7 +192,7 @@ def languages(spark):
 
 def test_language_held_out(spark):
     docs = languages(spark)
-    got = language.identify(docs, language.fit(docs)).select("lang", "_found.*").collect()
+    got = language.identify(docs, language.fit(docs)).select("row.lang", "lang_pred", "score").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
     assert all(0 <= r.score <= 1 for r in got)
 
@@ -195,16 +211,57 @@ def test_filters_return_all_languages_with_few_false_ones():
     assert (masks[2000:] & 2 == 2).mean() < 0.01
 
 
-def test_language_awkward(awkward, empty):
-    got = language.identify(awkward, language.fit(awkward)).select("text", "_found.*").collect()
-    assert len(got) == awkward.count()
+def test_language_awkward(spark, awkward, empty):
+    rows = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["Ω", "日本語のテキスト", "Привет мир", "12 34", "", "\u0301"])], "doc_id long, text string")
+    both = awkward.unionByName(rows, allowMissingColumns=True)
+    got = language.identify(both, language.fit(awkward)).select("row.text", "lang_pred", "score", "row.*").collect()
+    assert len(got) == both.count()
     for r in got:
-        if not any(c.isalpha() for c in r.text or ""):
-            assert (r.lang_pred, r.score) == ("und", 0.0)
-        assert r.lang_pred in ("aa", "bb", "und")
+        if any(c.isalpha() for c in r[0] or ""):
+            assert r[1] in ("aa", "bb")
+        else:
+            assert (r[1], r[2]) == ("und", 0.0)
+    unknown = {r[0]: (r[1], r[2]) for r in got}
+    usual = language.fit(awkward)
+    assert unknown["日本語のテキスト"] == (usual.languages[usual.usual], 0.0)
     nothing = language.fit(empty)
     assert language.identify(empty, nothing).count() == 0
-    assert language.identify(awkward, nothing).where("_found.lang_pred <> 'und'").count() == 0
+    assert language.identify(awkward, nothing).where("lang_pred <> 'und'").count() == 0
+
+
+def brute_grams(text: str) -> list[str]:
+    flat = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    return [flat[i : i + n] for n in (2, 3, 4) for i in range(len(flat) - n + 1) if flat[i : i + n].strip()]
+
+
+def test_prediction_against_brute_force(monkeypatch):
+    """Exact sets of n-grams instead of filters: the same shares, but for the filters' few false positives."""
+    stems = {"aa": "lo mi ra ten gu sel vor", "bb": "ché lo mi vös nir", "cc": "sza prz nko wie"}
+    known = {lang: set(brute_grams(" ".join(prose(i, 300, s) for i in range(3)))) for lang, s in stems.items()}
+    kind = np.uint8
+    plane = np.zeros(language.POSITIONS, kind)
+    codes = {}
+    for k, grams in enumerate(known.values()):
+        for gram in sorted(grams):
+            codes[gram] = gram
+        text = " ".join(prose(i, 300, list(stems.values())[k]) for i in range(3))
+        for keys, _ in language.grams([text]):
+            for p in range(language.PROBES):
+                np.bitwise_or.at(plane, language.positions(keys, p), kind(1 << k))
+    miss = np.array([float(np.mean(plane >> kind(k) & kind(1))) ** language.PROBES for k in range(3)])
+    filters = language.Filters(list(known), [plane], miss)
+    texts = [prose(50 + i, 12, s) for i in range(10) for s in stems.values()] + ["Ω", "", "x 1 y", "lo! lo? LO"]
+    got, scores = filters.predict(texts)
+    for text, lang, score in zip(texts, got, scores, strict=True):
+        grams = brute_grams(text)
+        share = {k: sum(g in v for g in grams) / max(1, len(grams)) for k, v in known.items()}
+        best = max(share.values())
+        assert score == pytest.approx(best, abs=0.02)
+        assert lang == ("und" if not grams else max(share, key=share.get) if best else "aa")
+    for chunk in (16, 61):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        again, other = filters.predict(texts)
+        assert again == got and np.allclose(other, scores)
 
 
 def test_the_held_out_fold_is_not_learned_from(spark):
@@ -246,14 +303,14 @@ def labelled(spark, n=600):
 
 def test_quality_rules_learn(spark):
     docs, labels = labelled(spark)
-    got = {r.doc_id: r.kept for r in quality_rules.flat(quality_rules.judge(docs, quality_rules.fit(docs, labels))).collect()}
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, quality_rules.fit(docs, labels)).select("row.doc_id", "kept").collect()}
     assert np.mean([got[i] == (i % 4 != 0) for i in got]) > 0.98
 
 
 def test_quality_rules_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (9, 0)], "doc_id long, quality int")
     model = quality_rules.fit(awkward, labels)
-    got = quality_rules.flat(quality_rules.judge(awkward, model)).collect()
+    got = quality_rules.judge(awkward, model).select("row.doc_id", *(x.split()[0] for x in quality_rules.STATS.split(", ")), "base_failed", "kept").collect()
     assert len(got) == awkward.count()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((x[0], *brute_counts(x[1] or "")) for x in awkward_rows())
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
@@ -273,6 +330,14 @@ def test_pu_learns_from_positives_and_unlabelled_text(spark):
     assert (bad < 0.3).mean() > 0.95
 
 
+def test_the_prior_comes_from_positives_and_unlabelled_text(spark):
+    docs, labels = labelled(spark, 2400)
+    for share in (4, 2):  # one in four is bad, then one in two
+        some = docs.where(F.col("doc_id") % 4 < share)
+        model = quality_pu.fit(some, labels.where("quality = 1"))
+        assert model.prior == pytest.approx(1 - 1 / share, abs=0.08)
+
+
 def test_pu_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (3, 1), (9, 0), (None, 1), (2, None)], "doc_id long, quality int")
     got = quality_pu.score(awkward, quality_pu.fit(awkward, labels)).collect()
@@ -282,14 +347,38 @@ def test_pu_awkward(spark, awkward, empty):
     assert quality_pu.score(empty, quality_pu.fit(empty, labels)).count() == 0
 
 
-def test_long_texts_are_read_whole():
-    text = (prose(1, 400_000) + " end").encode()
-    assert len(text) > 2 * _features.CHUNK
-    pieces = [p for _, p in _features.pieces([text])]
-    assert b"".join(pieces) == text
-    ids, shares = _features.sparse([text])
-    words = ids[0] >> _features.BITS == 1
-    assert shares[0][words].sum() == pytest.approx(1, abs=1e-3)
+def test_long_texts_give_what_short_ones_do(monkeypatch):
+    """n-grams of texts that are longer than CHUNK, with and without spaces, against any other CHUNK."""
+    long_ones = [prose(1, 500_000), "x" * 1_500_000, prose(2, 30) + " " + "yz" * 1_200_000 + " end", prose(3, 40), ""]
+    assert len(long_ones[0]) > 3 << 20
+    weights = np.random.default_rng(0).standard_normal((len(_features.FAMILIES), _features.SIZE))
+    texts = [t.encode() for t in long_ones]
+
+    def found():
+        ids, shares = _features.sparse(texts)
+        grams = [Counter() for _ in texts]
+        for keys, row in language.grams(long_ones):
+            keys, row = np.asarray(keys), np.asarray(row)
+            for r in np.unique(row):
+                value, n = np.unique(keys[row == r], return_counts=True)
+                grams[r].update(dict(zip(value.tolist(), n.tolist(), strict=True)))
+        return ids, shares, _features.mean_weights(texts, weights), grams
+
+    one = found()
+    monkeypatch.setattr(_features, "CHUNK", 8 << 20)
+    monkeypatch.setattr(language, "CHUNK", 8 << 20)
+    monkeypatch.setattr(_features, "_powers", {})
+    two = found()
+    for a, b in zip(one[0] + one[1], two[0] + two[1], strict=True):
+        assert np.array_equal(a, b)
+    assert np.allclose(one[2], two[2]) and one[3] == two[3]
+    words = long_ones[2].split()
+    assert len(words) == 32  # a run without spaces is one word
+    chars, count = len(texts[0]) - 3, len(texts[0].split())
+    share = 1 / np.array([chars, count, count - 1])
+    for k in range(3):
+        got = one[1][0][one[0][0] >> _features.BITS == k] / share[k]
+        assert got.sum() == pytest.approx(1 / share[k], rel=1e-4)
 
 
 def test_schema_has_clashing_names():
