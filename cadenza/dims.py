@@ -55,6 +55,17 @@ SCALE_GROUPS = [
     ("Outras", ["harmonicMinor", "melodicMinor", "harmonicMajor", "hungarianMinor"]),
 ]
 
+#: Keys of a computer keyboard for notes: (key, pitch class, octave)
+KEY_MAP = [
+    ("a", 0, 3), ("w", 1, 3), ("s", 2, 3), ("e", 3, 3), ("d", 4, 3), ("f", 5, 3), ("t", 6, 3), ("g", 7, 3), ("y", 8, 3), ("h", 9, 3), ("u", 10, 3), ("j", 11, 3),
+    ("k", 0, 4), ("o", 1, 4), ("l", 2, 4), ("p", 3, 4), (";", 4, 4), ("'", 5, 4),
+]
+PRESET_IDS = ["piano", "rhodes", "nylon", "pad", "organ", "wurlitzer"]
+DEFAULT_PRESET = "piano"
+BEAT_LABELS = ["1", "e", "2", "e", "3", "e", "4", "e"]
+FUNCTION_COLORS = {"T": "var(--color-tonic)", "SD": "var(--color-subdominant)", "D": "var(--color-dominant)"}
+QUIZ_MODES = ["interval", "chordType", "degree", "chordId"]
+
 INTERVAL_LABELS = ["U", "ST", "T", "m3", "M3", "4J", "TT", "5J", "m6", "M6", "m7", "M7"]
 
 #: (minor, degree from 1, numeral, chord type, function, semitones above the key)

@@ -142,3 +142,33 @@ def beats_label(beats: Column) -> Column:
 
 def joined(values: Column, separator: str = ",") -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), separator)
+
+
+def next_color(color: Column, palette: list[str]) -> Column:
+    """The palette's colour after this one, around; the first after a colour that isn't in it."""
+    at = F.coalesce(F.array_position(literal(palette), color), F.lit(0))
+    return F.get(literal(palette), (at % len(palette)).cast("int"))
+
+
+def beat_label(eighth: Column, labels: list[str]) -> Column:
+    """The label of an eighth in its measure."""
+    return F.get(literal(labels), F.pmod(eighth, F.lit(len(labels))).cast("int"))
+
+
+def dot_title(dot: Column) -> Column:
+    """The title of a dot of a bar: its beat, or the half after it."""
+    beat = (F.floor(dot / 2) + 1).cast("string")
+    return F.when(dot % 2 == 0, F.concat(F.lit("Tempo "), beat)).otherwise(F.concat(beat, F.lit("e")))
+
+
+def chord_count_label(n: Column) -> Column:
+    return F.when(n == 1, F.lit("1 acorde")).otherwise(F.concat(n.cast("string"), F.lit(" acordes")))
+
+
+def key_label(root: Column, is_minor: Column) -> Column:
+    return F.concat(note_name(root), F.lit(" "), F.when(is_minor, "menor").otherwise("maior"))
+
+
+def interval_label(interval: Column, labels: list[str]) -> Column:
+    """The short name of 0 to 11 semitones; null for others."""
+    return F.get(literal(labels), interval.cast("int"))

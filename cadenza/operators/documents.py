@@ -226,3 +226,28 @@ def remove_song_section(sections: Value, index: Column, active: Column) -> tuple
 def display_label(section: Column) -> Column:
     label = F.coalesce(*(F.when(section["type"] == t, F.lit(n)) for t, n, _ in dims.SECTION_TYPES))
     return F.coalesce(F.nullif(section["custom_label"], F.lit("")), label)
+
+
+def focus_after(focus: Column, removed: Column) -> Column:
+    """The focused section once ``removed`` is gone: none, if it was that."""
+    return F.when(~focus.eqNullSafe(removed), focus)
+
+
+def picked(selected: Column, clicked: Column) -> Column:
+    """A chord picker's root: clicking the selected one lets it go."""
+    return F.when(~clicked.eqNullSafe(selected), clicked)
+
+
+def can_add(steps: Value) -> Column:
+    return F.size(col(steps)) < dims.MAX_STEPS
+
+
+def opened(sections: Value, load: Column) -> Column:
+    """A transcription's state (sections, active): a song's sections where it is loaded, or else cleared; the first is active."""
+    none = F.array().cast(f"array<{SONG_SECTION}>")
+    return F.struct(F.when(load, col(sections)).otherwise(none).alias("sections"), F.lit(0).alias("active"))
+
+
+def with_active(state: Column, index: Column) -> Column:
+    """The active index as given; it isn't clamped."""
+    return state.withField("active", index)

@@ -115,3 +115,36 @@ def assemble_sections(analyzed: DataFrame, *, song: str = "song", bar: str = "ba
         .agg(F.sort_array(F.collect_list(step)).alias("steps"))
         .select(song, "section", F.concat(F.lit("Parte "), F.col("section").cast("string")).alias("section_label"), "steps")
     )
+
+
+def bar_class(analyzed: DataFrame) -> DataFrame:
+    """Analysed bars with ``bar_class``: unclear, no-data, diatonic or chromatic."""
+    kind = F.when(F.col("kind") == "unclear", "unclear").when(F.col("kind") == "no-chord-data", "no-data")
+    return analyzed.withColumn("bar_class", F.coalesce(kind, F.when(F.col("degree").isNotNull(), "diatonic").otherwise("chromatic")))
+
+
+def non_empty(pitches: DataFrame, tracks: list[str], *, by: list[str], first: int) -> DataFrame:
+    """Of rows (by..., bar, track, pitches) those of the tracks that have pitches: their count, and the first ones by bar and track."""
+    found = pitches.where(F.col("track").isin(tracks) & (F.size("pitches") > 0))
+    order = Window.partitionBy(*by).orderBy("bar", "track")
+    ranked = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first)  # Spark cuts the rows before it shuffles them
+    shown = ranked.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_n", "bar", "track"))).alias("first"))
+    counts = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n_bars"))
+    return counts.join(shown, by).withColumn("first", F.transform("first", lambda x: F.struct(x["bar"].alias("bar"), x["track"].alias("track"))))
+
+
+def key_state(keys: DataFrame) -> DataFrame:
+    """Rows (key_root, is_minor) as the state after a change of key: the new field, and nothing selected or highlighted."""
+    field = harmonic_field(keys.sparkSession).groupBy(F.col("key_root").alias("_root"), F.col("is_minor").alias("_minor")).agg(F.sort_array(F.collect_list(F.struct("degree", "chord_name"))).alias("field"))
+    joined = keys.join(F.broadcast(field), (F.col("key_root") == F.col("_root")) & (F.col("is_minor") == F.col("_minor")))  # 24 keys
+    none = F.lit(None).cast("int")
+    return joined.withColumns({"field": F.transform("field", lambda x: x["chord_name"]), "selected": none, "highlighted": F.array().cast("array<int>")}).drop("_root", "_minor")
+
+
+def select_chord(states: DataFrame, index: Column) -> DataFrame:
+    """Rows (key_root, is_minor) with the chord at ``index`` of the key's field selected: its notes, coloured by its
+    function. A null index, or one that the field doesn't have, selects nothing."""
+    colors = F.coalesce(*(F.when(F.col("function") == f, F.lit(c)) for f, c in dims.FUNCTION_COLORS.items()), F.lit("#fff"))
+    field = harmonic_field(states.sparkSession).select(F.col("key_root").alias("_root"), F.col("is_minor").alias("_minor"), F.col("field_index").alias("selected"), F.col("notes").alias("highlighted"), colors.alias("color"))
+    joined = states.withColumn("_index", index).join(F.broadcast(field), (F.col("key_root") == F.col("_root")) & (F.col("is_minor") == F.col("_minor")) & (F.col("_index") == F.col("selected")), "left")
+    return joined.drop("_root", "_minor", "_index")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,22 +84,29 @@ def flow(boxes: DataFrame, page: str, *, header: float = 0.0) -> DataFrame:
     """The page, column and corner of each section (columns doc, section and height).
 
     Sections fill the columns in order and a section that doesn't fit goes to the next one, whether it fits there or
-    not; each place depends on all before it, so a document is folded as one group. A document's sections are few.
+    not. Each place depends on all before it, so a document is folded in order: Spark deals the documents and sorts them,
+    and a task walks over its rows in batches, holding no more than the columns' heights.
     """
     c = dims.PAGES[page]
     width = (c["pageW"] - c["margin"] * 2 - c["colGap"] * (c["numCols"] - 1)) / c["numCols"]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        at, col, number, out = [c["margin"] + header] * c["numCols"], 0, 1, []
-        for doc, section, height in group.sort_values("section")[["doc", "section", "height"]].itertuples(index=False):
-            if at[col] + height > c["pageH"] - c["margin"]:
-                col += 1
-                if col == c["numCols"]:
-                    at, col, number = [c["margin"]] * c["numCols"], 0, number + 1
-            out.append((doc, section, number, col, c["margin"] + col * (width + c["colGap"]), at[col]))
-            at[col] += height + c["sectionGapY"]
-        return pd.DataFrame(out, columns=["doc", "section", "page", "col", "x", "y"])
-
-    return boxes.select("doc", "section", "height").groupBy("doc").applyInPandas(fold, FLOW)
-
-
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, col, number = None, [], 0, 1
+        for batch in batches:
+            out = []
+            for doc, section, height in zip(*(batch.column(x).to_pylist() for x in ("doc", "section", "height")), strict=True):
+                if doc != last or not at:
+                    last, at, col, number = doc, [c["margin"] + header] * c["numCols"], 0, 1
+                if at[col] + height > c["pageH"] - c["margin"]:
+                    col += 1
+                    if col == c["numCols"]:
+                        at, col, number = [c["margin"]] * c["numCols"], 0, number + 1
+                out.append((doc, section, number, col, c["margin"] + col * (width + c["colGap"]), float(at[col])))
+                at[col] += height + c["sectionGapY"]
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, FLOW_TYPES, strict=True)], [x.split()[0] for x in FLOW.split(", ")])
+
+    return boxes.select("doc", "section", "height").repartition("doc").sortWithinPartitions("doc", "section").mapInArrow(fold, FLOW)
+
+
+FLOW_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza import dims
-from cadenza.operators.documents import STEP
+from cadenza.operators.documents import STEP, migrated
 
 PROGRESSION = "id string, name string, description string, steps string, mode string, preset_id string, bpm int, is_example int, created_at string"
 SONG = "id string, title string, artist string, key_note int, mode string, original_bpm int, preset_id string, sections string, created_at string, updated_at string"
@@ -47,15 +47,24 @@ def decoded(progressions: DataFrame) -> DataFrame:
     return progressions.withColumn("steps", F.from_json("steps", f"array<{kind}>", {"mode": "FAILFAST"})).withColumn("is_example", F.col("is_example") == 1)
 
 
-def list_progressions(table: DataFrame, mode: str | None = None) -> DataFrame:
+def by_example() -> list[Column]:
     """Examples first, then by creation; equal times by id."""
+    return [F.desc("is_example"), F.asc("created_at"), F.asc("id")]
+
+
+def by_update() -> list[Column]:
+    """Last updated first; equal times by id."""
+    return [F.desc("updated_at"), F.asc("id")]
+
+
+def list_progressions(table: DataFrame, mode: str | None = None) -> DataFrame:
     chosen = table if mode is None else table.where(F.col("mode") == mode)
-    return chosen.orderBy(F.desc("is_example"), F.asc("created_at"), F.asc("id"))
+    return chosen.orderBy(*by_example())
 
 
 def list_recent(table: DataFrame) -> DataFrame:
-    """Songs or structures, last updated first; equal times by id."""
-    return table.orderBy(F.desc("updated_at"), F.asc("id"))
+    """Songs or structures."""
+    return table.orderBy(*by_update())
 
 
 def structures_read(table: DataFrame) -> DataFrame:
@@ -63,6 +72,45 @@ def structures_read(table: DataFrame) -> DataFrame:
     return table.withColumn("bpm", F.coalesce(F.nullif(F.col("bpm"), F.lit(0)), F.lit(120)))
 
 
+def list_structures(table: DataFrame, orphans_id: Column) -> DataFrame:
+    """Stored structures, last updated first, as they are read: tempo, and sections of the old shape migrated."""
+    return list_recent(structures_read(table)).withColumn("sections", migrated("bars", "sections", orphans_id))
+
+
+def split_examples(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(examples, the user's own)."""
+    return table.where("is_example = 1"), table.where("is_example <> 1")
+
+
+def with_defaults(batch: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Fields that a record leaves out (null) take their defaults."""
+    return batch.withColumns({name: F.coalesce(F.col(name), value) for name, value in defaults.items() if name in batch.columns})
+
+
+def defaults(now: Column) -> dict[str, Column]:
+    """What the remote store fills in."""
+    return {"description": F.lit(""), "artist": F.lit(""), "preset_id": F.lit(dims.DEFAULT_PRESET), "bpm": F.lit(120), "is_example": F.lit(0), "created_at": now, "updated_at": now}
+
+
+def new_id(*parts: Column) -> Column:
+    """An id that depends on the parts only, so that a task which runs again gives the same."""
+    digits = F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+    return F.concat_ws("-", *(F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def inserted(table: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table with the rows appended, and the rows as they read back."""
+    after = table.unionByName(rows)
+    return after, after.join(rows.select("id"), "id", "left_semi")
+
+
+def with_preset(rows: DataFrame, presets: DataFrame, default: str = dims.DEFAULT_PRESET) -> DataFrame:
+    """Rows with the preset that they name, or the default one where they name none that is known."""
+    known = presets.select(F.col("preset_id").alias("_known"))
+    joined = rows.join(F.broadcast(known), F.col("preset_id") == F.col("_known"), "left")  # a fixed list
+    return joined.withColumn("preset", F.coalesce("_known", F.lit(default))).drop("_known")
+
+
 def by_id(table: DataFrame, key: str) -> DataFrame:
     return table.where(F.col("id") == key)
 
@@ -117,6 +165,14 @@ def synchronised(local: DataFrame, cloud: DataFrame) -> tuple[DataFrame, DataFra
     return local.join(apply, "id", "left_anti").unionByName(apply), push
 
 
+def sync_all(progressions: tuple[DataFrame, DataFrame], songs: tuple[DataFrame, DataFrame], structures: tuple[DataFrame, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Each collection's (local, cloud) to its (local table after, rows to push): a union for progressions, the last write
+    wins for songs and structures. Committing all three tables is one step; see ``sources.store``."""
+    local, cloud = progressions
+    cloud_only, local_only = merge_union(local, cloud)
+    return {"progressions": (local.unionByName(cloud_only), local_only), "songs": synchronised(*songs), "structures": synchronised(*structures)}
+
+
 def valid(table: DataFrame) -> DataFrame:
     """Rows that the stored table's constraints allow."""
     return table.where(F.col("id").isNotNull() & F.col("mode").isin("major", "minor"))

@@ -20,12 +20,13 @@ def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str =
     """Events of each song at each tick (tick: the global eighth at which it comes; each covers two eighths).
 
     Columns song, tick, eighth, type ('timeline' or 'step'), value (cycle position or step index) and at, in eighths
-    from the tick. ``ticks`` is one list for all songs, or has the song's column and is each song's own. A step comes at its onset, or later by a positive offset; an offset of -1 brings it an eighth early,
-    and any negative one at its onset only in the first eighths. Both rules are equi-joins on the cycle position.
+    from the tick. ``ticks`` is one list for all songs, or has the song's column and is each song's own; it may be a stream.
+    A step comes at its onset, or later by a positive offset; an offset of -1 brings it an eighth early, and any negative
+    one at its onset only in the first eighths. Both rules are equi-joins on the cycle position.
     """
     placed = offsets(steps, song=song, pos=pos).withColumn("offset", F.coalesce("offset_eighths", F.lit(0)))
     length = placed.groupBy(song).agg(F.first("total").alias("total"))
-    each = length.join(ticks, song) if song in ticks.columns else length.join(F.broadcast(ticks))  # one list is bounded
+    each = length.join(ticks, song) if song in ticks.columns else length.join(ticks if ticks.isStreaming else F.broadcast(ticks))  # one list is bounded
     grid = each.withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1))))
     grid = grid.withColumn("eighth", F.col("tick") + F.col("sub")).withColumn("cycle", F.pmod("eighth", "total"))
     line = grid.select(song, "tick", "eighth", F.lit("timeline").alias("type"), F.col("cycle").cast("long").alias("value"), F.col("sub").cast("double").alias("at"))
@@ -88,3 +89,19 @@ def coverage(segments: DataFrame, *, by: str) -> DataFrame:
 def segment_lines(segments: DataFrame) -> DataFrame:
     """Segments as tab-separated lines with three decimals."""
     return segments.select(F.format_string("%.3f\t%.3f\t%s", F.col("start_us") / 1e6, F.col("end_us") / 1e6, F.col("label")).alias("value"))
+
+
+def active_step(steps: DataFrame, positions: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
+    """The step that sounds at each (song, eighth): lengths aren't rounded, a position before the start or beyond the end
+    has none (-1). Steps are dealt to the whole eighths in them, so that the range join is an equi-join."""
+    order = Window.partitionBy(song).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    long = F.coalesce("beats", F.lit(4.0)) * 2
+    placed = steps.withColumn("_long", long).withColumn("_from", F.coalesce(F.sum("_long").over(order), F.lit(0.0))).where(F.ceil(F.col("_from") + F.col("_long")) > F.ceil("_from"))
+    each = placed.select(F.col(song).alias("_song"), F.col(pos).alias("_pos"), F.explode(F.sequence(F.ceil("_from"), F.ceil(F.col("_from") + F.col("_long")) - 1)).alias("_at"))
+    found = positions.join(each, (F.col(song) == F.col("_song")) & (F.col("eighth") == F.col("_at")), "left")
+    return found.select(*positions.columns, F.coalesce("_pos", F.lit(-1)).cast("int").alias("active"))
+
+
+def durations(segments: DataFrame) -> DataFrame:
+    """Each label's whole time, the longest first; equal ones by label."""
+    return segments.groupBy("label").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("duration_us")).orderBy(F.desc("duration_us"), "label")

@@ -87,3 +87,32 @@ def review(steps: DataFrame, *, song: str = "song", section: str = "section", po
     first = steps.groupBy(song).agg(F.min(F.struct((~F.col("confidence").eqNullSafe("unsure")).alias("sure"), F.col(section).alias("s"), F.col(pos).alias("p"))).alias("_start"))
     out = steps.withColumns({"previous_label": F.lag("label").over(order), "next_label": F.lead("label").over(order)})
     return out.join(first, song).withColumn("start", (F.col("_start.s") == F.col(section)) & (F.col("_start.p") == F.col(pos))).drop("_start")
+
+
+def to_play(steps: DataFrame, *, active: Column, loop: Column, section: str = "section") -> DataFrame:
+    """The steps that a player plays: those of the active section where it loops, or else all."""
+    return steps.where(~loop | (F.col(section) == active))
+
+
+def has_steps(sections: Column) -> Column:
+    """Whether any section (a struct with ``steps``) has one."""
+    return F.coalesce(F.exists(sections, lambda s: F.size(s["steps"]) > 0), F.lit(False))
+
+
+def flattened(songs: DataFrame, *, song: str = "song") -> DataFrame:
+    """Nested songs (sections of steps) as a row a step, with both places from 0."""
+    each = songs.select(song, F.posexplode("sections").alias("section", "_s"))
+    return each.select(song, "section", F.posexplode("_s.steps").alias("pos", "step"))
+
+
+def diatonic_steps(keys: DataFrame) -> DataFrame:
+    """The step that each chord of a key's field makes: its degree from 0 and numeral; the length is left open, and read as 4."""
+    field = harmonic_field(keys.sparkSession).select(F.col("key_root").alias("_root"), F.col("is_minor").alias("_minor"), F.col("field_index").alias("degree"), F.col("numeral").alias("label"))
+    joined = keys.join(F.broadcast(field), (F.col("key_root") == F.col("_root")) & (F.col("is_minor") == F.col("_minor")))
+    return joined.select(*keys.columns, "degree", "label", F.lit(None).cast("double").alias("beats"))
+
+
+def explained(steps: DataFrame, explanations: DataFrame) -> DataFrame:
+    """Steps with the text for their degree in their mode (is_minor, degree, text); null where there is none."""
+    known = explanations.select(F.col("is_minor").alias("_minor"), F.col("degree").alias("_degree"), "text")
+    return steps.join(known, (F.col("is_minor") == F.col("_minor")) & (F.col("degree") == F.col("_degree")), "left").drop("_minor", "_degree")

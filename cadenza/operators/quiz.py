@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +136,23 @@ def option_states(questions: DataFrame, *, chosen: str = "chosen") -> DataFrame:
     each = questions.select("*", F.posexplode("options").alias("place", "option"))
     state = F.when(F.col(chosen).isNull(), "open").when(F.col("option") == F.col("correct"), "right").when(F.col("option") == F.col(chosen), "wrong").otherwise("other")
     return each.withColumn("state", state)
+
+
+def questions(seeds: DataFrame, mode: Column, *, limit_to_key: Column) -> DataFrame:
+    """A question of each row's mode (interval, chordType, degree or chordId); a chord to identify is one of the key's where
+    ``limit_to_key`` holds."""
+    asked = seeds.withColumns({"_mode": mode, "_limit": limit_to_key})
+    kinds = {
+        "interval": (F.col("_mode") == "interval", interval_questions),
+        "chordType": (F.col("_mode") == "chordType", chord_type_questions),
+        "degree": (F.col("_mode") == "degree", degree_questions),
+        "chordId": ((F.col("_mode") == "chordId") & ~F.col("_limit"), chord_id_questions),
+        "keyed": ((F.col("_mode") == "chordId") & F.col("_limit"), diatonic_chord_questions),
+    }
+    made = [make(asked.where(which)).select(*seeds.columns, F.col("_mode").alias("mode"), "notes", "correct", "options", "tip_key") for which, make in kinds.values()]
+    return reduce(DataFrame.unionByName, made)
+
+
+def with_tips(questions: DataFrame, tips: DataFrame) -> DataFrame:
+    """Questions with the tip of their mode and key (mode, tip_key, tip); null where there is none."""
+    return questions.join(tips, ["mode", "tip_key"], "left")

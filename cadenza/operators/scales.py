@@ -116,3 +116,24 @@ def piano(rows: DataFrame, *, notes: str = "notes", voicing: str | None = None,
         last = F.get(F.reverse(F.filter(F.col(voicing), lambda v: v["note"] == F.col("note"))), 0)
         here = F.coalesce(last["octave"] == F.col("octave"), F.lit(True))
     return each.withColumns({"is_black": F.col("note").isin(1, 3, 6, 8, 10), "highlighted": F.array_contains(notes, F.col("note")) & here})
+
+
+def shown_frets(frets: DataFrame, *, notes: Column, positions: Column, show_all: Column) -> DataFrame:
+    """Frets (string_no, fret, note) with whether they are highlighted and shown: those in ``positions`` (text
+    "string-fret") where that isn't null, or else those whose note is in ``notes``; all are shown where ``show_all`` holds."""
+    here = F.concat(F.col("string_no").cast("string"), F.lit("-"), F.col("fret").cast("string"))
+    lit = F.when(positions.isNotNull(), F.array_contains(positions, here)).otherwise(F.array_contains(notes, F.col("note")))
+    return frets.withColumn("highlighted", lit).withColumn("shown", F.col("highlighted") | show_all)
+
+
+def shortcuts(keys: DataFrame, pressed: Column) -> DataFrame:
+    """Piano keys (octave, note) with the computer key that plays them, and whether it is among the ``pressed`` ones."""
+    known = keys.sparkSession.createDataFrame([(n, o, k.upper(), k) for k, n, o in dims.KEY_MAP], "note int, octave int, shortcut string, _key string")
+    joined = keys.join(F.broadcast(known), ["note", "octave"], "left")
+    return joined.withColumn("is_pressed", F.coalesce(F.array_contains(pressed, F.col("_key")), F.lit(False))).drop("_key")
+
+
+def default_scale(root: Column, is_minor: Column) -> Column:
+    """The notes of the scale that a key is heard by: aeolian in minor, else major."""
+    known = {i: iv for i, _, iv in dims.SCALES}
+    return th.transposed(root, F.when(is_minor, th.literal(known["aeolian"])).otherwise(th.literal(known["major"])))

@@ -5,9 +5,8 @@ Arrays are joined to text, so that any engine compares them alike.
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +16,8 @@ from pyspark.sql import types as T
 from cadenza import dims
 from cadenza.functions import theory as th
 from cadenza.operators import documents as docs
-from cadenza.operators import harmony, layout, library, playback, progressions, quiz, scales
+from cadenza.operators import harmony, layout, library, playback, progressions, quiz, ranks, scales
+from cadenza.operators import structure_rows as tabular
 from cadenza.plans import bindings as bind
 from cadenza.sources import gp, shared
 from cadenza.streaming import sessions
@@ -326,15 +326,15 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def list_progressions(spark, sf_dir):
     """Each mode's listing with its places: examples first, then by creation."""
-    order = Window.partitionBy("mode").orderBy(F.desc("is_example"), "created_at", "id")
-    return stored(spark, sf_dir).select("mode", "id", F.row_number().over(order).alias("place"))
+    made = ranks.numbered(stored(spark, sf_dir), ["mode"], library.by_example(), "place")
+    return made.select("mode", "id", (F.col("place") + 1).alias("place"))
 
 
 @query
 def list_recent(spark, sf_dir):
     """Each device's rows, last updated first."""
-    order = Window.partitionBy("device_id").orderBy(F.desc("updated_at"), "id")
-    return library.structures_read(stored(spark, sf_dir)).select("device_id", "id", "bpm", F.row_number().over(order).alias("place"))
+    made = ranks.numbered(library.structures_read(stored(spark, sf_dir)), ["device_id"], library.by_update(), "place")
+    return made.select("device_id", "id", "bpm", (F.col("place") + 1).alias("place"))
 
 
 @query
@@ -450,19 +450,57 @@ def first_bar() -> Column:
     return F.coalesce(F.get("bars", F.lit(0))["id"], F.lit("none"))
 
 
+@dataclass
+class Structure:
+    """The same documents as ``structures``, as tables."""
+
+    sections: DataFrame
+    bars: DataFrame
+    listings: DataFrame
+
+
+def structure_tables(spark: SparkSession, sf_dir: str) -> Structure:
+    line = bind.table(spark, sf_dir, "lineitem").select(*bind.LINE_ORDER)
+    orders = bind.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", "o_orderstatus")
+    key, pk = F.col("o_orderkey"), F.col("l_partkey")
+    line = line.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*bind.LINE_ORDER)))
+    rows = line.join(orders.select("doc", "o_orderkey"), F.col("l_orderkey") == key).withColumn("bar_id", F.concat(F.lit("b"), key.cast("string"), F.lit("-"), F.col("n").cast("string")))
+    rows = rows.withColumns({"section_id": F.concat(F.lit("o"), key.cast("string")), "at": key.cast("double"), "pos": F.col("n").cast("long")})
+    signature = F.get(th.literal(list(dims.DOTS)), (pk % 4).cast("int"))
+    accents = F.when(pk % 3 == 0, F.array((pk % 4).cast("int"), (pk % 4 + 3).cast("int")))
+    bars = rows.select("doc", "bar_id", signature.alias("time_signature"), accents.alias("accents"))
+    listings = rows.where((pk + F.col("n")) % 11 != 0).select("doc", "section_id", "at", "pos", "bar_id")
+    sections = orders.select("doc", F.concat(F.lit("o"), key.cast("string")).alias("section_id"), key.cast("double").alias("at"), F.concat(F.lit("part "), F.col("o_orderstatus")).alias("name"))
+    return Structure(sections, bars, listings)
+
+
+def section_at(made: Structure, place: int) -> DataFrame:
+    """(doc, section_id, at) of each document's section at ``place``, where it has one."""
+    return tabular.section_places(made.sections).where(F.col("place") == place).select("doc", "section_id", "at")
+
+
+def first_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, bar_id) of each document's first bar, listed or not."""
+    line = bind.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count()
+    first = bind.table(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy(F.col("o_custkey").alias("doc")).agg(F.min("o_orderkey").alias("o"))
+    return first.select("doc", F.concat(F.lit("b"), F.col("o").cast("string"), F.lit("-1")).alias("bar_id"))
+
+
+def numbered_bars(bars: DataFrame, listings: DataFrame) -> DataFrame:
+    return tabular.reindexed(bars, listings).select("doc", "bar_id", "bar_index", "time_signature", text("accents").alias("accents"))
+
+
 @query
 def reindex_bars(spark, sf_dir):
-    made = structures(spark, sf_dir)
-    return bar_rows(made, docs.reindexed("bars", "sections"))
+    made = structure_tables(spark, sf_dir)
+    return numbered_bars(made.bars, made.listings)
 
 
 @query
 def unassigned_bars(spark, sf_dir):
     """Bars that no section lists, with tables of bars and listings joined as rows."""
-    made = structures(spark, sf_dir)
-    bars = made.select("doc", F.explode("bars").alias("b")).select("doc", F.col("b.id").alias("bar_id"))
-    listed = made.select("doc", F.explode(F.flatten(F.transform("sections", lambda s: s["bar_ids"]))).alias("bar_id"))
-    return docs.unassigned(bars, listed, on=["doc", "bar_id"])
+    made = structure_tables(spark, sf_dir)
+    return docs.unassigned(made.bars.select("doc", "bar_id"), made.listings, on=["doc", "bar_id"])
 
 
 @query
@@ -484,22 +522,30 @@ def migrate_sections(spark, sf_dir):
 @query
 def move_bar(spark, sf_dir):
     """The first bar of each document goes to its second section, or nowhere."""
-    made = structures(spark, sf_dir)
-    return bar_rows(made, docs.move_bar("bars", "sections", first_bar(), nth_section(1))[0])
+    made = structure_tables(spark, sf_dir)
+    wanted = first_bars(spark, sf_dir).join(section_at(made, 1), "doc", "left")
+    return numbered_bars(made.bars, tabular.moved(made.listings, wanted))
 
 
 @query
 def duplicate_section(spark, sf_dir):
     """The second section of each document is copied; documents without one are left out."""
-    made = structures(spark, sf_dir)
-    bars, sections = docs.duplicate_section("bars", "sections", nth_section(1), F.lit("4/4"), lambda n: F.concat(F.lit("new-"), n.cast("string")), F.lit("copy"))
-    return section_rows(made, sections).join(bar_rows(made, bars).groupBy("doc").agg(F.count(F.lit(1)).alias("n_bars")), "doc", "left")
+    made = structure_tables(spark, sf_dir)
+    second = section_at(made, 1)
+    name = F.concat(F.lit("new-"), F.col("n").cast("string"))
+    sections, bars, listings = tabular.duplicated(made.sections, made.bars, made.listings, second, after=F.col("at") + 0.5, new_id=F.lit("copy"), bar_name=name, fallback=F.lit("4/4"))
+    chosen = second.select("doc")
+    ids = listings.groupBy("doc", "section_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "bar_id"))), lambda x: x["bar_id"]), ",").alias("bar_ids"))
+    listed = tabular.reindexed(bars, listings).groupBy("doc").agg(F.count(F.lit(1)).alias("n_bars"))
+    placed = tabular.section_places(sections.join(chosen, "doc", "left_semi")).join(ids, ["doc", "section_id"], "left")
+    return placed.join(listed, "doc", "left").select("doc", "place", "section_id", "name", F.coalesce("bar_ids", F.lit("")).alias("bar_ids"), "n_bars")
 
 
 @query
 def remove_section(spark, sf_dir):
-    made = structures(spark, sf_dir)
-    return bar_rows(made, docs.remove_section("bars", "sections", nth_section(0))[0])
+    made = structure_tables(spark, sf_dir)
+    _, bars, listings = tabular.removed_sections(made.sections, made.bars, made.listings, section_at(made, 0))
+    return numbered_bars(bars, listings)
 
 
 @query
@@ -524,10 +570,10 @@ def set_time_signature(spark, sf_dir):
 @query
 def add_and_remove_bar(spark, sf_dir):
     """A bar is added to the first section, then the document's first bar is removed."""
-    made = structures(spark, sf_dir)
-    bars, sections = docs.add_bar("bars", "sections", nth_section(0), F.lit("6/8"), F.lit("added"))
-    made = made.withColumns({"_bars": bars, "_sections": sections, "_first": first_bar()})
-    return bar_rows(made, docs.remove_bar("_bars", "_sections", F.col("_first"))[0])
+    made = structure_tables(spark, sf_dir)
+    new = section_at(made, 0).select("doc", "section_id", "at", F.lit("added").alias("bar_id"), F.lit("6/8").alias("time_signature"), F.lit(None).cast("array<int>").alias("accents"))
+    bars, listings = tabular.added(made.bars, made.listings, new)
+    return numbered_bars(*tabular.removed_bars(bars, listings, first_bars(spark, sf_dir)))
 
 
 @query
@@ -665,10 +711,7 @@ def archive(pages: DataFrame) -> DataFrame:
             elif i % 10 == 9:
                 out.append(b"PK\x03\x04broken")
             else:
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w") as z:
-                    z.writestr(gp.ENTRY, gpif(i))
-                out.append(buffer.getvalue())
+                out.append(gp.zipped({gp.ENTRY: gpif(i)}))
         return pd.Series(out)
 
     return pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), score("page_id").alias("content"))
@@ -697,7 +740,7 @@ def gpif(i: int) -> str:
 @query
 def gp_extract(spark, sf_dir):
     """Score files parsed, matched and analysed; one row a bar."""
-    scores = gp.parsed(archive(bind.table(spark, sf_dir, "pages"))).cache()  # six walks over the parsed graph follow
+    scores = shared.written(gp.parsed(archive(bind.table(spark, sf_dir, "pages"))), "scores")  # six walks over the parsed graph follow
     bars = gp.bars_for(scores, "Gtr", "Bass").withColumns({"key_root": F.lit(0), "is_minor": F.lit(False)})
     made = harmony.analyze_bars(harmony.match_bars(bars))
     return made.select(F.substring("song", 6, 20).cast("long").alias("page_id"), "number", text("harmony").alias("harmony"), text("root").alias("root"), "kind", "detected", "degree", "label", "beats")
@@ -706,6 +749,6 @@ def gp_extract(spark, sf_dir):
 @query
 def gp_errors(spark, sf_dir):
     """What each file turned out to be."""
-    scores = gp.parsed(archive(bind.table(spark, sf_dir, "pages")))
+    scores = shared.written(gp.parsed(archive(bind.table(spark, sf_dir, "pages"))), "scores")
     meta = gp.metadata(scores).select("path", "title", "artist", "n_bars", "has_chords")
     return scores.select("path", "error").join(meta, "path", "left")

@@ -53,6 +53,15 @@ def unzipped(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["error", "xml"])
 
 
+def zipped(entries: dict[str, str]) -> bytes:
+    """A zip file of the entries."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, text in entries.items():
+            z.writestr(name, text)
+    return buffer.getvalue()
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """(path, error, message, score): error is null where score is read."""
     first = files.withColumn("_why", container_error(F.col("content")))

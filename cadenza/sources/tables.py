@@ -64,3 +64,22 @@ def push_rows(table: DataFrame, device: str) -> DataFrame:
     """Rows as the remote store takes them: one JSON text each, booleans as 0 and 1, with the device."""
     cols = [F.col(f.name).cast("int").alias(f.name) if f.dataType.simpleString() == "boolean" else F.col(f.name) for f in table.schema]
     return table.select(F.to_json(F.struct(*cols, F.lit(device).alias("device_id")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def push_deletes(keys: DataFrame, device: str) -> DataFrame:
+    """The ids to delete remotely, one JSON text each, with the device."""
+    return keys.select(F.to_json(F.struct("id", F.lit(device).alias("device_id"))).alias("value"))
+
+
+def read_pitches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("song long, bar int, track string, pitches array<int>").json(path)
+
+
+def read_chords(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("song long, bar int, kind string, root_pc int, quality string, intervals array<int>").json(path)
+
+
+def with_setting(rows: DataFrame, settings: DataFrame, name: str, default: str) -> DataFrame:
+    """Rows (device_id) with a scalar setting (device_id, name, value) of their device; the default where it has none."""
+    known = settings.where(F.col("name") == name).select("device_id", F.col("value").alias(name))
+    return rows.join(known, "device_id", "left").withColumn(name, F.coalesce(name, F.lit(default)))

@@ -11,7 +11,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cadenza.plans import catalogue, oracles
+from cadenza.plans import catalogue, catalogue_library, oracles, oracles_library
+
+QUERIES, ORACLES = catalogue.QUERIES | catalogue_library.QUERIES, oracles.ORACLES | oracles_library.ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parent.parent
@@ -36,16 +38,16 @@ def rows(frame, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the tables aren't here")
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF_DIR).toPandas(), duck.execute(oracles.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, SF_DIR).toPandas(), duck.execute(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows(got, columns) == rows(want, columns)
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(oracles.ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("gone", [["cadenza/llm", "tests/llm"], ["cadenza/llm", "tests/llm", "corpus_pipeline.py"]])
