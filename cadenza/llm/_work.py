@@ -1,7 +1,8 @@
 """Shared helpers: the shared work folder, written intermediate tables, distributed ranks, joins on hot keys.
 
-A table whose rows hold texts goes through Python in small batches: the setting is lowered while that table is written, and
-then put back, also after a failure. What is given back lazily holds no texts that Python still has to see.
+Texts go through Python in small batches. Where a table is written here, the setting is lowered meanwhile and then put back,
+also after a failure. Where a result is given back that is still to be computed, ``text_batches`` replaces Spark's default
+for the session; a bound that the caller has chosen stays.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_BATCH = "10000"
 #: Rows of a batch where a row holds a text.
 TEXTS = 1000
 #: Rows that one ranking group is sized for.
@@ -60,6 +62,12 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Batches of TEXTS rows from now on, unless the caller has chosen a bound."""
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, str(TEXTS))
+
+
 def written(df: DataFrame, name: str, *, batches: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back. ``batches`` bounds the rows of the
     batches that go to Python meanwhile.
@@ -105,11 +113,11 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFr
     """The inner join of ``rows`` with ``keyed``, a written table with one small row a key; its column ``n`` says how many
     rows have the key. Hot keys, whose number is bounded whatever the input, are broadcast, so that no task gets all rows
     of one; the others are joined as Spark likes."""
-    total = keyed.agg(F.sum(n)).first()[0] or 0
+    total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if most <= least:
+        return rows.join(keyed.drop(n), on)
     hot, cold = keyed.where(F.col(n) > least).drop(n), keyed.where(F.col(n) <= least).drop(n)
-    if hot.isEmpty():
-        return rows.join(cold, on)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import TEXTS, written
+from cadenza.llm._work import TEXTS, text_batches, written
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -201,8 +201,8 @@ def fit(docs: DataFrame, *, rows: int = TRAIN_ROWS) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """(row, lang_pred, score): the caller's row as a struct, and the prediction, which sees the text only; no shuffle. What
-    is kept of it is best written at once, in batches of TEXTS rows."""
+    """(row, lang_pred, score): the caller's row as a struct, and the prediction, which sees the text only; no shuffle."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS masks: a fixed size
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import RANK_GROUP_ROWS, dealt, hot_join, running, written
+from cadenza.llm._work import RANK_GROUP_ROWS, dealt, hot_join, running, text_batches, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -175,6 +175,7 @@ def rows(docs: DataFrame, found: Mix, *, key: str = "doc_id") -> DataFrame:
     """The mix as rows with the columns of ``docs``: one for each time that a document comes, its text cut (and n_chars
     with it) where the source's target ends. Texts are matched by id, source and checksum. Rows that are equal in these
     are copies of one document: the mix has as many of them, and their other columns are those of one of them."""
+    text_batches(docs.sparkSession)
     same = ["hash", "crc"]
     parts = found.taken.groupBy("code", "start", "epoch").agg(F.sum("words").alias("part"))
     each = found.docs.where("size > 0").join(parts, ["code", "start"]).groupBy("code", "start", "key", "source", "crc", "size").agg(F.sort_array(F.collect_list("part")).alias("parts"))

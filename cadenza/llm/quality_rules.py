@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import _features as X
-from cadenza.llm._work import drawn
+from cadenza.llm._work import drawn, text_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -136,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, epochs: i
 
 
 def judge(docs: DataFrame, model: Model | None, *, keep_from: float = KEEP_FROM) -> DataFrame:
-    """(row, the counts, score, base_failed, kept): the caller's row as a struct, and the verdict, row by row; no shuffle. What
-    is kept of it is best written at once, in batches of TEXTS rows."""
+    """(row, the counts, score, base_failed, kept): the caller's row as a struct, and the verdict, row by row; no shuffle."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few weights tables of fixed size
 
     @F.pandas_udf(T.StructType([T.StructField(x.split()[0], T.LongType()) for x in STATS.split(", ")] + [T.StructField("score", T.DoubleType())]))
