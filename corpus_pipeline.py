@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage reads what the stage before it kept, and gives back a written table. Quality rules and language ID reject documents,
+Each stage reads what the stage before it kept, as a written table. Quality rules and language ID reject documents,
 near-duplicate groups keep one, the mix repeats or drops words of a source to reach its target, and packing gives the
 pieces' places in the sequences.
 
@@ -25,24 +25,23 @@ LANGUAGE_FROM = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trained model. Labels are in the labels table."""
     model = quality_rules.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return written(quality_rules.judge(docs, model).where("kept").select("row.*"), "stage", batches=TEXTS)
+    return quality_rules.judge(docs, model).where("kept").select("row.*")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough of their n-grams."""
     found = language.identify(docs, language.fit(docs))
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)).select("row.*")
-    return written(kept, "stage", batches=TEXTS)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_FROM)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of five-word shingles): the one with the smallest id."""
-    return written(near_copies.one_of_each(docs), "stage", batches=TEXTS)
+    return near_copies.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each time that a document comes."""
-    return written(mixing.rows(docs, mixing.mix(docs)), "stage", batches=TEXTS)
+    return mixing.rows(docs, mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = queries.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         with scratch(spark) as made:  # what the stage worked with goes when its table is written
-            docs = stage(spark, docs, sf_dir)
+            docs = written(stage(spark, docs, sf_dir), "stage", batches=TEXTS)
             made.pop()
         if before is not None:
             discard(before)
