@@ -1,4 +1,5 @@
-"""Edits of nested documents, as Column expressions: a document stays one row, so no edit shuffles.
+"""Edits of nested documents, as Column expressions: a document stays one row, so no edit shuffles. Each listed id is looked
+up among the document's bars, which suits up to some thousand bars; ``structure_rows`` has the edits for larger ones.
 
 A structure document is ``bars`` (id, index, time_signature, color, accents) and ``sections`` (id, name, color, bar_ids,
 repeat_of, comment, bars_per_row); sections refer to bars by id, in order. A transcription document is ``sections`` of

@@ -1,6 +1,8 @@
 """Streams with state by key: quiz sessions, debounced taps, pressed keys; and the stateless tick stream.
 
-Rows of a micro-batch are taken in the order of the given columns; across batches, in the order of the batches.
+Rows of a micro-batch are taken in the order of the given columns; across batches, in the order of the batches. A key's rows
+of one micro-batch are held together to be sorted, so bound a batch by the source (``maxFilesPerTrigger``). State never
+expires: a session, player or tapper may come back at any time, and each keeps a few numbers or the keys that are down.
 """
 
 from __future__ import annotations
