@@ -15,7 +15,7 @@ verified pairs.
 
 Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
 all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates and the first one, and two components no more
-than ``FEW`` pairs between them. Nodes with unlisted candidates go through another round with lists eight times as long, in
+than ``FEW`` pairs between them. Nodes with unlisted candidates go through another round with lists ``MORE`` times as long, in
 which pairs that are already in one component are left out. Rounds end when nothing is unlisted, so no candidate is
 dropped, and a group of copies doesn't list all pairs.
 
@@ -46,7 +46,7 @@ SHINGLE = 5
 LIKE, OF = 4, 5
 #: Bits of 128.
 RADIUS = 32
-FEW = 4
+FEW, MORE = 4, 32
 #: Bits of the second fingerprint, and how many may differ: the mean share at the similarity is 0.151, its deviation 0.0112.
 WIDE, WIDE_RADIUS = 1024, 195
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
@@ -284,7 +284,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
     marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked", batches=TEXTS).select("key", "m.*")
     nodes = written(marked.groupBy("id", "n", "hi", "lo").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    left, roots, links, known, alone = nodes.withColumn("label", F.col("id")), None, None, None, True
+    left, roots, known, alone = nodes.withColumn("label", F.col("id")), None, None, True
     while True:
         found, whole = candidates(left, few, alone=alone)
         pairs = written(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "listed")
@@ -294,13 +294,15 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int
         more_sets = sets_of(docs, wanted, key=key, text=text)
         known = more_sets if known is None else known.unionAll(more_sets)
         made = verified(known, pairs)
-        links = made if links is None else links.unionAll(made)
-        roots = written(components(links), "roots")
+        if roots is None:
+            roots = written(components(made), "roots")
+        elif not made.isEmpty():  # a component goes on as a star
+            roots = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(made)), "roots")
         if whole:
             more = written(found.where("v is null").select(F.col("u").alias("id")).distinct(), "more")
             if more.isEmpty():
                 break
-            left, few = nodes.join(more, "id", "left_semi"), few * 8
+            left, few = nodes.join(more, "id", "left_semi"), few * MORE
         else:
             left, alone = nodes, False
         left = left.join(roots.withColumnRenamed("node", "id"), "id", "left")

@@ -42,6 +42,8 @@ TILE = 8192
 STRIP = 128
 #: Links that a task holds before it reduces them to a forest.
 HELD = 1 << 20
+#: Links that may meet in one task.
+HOT_LINKS = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -174,7 +176,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that is reachable; nodes without links are absent.
 
     Alternating large-star and small-star steps, each written to the shared folder; the number of rounds grows with the
-    logarithm of the size of a component. What a round read is deleted once the next is written.
+    logarithm of the size of a component. Where there are so many links that one node's could be more than HOT_LINKS (rows of
+    two numbers), those of hot nodes are split. What a round read is deleted once the next is written.
     """
     pairs = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
@@ -182,14 +185,28 @@ def components(links: DataFrame) -> DataFrame:
         state = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("u", "v", F.lit(1)), F.lit(1 << 30))).alias("s")).first()
         if before == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-        both = pairs.union(pairs.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "stars")
-        large = written(hot_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        lowest = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
-        small = hot_join(large, lowest, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
-        read, pairs = pairs, written(small.distinct(), "stars")
-        discard(read, least, large, lowest)
+        before, split = state, state["n"] > HOT_LINKS
+        read, pairs = pairs, small_star(large_star(pairs, split), split)
+        discard(read)
+
+
+def joined(rows: DataFrame, lowest: DataFrame, split: bool) -> DataFrame:
+    """Rows (u, v) with the ``m`` of their u."""
+    return hot_join(rows, written(lowest, "stars"), ["u"], "n") if split else rows.join(lowest.drop("n"), "u")
+
+
+def large_star(pairs: DataFrame, split: bool) -> DataFrame:
+    both = pairs.union(pairs.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return written(joined(both, least, split).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+
+
+def small_star(large: DataFrame, split: bool) -> DataFrame:
+    lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    small = joined(large, lowest, split).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    made = written(small.union(lowest.select("u", "m")).distinct(), "stars")
+    discard(large)
+    return made
 
 
 def lowest_of(roots: DataFrame, first: DataFrame, node: str) -> DataFrame:
