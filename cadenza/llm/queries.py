@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, mixing, neighbours, packing, quality_pu, quality_rules, sharding, simhash, urls, warc
+from cadenza.llm import alignment, bpe, centroids, language, mixing, neighbours, packing, quality_pu, quality_rules, sharding, simhash, urls, warc
 from cadenza.llm._work import TEXTS, written
 
 
@@ -91,6 +92,35 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, nearest_rows=10)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    found = alignment.aligned(table(spark, sf_dir, "documents")).withColumn("groups_sha256", digest).drop("groups")
+    found = written(found, "aligned", batches=TEXTS)
+    return alignment.counted(found, alignment.pair_counts(found)).withColumnRenamed("key", "doc_id")
+
+
+def op12_weighted_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def ids_sha256(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids column replaced by how many there are and the digest of the ids as little-endian unsigned 32-bit numbers."""
+    for batch in batches:
+        ids = batch.column("ids")
+        data, bounds = ids.values.to_numpy().astype("<u4").data.cast("B"), ids.offsets.to_numpy()
+        digests = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        rest = [c for c in batch.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.string())], [*rest, "n_tokens", "ids_sha256"])
+
+
+def op13_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents")))
+    kind = tokens.schema["key"].dataType.simpleString()
+    digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    found = tokens.select("key", "ids", digest).mapInArrow(ids_sha256, f"key {kind}, decoded_sha256 string, n_tokens long, ids_sha256 string")
+    return written(found, "tokens", batches=TEXTS).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_url_filter": op1_boosted_url_filter,
     "op2_minimum_slack_packing": op2_minimum_slack_packing,
@@ -102,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hashed_quality_rules": op8_hashed_quality_rules,
     "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_simhash_tiles": op10_simhash_tiles,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_weighted_centroids": op12_weighted_centroids,
+    "op13_batched_bpe": op13_batched_bpe,
 }
 
 OP3_SQL = """
@@ -128,5 +161,39 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+
+
+def _lloyd_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CENTROIDS, dims: int = centroids.DIMS) -> str:
+    """Each round: (a) the nearest centroid of each vector, packed as distance * k + number; (c) the new centroids."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(q) AS q, min({k} * list_sum(list_transform(range(1, {dims + 1}), lambda i: (q[i] - m[i]) * (q[i] - m[i])))::BIGINT + c) AS near
+  FROM v, c{n} GROUP BY rid
+)"""
+
+    def moved(n: int) -> str:
+        return f"""s{n} AS (
+  SELECT near % {k} AS c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{n - 1}, range(1, {dims + 1}) AS t(i) GROUP BY ALL
+), c{n} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{n} GROUP BY c
+  UNION ALL SELECT c, m FROM c{n - 1} WHERE c NOT IN (SELECT c FROM s{n})
+)"""
+
+    steps = ", ".join([assigned(0)] + [f"{moved(n)}, {assigned(n)}" for n in range(1, rounds + 1)])
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY hash, q) - 1 AS c, q AS m FROM (SELECT sha256('{centroids.SEED}:' || vec_id) AS hash, q FROM v WHERE vec_id IS NOT NULL ORDER BY hash, q LIMIT {k})
+), {steps}, d AS (SELECT vec_id, CAST(near % {k} AS INTEGER) AS cluster, near // {k} AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} ON c = cluster
+"""
+
+
+OP12_SQL = _lloyd_sql()
+
 #: The others train models, tokenize, or hash in ways that SQL has no functions for; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op3_warc_capture_index": OP3_SQL, "op9_hilbert_neighbours": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_warc_capture_index": OP3_SQL, "op9_hilbert_neighbours": OP9_SQL, "op12_weighted_centroids": OP12_SQL}
