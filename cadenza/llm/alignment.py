@@ -50,11 +50,11 @@ class ByteLevel:
         self.exact.encode_special_tokens = True
         self.entries = vocabulary(path).entries
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        def one(text: str) -> list[int]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        def one(text: str) -> np.ndarray:
             if self.fast is not None and (text.isascii() or max(text) < chr(COMMON)):
-                return self.fast[0].encode_ordinary(text)
-            return self.exact.encode(text, add_special_tokens=False).ids
+                return self.fast[0].encode_to_numpy(text, disallowed_special=())
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
         return [one(f" {t}") for t in texts]
 
@@ -72,8 +72,8 @@ class Pieces:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -153,14 +153,14 @@ def aligned_texts(texts: list[str], keys: pd.Series, at: int, side: tuple, sizes
     """The rows of some texts: one for each, and more where the pairs take more than one slice."""
     some = [n for n, t in enumerate(texts) if t]
     tokens = [s.encode([texts[n] for n in some]) for s in side]
-    fits = [k for k, n in enumerate(some) if all(b"".join(map(s.entries.__getitem__, x[k])) == b" " + texts[n].encode() for s, x in zip(side, tokens, strict=True))]
+    fits = [k for k, n in enumerate(some) if all(b"".join(map(s.entries.__getitem__, x[k].tolist())) == b" " + texts[n].encode() for s, x in zip(side, tokens, strict=True))]
     some, tokens = [some[k] for k in fits], [[x[k] for k in fits] for x in tokens]
     n_a, n_b, n_groups, n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
     n_a[some], n_b[some] = ([len(x) for x in t] for t in tokens)
     groups = [""] * len(texts)
     found: Iterator[tuple[np.ndarray, ...]] = iter(())
     if some:
-        a, b = (np.fromiter((i for x in t for i in x), np.int64) for t in tokens)
+        a, b = (np.concatenate(t).astype(np.int64) for t in tokens)
         ends_a, ends_b = (np.cumsum(s[t]) for s, t in zip(sizes, (a, b), strict=True))
         ends = shared_ends(ends_a, ends_b)
         ga, gb = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
