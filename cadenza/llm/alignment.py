@@ -53,7 +53,7 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         def one(text: str) -> np.ndarray:
             if self.fast is not None and (text.isascii() or max(text) < chr(COMMON)):
-                return self.fast[0].encode_to_numpy(text, disallowed_special=())
+                return np.array(self.fast[0].encode_ordinary(text), np.uint32)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
         return [one(f" {t}") for t in texts]
