@@ -8,6 +8,7 @@ for the session; a bound that the caller has chosen stays.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,14 +41,20 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The open ``scratch`` blocks, innermost last: the paths that ``written`` has made in them.
-_scratch: list[list[str]] = []
+class _Open(threading.local):
+    """The open ``scratch`` blocks of a thread, innermost last: the paths that ``written`` has made in them."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/cadenza-{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     return path
 
 
@@ -100,21 +107,21 @@ def discard(*tables: DataFrame) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Delete what is made in the block when it ends, but for the paths that the block takes off the list."""
     made: list[str] = []
-    _scratch.append(made)
+    _open.blocks.append(made)
     try:
         yield made
     finally:
-        _scratch.remove(made)
+        _open.blocks.remove(made)
         for path in made:
             _delete(spark, path)
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
-    """The inner join of ``rows`` with ``keyed``, a written table with one small row a key; its column ``n`` says how many
-    rows have the key. Hot keys, whose number is bounded whatever the input, are broadcast, so that no task gets all rows
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, *, keys: int = HOT_KEYS) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, a written table with one row a key; its column ``n`` says how many
+    rows have the key. Hot keys, fewer than ``keys`` whatever the input, are broadcast, so that no task gets all rows
     of one; the others are joined as Spark likes."""
     total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    least = max(HOT_ROWS, -(-total // keys))
     if most <= least:
         return rows.join(keyed.drop(n), on)
     hot, cold = keyed.where(F.col(n) > least).drop(n), keyed.where(F.col(n) <= least).drop(n)

@@ -4,14 +4,14 @@ Nodes are distinct texts, as word sequences: lower-cased (A-Z) and split at ASCI
 a shingle is one shingle. Sets hold XXH3 values of 64 bits, and ``id``, XXH64 of the words, names a node.
 
 Candidates: SimHash fingerprints of 128 bits over the distinct shingles. Two sets of the given similarity differ in 19 bits
-on average with a deviation of 4, so that nearly all are within ``RADIUS``; unrelated texts differ in 64 with a deviation
-of 6. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
+on average with a deviation of 4, so that a share of about 1e-5 of such pairs lies beyond ``RADIUS`` and is missed, and far
+fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
 together, so such tile pairs are skipped without losing a link. The others are compared whole.
 
-Verification: the texts of candidates are read once more, for their sets and for fingerprints of WIDE bits. Pairs that differ
-in more of these than a pair of the given similarity may are left out (``WIDE_RADIUS``, 3.5 deviations above the mean; the
-bits are few, so little is moved for it); the rest are joined with both sets and compared exactly. Components go over
-verified pairs.
+Verification: the first pass over the texts also makes fingerprints of WIDE bits. Candidates that differ in more of these than
+a pair of the given similarity may are left out (``WIDE_RADIUS``, more than six deviations above the mean); for the rest,
+the texts of their ends are read once more in each round, and both sets are compared exactly. Sets of texts that very many
+pairs share are broadcast, a bounded number. Components go over verified pairs.
 
 Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
 all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates and the first one, and two components no more
@@ -26,7 +26,6 @@ distances are listed in the order of ids. The columns of a table may have any na
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -38,21 +37,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm._work import TEXTS, discard, hot_join, written
+from cadenza.llm._work import HOT_ROWS, TEXTS, discard, hot_join, written
 from cadenza.llm.simhash import SEED, STRIP, components, lowest_of, one_of_found
 
 SHINGLE = 5
 #: A similarity of 4 / 5 or more makes near copies.
 LIKE, OF = 4, 5
 #: Bits of 128.
-RADIUS = 32
+RADIUS = 36
 FEW, MORE = 4, 32
 #: Bits of the second fingerprint, and how many may differ: the mean share at the similarity is 0.151, its deviation 0.0112.
-WIDE, WIDE_RADIUS = 1024, 195
+WIDE, WIDE_RADIUS = 1024, 230
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
 TILES, TILE_FROM, TILE_TO = 24, 4096, 65_536
-#: Keys that are broadcast at once.
+#: Keys that are broadcast; more are joined by a shuffle of the texts.
 KEYS = 1 << 18
+#: Fewer sets than these are broadcast, of texts that are in over 1 / HOT_SETS of the pairs.
+HOT_SETS = 100
 
 NODE = np.dtype([("hi", "u8"), ("lo", "u8"), ("id", "i8"), ("label", "i8"), ("n", "i4")])
 
@@ -86,16 +87,6 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(hi), int(lo)
 
 
-@F.pandas_udf(T.StructType().add("id", T.LongType()).add("n", T.IntegerType()).add("hi", T.LongType()).add("lo", T.LongType()))
-def marks(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for x in text:
-        node, words = split(x)
-        values = shingles(words)
-        rows.append((node, len(values), *fingerprint(values)))
-    return pd.DataFrame(rows, columns=["id", "n", "hi", "lo"])
-
-
 @F.pandas_udf(T.LongType())
 def node_of(text: pd.Series) -> pd.Series:
     return pd.Series([split(x)[0] for x in text], dtype="int64")
@@ -116,12 +107,21 @@ def wide(values: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(values), bitorder="little").tobytes()
 
 
+@F.pandas_udf(T.StructType().add("id", T.LongType()).add("n", T.IntegerType()).add("hi", T.LongType()).add("lo", T.LongType()).add("wide", T.BinaryType()))
+def marks(text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in text:
+        node, words = split(x)
+        values = shingles(words)
+        rows.append((node, len(values), *fingerprint(values), wide(values[:, 0])))
+    return pd.DataFrame(rows, columns=["id", "n", "hi", "lo", "wide"])
+
+
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The id, the second fingerprint and the sorted shingles of each text."""
+    """The id and the sorted shingles of each text."""
     for batch in batches:
         found = [split(x) for x in batch.column(0).to_pylist()]
-        known = [shingles(w)[:, 0] for _, w in found]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([wide(k) for k in known], pa.binary()), pa.array([k.tobytes() for k in known], pa.binary())], ["id", "wide", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([shingles(w)[:, 0].tobytes() for _, w in found], pa.binary())], ["id", "shingles"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -251,49 +251,55 @@ def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, b
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(id, wide, shingles) of the nodes ``wanted`` (id, first: the smallest key of its rows). Texts are read, not shuffled."""
+    """(id, shingles) of the nodes ``wanted`` (id, first: the smallest key of its rows), in one pass over the texts. Up to KEYS
+    keys are broadcast, so that no text is shuffled."""
     count = wanted.count()
     keys = wanted.where("first is not null").select(F.col("first").alias("_first"))
-    chunks = max(1, -(-count // KEYS))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = [rows.join(F.broadcast(keys.where(F.pmod(F.xxhash64("_first"), F.lit(chunks)) == c)), F.col("key") == F.col("_first"), "left_semi").select("text") for c in range(chunks)]
+    found = rows.join(F.broadcast(keys) if count <= KEYS else keys.hint("merge"), F.col("key") == F.col("_first"), "left_semi").select("text")
     if not wanted.where("first is null").isEmpty():
-        found.append(rows.where("key is null").select("text"))
-    made = written(reduce(DataFrame.unionAll, found).mapInArrow(sets, "id long, wide binary, shingles binary"), "sets", batches=TEXTS)
+        found = found.unionAll(rows.where("key is null").select("text"))
+    made = written(found.mapInArrow(sets, "id long, shingles binary"), "sets", batches=TEXTS)
     every, different = made.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
     if every == different == count:
         return made
     # rows that share a key may have other texts, and rows without one may repeat a text
-    once = made.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("wide").alias("wide"), F.first("shingles").alias("shingles"))
-    return written(once, "sets")
+    once = written(made.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    discard(made)
+    return once
+
+
+def joined(pairs: DataFrame, known: DataFrame, end: str, value: str, out: str) -> DataFrame:
+    """Pairs with the ``value`` of their ``end`` (u or v) as ``out``, from the written ``known``; hot ends are broadcast."""
+    many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+    if pairs.count() <= HOT_ROWS:  # no end can be hot
+        return pairs.join(known.select(F.col("id").alias(end), F.col(value).alias(out)), end)
+    hot = written(known.select(F.col("id").alias(end), F.col(value).alias(out)).join(many, end), "ends")
+    return hot_join(pairs, hot, [end], "n", keys=HOT_SETS)
 
 
-def verified(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are alike."""
-    both = pairs.join(known.select(F.col("id").alias("u"), F.col("wide").alias("a")), "u").join(known.select(F.col("id").alias("v"), F.col("wide").alias("b")), "v")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The written pairs (u, v) that are alike."""
+    both = joined(joined(pairs, nodes, "u", "wide", "a"), nodes, "v", "wide", "b")
     maybe = written(both.where(may_be_alike("a", "b")).select("u", "v"), "maybe")
     ends = maybe.select(F.col("u").alias("id")).union(maybe.select("v")).distinct()
-    needed = written(known.join(ends, "id", "left_semi").select("id", "shingles"), "needed")  # its true size decides how Spark joins it
-    both = maybe.join(needed.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(needed.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    wanted = written(nodes.join(ends, "id", "left_semi").select("id", "first"), "wanted")
+    known = sets_of(docs, wanted, key=key, text=text)
+    both = joined(joined(maybe, known, "u", "shingles", "a"), known, "v", "shingles", "b")
     made = written(both.where(alike("a", "b")).select("u", "v"), "verified", batches=64)
-    discard(maybe, needed)
+    discard(maybe, wanted, known)
     return made
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
     marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked", batches=TEXTS).select("key", "m.*")
-    nodes = written(marked.groupBy("id", "n", "hi", "lo").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    left, roots, known, alone = nodes.withColumn("label", F.col("id")), None, None, True
+    nodes = written(marked.groupBy("id", "n", "hi", "lo", "wide").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+    left, roots, alone = nodes.withColumn("label", F.col("id")), None, True
     while True:
         found, whole = candidates(left, few, alone=alone)
         pairs = written(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "listed")
-        ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        ends = ends if known is None else ends.join(known.select("id"), "id", "left_anti")
-        wanted = written(nodes.join(ends, "id", "left_semi").select("id", "first"), "wanted")
-        more_sets = sets_of(docs, wanted, key=key, text=text)
-        known = more_sets if known is None else known.unionAll(more_sets)
-        made = verified(known, pairs)
+        made = verified(docs, nodes, pairs, key=key, text=text)
         if roots is None:
             roots = written(components(made), "roots")
         elif not made.isEmpty():  # a component goes on as a star

@@ -44,6 +44,8 @@ STRIP = 128
 HELD = 1 << 20
 #: Links that may meet in one task.
 HOT_LINKS = 100_000
+#: Up to so many links (of two numbers), one task finds all components at once.
+ONE_TASK = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -172,14 +174,25 @@ def tile_links(prints: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     return written(both.repartition(max(12, each), "ta", "tb").select("same", "a", "b").mapInArrow(compared(radius), LINKS), "links", batches=64)
 
 
+def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links u-v that a task reads, in which roots are smallest nodes."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+    u, v = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+    names, which = np.unique(np.concatenate([u, v]), return_inverse=True)
+    node, root = forest(len(names), which[: len(u)], which[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(names[node]), pa.array(names[root])], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that is reachable; nodes without links are absent.
 
-    Alternating large-star and small-star steps, each written to the shared folder; the number of rounds grows with the
+    Up to ONE_TASK links, whose size is known as they are written, are joined up in one task. Beyond that: alternating large-star and small-star steps, each written to the shared folder; the number of rounds grows with the
     logarithm of the size of a component. Where there are so many links that one node's could be more than HOT_LINKS (rows of
     two numbers), those of hot nodes are split. What a round read is deleted once the next is written.
     """
     pairs = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    if pairs.count() <= ONE_TASK:
+        return written(pairs.coalesce(1).mapInArrow(rooted, "node long, root long"), "roots")
     before = None
     while True:
         state = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("u", "v", F.lit(1)), F.lit(1 << 30))).alias("s")).first()

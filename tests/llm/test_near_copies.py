@@ -67,6 +67,19 @@ def test_more_rounds_give_the_same(spark, few):
     assert sorted({r["component_id"] for r in found}) == brute_kept(rows)
 
 
+def test_many_candidates_and_hot_ends_give_the_same(spark, monkeypatch):
+    """The plans for more keys than are broadcast, for ends that very many pairs share, and for more links than one task takes."""
+    from cadenza.llm import _work, simhash
+
+    monkeypatch.setattr(near_copies, "KEYS", 0)
+    monkeypatch.setattr(near_copies, "HOT_ROWS", 0)
+    monkeypatch.setattr(_work, "HOT_ROWS", 2)
+    monkeypatch.setattr(simhash, "ONE_TASK", 0)
+    rows = edited_rows()[-70:]
+    found = near_copies.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted({r["component_id"] for r in found}) == brute_kept(rows)
+
+
 def test_what_is_unlisted_is_marked():
     rng = np.random.default_rng(1)
     nodes = np.zeros(300, near_copies.NODE)

@@ -81,11 +81,15 @@ def test_tiles_lose_no_link(monkeypatch):
     assert top.tolist() == brute_groups([int(v) & (1 << 64) - 1 for v in values], 4)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("at_once", [simhash.ONE_TASK, 0])
+def test_components_of_a_long_chain(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "ONE_TASK", at_once)
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100}
     assert simhash.components(chain.limit(0)).count() == 0
+    loops = spark.createDataFrame([(-5, 7), (7, -5), (3, 3), (-9, 7)], "u long, v long")
+    assert {r.node: r.root for r in simhash.components(loops).collect()} == {-5: -9, 7: -9}
 
 
 def test_simhash_awkward(spark, awkward, empty):
