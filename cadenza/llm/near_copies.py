@@ -5,13 +5,12 @@ a shingle is one shingle. Sets hold XXH3 values of 64 bits, and ``id``, XXH64 of
 
 Candidates: SimHash fingerprints of 128 bits over the distinct shingles. Two sets of the given similarity differ in 19 bits
 on average with a deviation of 4, so that a share of about 1e-5 of such pairs lies beyond ``RADIUS`` and is missed, and far
-fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
+fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. A second fingerprint of WIDE bits goes with them: candidates that differ in more of its bits than a pair of the given
+similarity may (``WIDE_RADIUS``, more than five deviations above the mean) aren't listed. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
 together, so such tile pairs are skipped without losing a link. The others are compared whole.
 
-Verification: the first pass over the texts also makes fingerprints of WIDE bits. Candidates that differ in more of these than
-a pair of the given similarity may are left out (``WIDE_RADIUS``, more than six deviations above the mean); for the rest,
-the texts of their ends are read once more in each round, and both sets are compared exactly. Sets of texts that very many
-pairs share are broadcast, a bounded number. Components go over verified pairs.
+Verification: in each round the texts of listed candidates are read once more for their sets, which are compared exactly. Sets
+of texts that very many pairs share are broadcast, a bounded number. Components go over verified pairs.
 
 Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
 all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates and the first one, and two components no more
@@ -46,8 +45,8 @@ LIKE, OF = 4, 5
 #: Bits of 128.
 RADIUS = 36
 FEW, MORE = 4, 32
-#: Bits of the second fingerprint, and how many may differ: the mean share at the similarity is 0.151, its deviation 0.0112.
-WIDE, WIDE_RADIUS = 1024, 230
+#: Bits of the second fingerprint, and how many may differ: 77 do on average at the similarity, with a deviation of 8.
+WIDE, WIDE_RADIUS = 512, 120
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
 TILES, TILE_FROM, TILE_TO = 24, 4096, 65_536
 #: Keys that are broadcast; more are joined by a shuffle of the texts.
@@ -55,7 +54,10 @@ KEYS = 1 << 18
 #: Fewer sets than these are broadcast, of texts that are in over 1 / HOT_SETS of the pairs.
 HOT_SETS = 100
 
-NODE = np.dtype([("hi", "u8"), ("lo", "u8"), ("id", "i8"), ("label", "i8"), ("n", "i4")])
+#: Candidates whose second fingerprints are compared at once.
+AT_ONCE = 1 << 16
+
+NODE = np.dtype([("hi", "u8"), ("lo", "u8"), ("id", "i8"), ("label", "i8"), ("n", "i4"), ("wide", "u8", WIDE // 64)])
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -124,14 +126,6 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([shingles(w)[:, 0].tobytes() for _, w in found], pa.binary())], ["id", "shingles"])
 
 
-@F.pandas_udf(T.BooleanType())
-def may_be_alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(c), np.uint64).reshape(len(a), -1) for c in (a, b))
-    return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS)
-
-
 @F.pandas_udf(T.BooleanType())
 def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: bytes, y: bytes) -> bool:
@@ -153,7 +147,11 @@ def cut(size: int):
         for batch in batches:
             rows = np.zeros(batch.num_rows, NODE)
             for name in NODE.names:
-                values = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+                column = batch.column(batch.schema.get_field_index(name))
+                if name == "wide":
+                    rows[name] = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                    continue
+                values = column.to_numpy(zero_copy_only=False)
                 rows[name] = values.view(np.uint64) if name in ("hi", "lo") else values
             held = np.concatenate([held, rows])
             while len(held) >= size:
@@ -175,11 +173,16 @@ def sizes_of(labels: np.ndarray) -> np.ndarray:
     return many[which]
 
 
+def close(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the candidates a[i], b[j] have second fingerprints within WIDE_RADIUS."""
+    return np.concatenate([np.zeros(0, bool), *(np.bitwise_count(a[i[at : at + AT_ONCE]] ^ b[j[at : at + AT_ONCE]]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS for at in range(0, len(i), AT_ONCE))])
+
+
 def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The listed candidates (u, v) of two tiles that are sorted by n, and the ids of nodes with unlisted ones."""
     us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sizes = b["n"].astype(np.int64)
-    hi, lo = np.ascontiguousarray(b["hi"]), np.ascontiguousarray(b["lo"])
+    hi, lo, wide_b = (np.ascontiguousarray(b[c]) for c in ("hi", "lo", "wide"))
     many_a, many_b = sizes_of(a["label"]), sizes_of(b["label"])
     between: dict[tuple[int, int], int] = {}  # listed pairs between two components of several nodes
     for at in range(0, len(a), STRIP):
@@ -197,6 +200,8 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: in
         if same:
             right_ones &= j > i + at
         i, j, bits = i[right_ones], j[right_ones], bits[right_ones]
+        near = close(strip["wide"], wide_b, i, j)
+        i, j, bits = i[near], j[near], bits[near]
         if not len(i):
             continue
         starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])  # rows come in order, so that these are the first of each
@@ -269,25 +274,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataF
     return once
 
 
-def joined(pairs: DataFrame, known: DataFrame, end: str, value: str, out: str) -> DataFrame:
-    """Pairs with the ``value`` of their ``end`` (u or v) as ``out``, from the written ``known``; hot ends are broadcast."""
-    many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-    if pairs.count() <= HOT_ROWS:  # no end can be hot
-        return pairs.join(known.select(F.col("id").alias(end), F.col(value).alias(out)), end)
-    hot = written(known.select(F.col("id").alias(end), F.col(value).alias(out)).join(many, end), "ends")
-    return hot_join(pairs, hot, [end], "n", keys=HOT_SETS)
+def joined(pairs: DataFrame, known: DataFrame, end: str, out: str) -> DataFrame:
+    """Pairs with the set of their ``end`` (u or v) as ``out``; sets of hot ends are broadcast, and the others shuffled."""
+    of = known.select(F.col("id").alias(end), F.col("shingles").alias(out))
+    total, most = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least = max(HOT_ROWS, -(-total // HOT_SETS))
+    if most <= least:
+        return pairs.join(of, end)
+    hot = written(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(end), "hot")
+    rest = pairs.join(F.broadcast(hot), end, "left_anti").join(of, end)
+    return pairs.join(F.broadcast(of.join(F.broadcast(hot), end)), end).unionByName(rest)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """The written pairs (u, v) that are alike."""
-    both = joined(joined(pairs, nodes, "u", "wide", "a"), nodes, "v", "wide", "b")
-    maybe = written(both.where(may_be_alike("a", "b")).select("u", "v"), "maybe")
-    ends = maybe.select(F.col("u").alias("id")).union(maybe.select("v")).distinct()
+    """The pairs (u, v) that are alike, of a written table."""
+    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     wanted = written(nodes.join(ends, "id", "left_semi").select("id", "first"), "wanted")
     known = sets_of(docs, wanted, key=key, text=text)
-    both = joined(joined(maybe, known, "u", "shingles", "a"), known, "v", "shingles", "b")
+    both = joined(joined(pairs, known, "u", "a"), known, "v", "b")
     made = written(both.where(alike("a", "b")).select("u", "v"), "verified", batches=64)
-    discard(maybe, wanted, known)
+    discard(wanted, known)
     return made
 
 
@@ -312,7 +318,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int
         else:
             left, alone = nodes, False
         left = left.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        left = written(left.select("id", "n", "hi", "lo", F.coalesce("root", "id").alias("label")), "left")
+        left = written(left.select("id", "n", "hi", "lo", "wide", F.coalesce("root", "id").alias("label")), "left")
     named = lowest_of(roots, nodes.select("id", "first", F.col("rows").alias("n")), "id")
     return hot_join(marked.select("key", "id"), named, ["id"], "n").select(F.col("key").alias(key), F.col("id").alias("fp"), "component_id", "root")
 

@@ -74,6 +74,7 @@ def test_many_candidates_and_hot_ends_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "KEYS", 0)
     monkeypatch.setattr(near_copies, "HOT_ROWS", 0)
     monkeypatch.setattr(_work, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_copies, "HOT_SETS", 30)
     monkeypatch.setattr(simhash, "ONE_TASK", 0)
     rows = edited_rows()[-70:]
     found = near_copies.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
