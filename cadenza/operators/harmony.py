@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza import dims
 from cadenza.functions import theory as th
+from cadenza.operators.scans import RUN, Last, scanned
 
 
 def match_bars(bars: DataFrame) -> DataFrame:
@@ -56,11 +57,12 @@ def harmonic_field(spark: SparkSession) -> DataFrame:
     )
 
 
-def analyze_bars(matched: DataFrame, *, song: str = "song", bar: str = "bar") -> DataFrame:
+def analyze_bars(matched: DataFrame, *, song: str = "song", bar: str = "bar", run: int = RUN) -> DataFrame:
     """Matched bars with key_root, is_minor and quarter_beats become steps: detected, carried, degree, label,
     step_intervals, beats, confidence. ``bar`` counts from 0; the output's ``number`` from 1.
 
-    A bar without a chord carries the last chord's step forward with its own length, marked unsure.
+    A bar without a chord carries the last chord's step forward with its own length, marked unsure. No task holds more than
+    ``run`` bars of a song.
     """
     field = harmonic_field(matched.sparkSession).select(
         F.col("key_root").alias("_key"), F.col("is_minor").alias("_minor"), F.col("chord_root").alias("_root"), F.col("family").alias("_family"), F.col("field_index").alias("_degree"), F.col("numeral").alias("_numeral")
@@ -74,8 +76,8 @@ def analyze_bars(matched: DataFrame, *, song: str = "song", bar: str = "bar") ->
         F.struct(F.lit(None).cast("int").alias("degree"), F.concat(spelled, "symbol").alias("label"), th.key_relative(F.col("root_pc"), F.col("key_root"), F.col("intervals")).alias("intervals")).cast(kind)
     )
     stepped = joined.withColumn("_own", F.when(F.col("kind") == "chord", step))
-    before = F.last("_own", ignorenulls=True).over(Window.partitionBy(song).orderBy(bar).rowsBetween(Window.unboundedPreceding, -1))
-    carried = stepped.withColumn("_before", F.when(F.col("_own").isNull(), before))
+    stepped = scanned(stepped, [song], [F.col(bar)], {"_before": Last(F.col("_own"), inclusive=False)}, run=run)
+    carried = stepped.withColumn("_before", F.when(F.col("_own").isNull(), F.col("_before")))
     held = F.coalesce("_own", "_before")
     return carried.select(
         *matched.columns,

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import theory as th
+from cadenza.operators.scans import RUN, Last, Sum, Total, scanned
+from cadenza.sources.shared import written
 
 
-def offsets(steps: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
-    """Steps with dur (eighths, at least 1), begin (eighths before) and total (of the song)."""
-    order = Window.partitionBy(song).orderBy(pos)
+def offsets(steps: DataFrame, *, song: str = "song", pos: str = "pos", run: int = RUN) -> DataFrame:
+    """Steps with dur (eighths, at least 1), begin (eighths before) and total (of the song). No task holds more than ``run`` steps
+    of a song."""
     dur = steps.withColumn("dur", th.step_eighths(F.col("beats")))
-    begin = F.coalesce(F.sum("dur").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dur.withColumns({"begin": begin, "total": F.sum("dur").over(Window.partitionBy(song))})
+    return scanned(dur, [song], [F.col(pos)], {"begin": Sum(F.col("dur"), inclusive=False), "total": Total(F.col("dur"))}, run=run)
 
 
 def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
@@ -105,3 +106,41 @@ def active_step(steps: DataFrame, positions: DataFrame, *, song: str = "song", p
 def durations(segments: DataFrame) -> DataFrame:
     """Each label's whole time, the longest first; equal ones by label."""
     return segments.groupBy("label").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("duration_us")).orderBy(F.desc("duration_us"), "label")
+
+
+def covering(segments: DataFrame, moments: DataFrame, *, by: str, at: str = "at_us", run: int = RUN) -> DataFrame:
+    """``moments`` with the label, start_us and end_us of the segment of their ``by`` that covers them: start <= moment < end.
+
+    One sorted pass over segments and moments together: the last segment that began is carried to a moment, across ranges too,
+    so that a segment's length costs nothing. Segments of one ``by`` may touch but not overlap; of several that begin at once the
+    longest counts, and segments without length cover nothing. A moment in no segment, or with a null ``by`` or time, has nulls.
+    """
+    found = F.struct("start_us", "end_us", "label").alias("_segment")
+    told = F.struct(*(F.col(c) for c in moments.columns))
+    known = segments.where("start_us < end_us").select(F.col(by).alias("_by"), F.col("start_us").alias("_x"), F.lit(0).alias("_kind"), F.col("end_us").alias("_tie"), found)
+    asked = moments.select(F.col(by).alias("_by"), F.col(at).alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_tie"), told.alias("_moment"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    last = scanned(both, ["_by"], [F.col("_x"), F.col("_kind"), F.col("_tie")], {"_last": Last(F.col("_segment"))}, run=run).where("_kind = 1")
+    inside = F.col("_by").isNotNull() & (F.col("_x") < F.col("_last.end_us"))
+    return last.select("_moment.*", *(F.when(inside, F.col(f"_last.{c}")).alias(c) for c in ("label", "start_us", "end_us")))
+
+
+def debounced(taps: DataFrame, gap_us: int, *, by: str = "key", at: str = "at_us", run: int = RUN) -> DataFrame:
+    """(by, at) of the taps that come at least ``gap_us`` after the last one that was accepted; the first one is.
+
+    The batch twin of the stream. A tap's successor is the first tap that would be accepted after it, found in one sorted pass
+    over taps and their earliest next times. Then pointers are doubled: in each round the taps known to be accepted hand this
+    on over 1, 2, 4, ... successors, so that a chain of n taps takes a logarithmic number of joins, whatever its key's size.
+    Taps at the same time are one; those without a time or key aren't any. An empty table gives no rows.
+    """
+    nodes = taps.select(F.col(by).alias("k"), F.col(at).cast("long").alias("t")).where("k is not null and t is not null").distinct()
+    line = nodes.select("k", F.col("t").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("of")).unionByName(nodes.select("k", (F.col("t") + gap_us).alias("x"), F.lit(0).alias("kind"), F.col("t").alias("of")))
+    # from late to early, a tap before the time that asks for it
+    late = scanned(line, ["k"], [F.desc("x"), F.desc("kind")], {"next": Last(F.when(F.col("kind") == 1, F.col("x")))}, run=run)
+    jump = written(late.where("kind = 0 and next is not null").select("k", F.col("of").alias("t"), "next"), "jump")
+    known = written(nodes.groupBy("k").agg(F.min("t").alias("t")), "accepted")
+    while not (more := written(known.join(jump, ["k", "t"]).select("k", F.col("next").alias("t")), "accepted")).isEmpty():
+        known = written(known.unionByName(more), "accepted")
+        beyond = jump.select("k", F.col("t").alias("next"), F.col("next").alias("then"))
+        jump = written(jump.join(beyond, ["k", "next"]).select("k", "t", F.col("then").alias("next")), "jump")
+    return known.select(F.col("k").alias(by), F.col("t").alias(at))

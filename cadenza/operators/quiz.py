@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza import dims
 from cadenza.functions import theory as th
 from cadenza.operators.harmony import harmonic_field
+from cadenza.operators.scans import RUN, Last, Streak, Sum, scanned
 
 PRIME = 2147483647
 
@@ -96,31 +97,22 @@ def diatonic_chord_questions(seeds: DataFrame) -> DataFrame:
     return out.select(*seeds.columns, chosen["notes"].alias("notes"), "correct", "options", chosen["type_of"].alias("tip_key"))
 
 
-def scores(actions: DataFrame, *, session: str = "session", order: list[str]) -> DataFrame:
+def scores(actions: DataFrame, *, session: str = "session", order: list[str], run: int = RUN) -> DataFrame:
     """Each counted answer with the running score after it: correct, total, streak, best_streak.
 
     Actions have ``action`` ('question', 'answer', 'changeMode', 'resetScore', 'toggleKeyLimited') and ``ok``. Only the
     first answer after a question counts; the last three actions start a new score, and all but resetScore take the
-    question away.
+    question away. An answer whose ``ok`` is null is wrong. No task holds more than ``run`` actions of a session.
     """
-    w = Window.partitionBy(session).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    resets = F.col("action").isin("changeMode", "resetScore", "toggleKeyLimited")
-    marked = actions.withColumns(
-        {
-            "_era": F.count_if(resets).over(so_far),
-            "_round": F.count_if(F.col("action") == "question").over(so_far),
-            "_asked": F.last(F.when(F.col("action") == "question", True).when(F.col("action").isin("changeMode", "toggleKeyLimited"), False), ignorenulls=True).over(so_far),
-        }
-    )
-    answers = marked.where((F.col("action") == "answer") & F.col("_asked"))
-    first = Window.partitionBy(session, "_round").orderBy(*order)
-    counted = answers.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_miss", F.when(F.col("ok"), 0).otherwise(1))
-    era = Window.partitionBy(session, "_era").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumns({"correct": F.count_if("ok").over(era), "total": F.count(F.lit(1)).over(era), "_island": F.sum("_miss").over(era)})
-    island = Window.partitionBy(session, "_era", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    streaks = run.withColumn("streak", F.count_if("ok").over(island))
-    return streaks.withColumn("best_streak", F.max("streak").over(era)).select(*actions.columns, "correct", "total", "streak", "best_streak")
+    by, kind = [F.col(c) for c in order], F.col("action")
+    state = F.when(kind == "question", "asked").when(kind == "answer", "answered").when(kind.isin("changeMode", "toggleKeyLimited"), "none")
+    marked = scanned(actions, [session], by, {"_state": Last(state, inclusive=False)}, run=run)
+    counts, resets = (kind == "answer") & (F.col("_state") == "asked"), kind.isin("changeMode", "resetScore", "toggleKeyLimited")
+    marked = marked.withColumns({"_counts": F.coalesce(counts, F.lit(False)), "_reset": F.coalesce(resets, F.lit(False)), "_right": F.coalesce("ok", F.lit(False))})
+    marked = marked.where("_counts or _reset")
+    hit, miss, reset = F.col("_counts") & F.col("_right"), F.col("_counts") & ~F.col("_right"), F.col("_reset")
+    sums = {"correct": Sum(hit.cast("long"), since=reset), "total": Sum(F.col("_counts").cast("long"), since=reset), ("streak", "best_streak"): Streak(hit, miss, reset)}
+    return scanned(marked, [session], by, sums, run=run).where("_counts").select(*actions.columns, "correct", "total", "streak", "best_streak")
 
 
 def percent(correct: Column, total: Column) -> Column:

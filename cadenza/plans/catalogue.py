@@ -245,6 +245,13 @@ def segment_coverage(spark, sf_dir):
     return playback.coverage(segments(spark, sf_dir), by="user_id")
 
 
+@query
+def segment_at_moment(spark, sf_dir):
+    """Every event and the label segment of the same user that covers the moment two hours later, to the microsecond."""
+    asked = bind.table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) + 7_200_000_000).alias("at_us"))
+    return playback.covering(segments(spark, sf_dir), asked, by="user_id")
+
+
 # quiz
 
 
@@ -687,6 +694,13 @@ def debounced_taps(spark, sf_dir):
     return sessions.drained(sessions.debounced(taps, 10 * 86_400_000_000), shared.fresh_dir(spark, "taps"))
 
 
+@query
+def debounced_batch(spark, sf_dir):
+    """Each user's events at least a day apart, counted from the last one accepted, without a stream."""
+    ev = bind.table(spark, sf_dir, "events")
+    return playback.debounced(ev.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")), 86_400_000_000)
+
+
 @query
 def held_keys(spark, sf_dir):
     """Key presses without repeats, as a stream: signups and purchases let the user's key go, others press it."""

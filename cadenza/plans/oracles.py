@@ -202,6 +202,9 @@ ORACLES["segment_coverage"] = """WITH s AS (SELECT user_id, event_type AS label,
 g AS (SELECT user_id, label, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS duration_us FROM s WHERE b IS NOT NULL GROUP BY ALL)
 SELECT user_id, label, n, duration_us, CAST(CASE WHEN sum(duration_us) OVER (PARTITION BY user_id) > 0 THEN floor(10000 * duration_us / CAST(sum(duration_us) OVER (PARTITION BY user_id) AS DOUBLE) + 0.5) ELSE 0 END AS BIGINT) AS share_bp FROM g"""
 
+ORACLES["segment_at_moment"] = """WITH s AS (SELECT user_id, event_type AS label, epoch_us(ts) AS a, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT e.user_id, e.event_id, epoch_us(e.ts) + 7200000000 AS at_us, s.label, s.a AS start_us, s.b AS end_us FROM events e LEFT JOIN s ON s.user_id = e.user_id AND s.a <= epoch_us(e.ts) + 7200000000 AND epoch_us(e.ts) + 7200000000 < s.b"""
+
 ORACLES["quiz_scores"] = """WITH a AS (
   SELECT user_id AS session, ts, event_id, CASE WHEN event_type = 'signup' THEN 'resetScore' WHEN event_id % 23 = 0 THEN 'changeMode' WHEN event_id % 3 = 0 THEN 'question' ELSE 'answer' END AS act, event_type IN ('click', 'purchase') AS ok FROM events
 ), m AS (
@@ -355,6 +358,8 @@ SELECT doc, section, page, col, CAST({TOP} + col * {WIDTH} AS DOUBLE) AS x, roun
 ORACLES["quiz_stream"] = f"SELECT session, event_id, correct, total, streak, best_streak FROM ({ORACLES['quiz_scores']})"
 ORACLES["debounced_taps"] = """WITH RECURSIVE c AS (SELECT user_id AS key, epoch_us(ts) AS at_us FROM events WHERE event_type = 'click'),
 t AS (SELECT key, min(at_us) AS at_us FROM c GROUP BY key UNION ALL SELECT t.key, min(c.at_us) FROM t JOIN c ON c.key = t.key AND c.at_us >= t.at_us + 864000000000 GROUP BY t.key) SELECT key, at_us FROM t"""
+ORACLES["debounced_batch"] = """WITH RECURSIVE c AS (SELECT user_id AS key, epoch_us(ts) AS at_us FROM events),
+t AS (SELECT key, min(at_us) AS at_us FROM c GROUP BY key UNION ALL SELECT t.key, min(c.at_us) FROM t JOIN c ON c.key = t.key AND c.at_us >= t.at_us + 86400000000 GROUP BY t.key) SELECT key, at_us FROM t"""
 GOOD = "page_id % 10 NOT IN (3, 6, 9)"
 ORACLES["gp_errors"] = f"""SELECT 'page-' || page_id AS path, CASE page_id % 10 WHEN 3 THEN 'gpx-container' WHEN 6 THEN 'legacy-binary' WHEN 9 THEN 'corrupt' END AS error, CASE WHEN {GOOD} THEN 'Page ' || page_id END AS title,
   CASE WHEN {GOOD} THEN CAST(page_id AS VARCHAR) END AS artist, CASE WHEN {GOOD} THEN CAST(1 + page_id % 5 AS INTEGER) END AS n_bars, CASE WHEN {GOOD} THEN FALSE END AS has_chords FROM pages"""

@@ -60,6 +60,9 @@ import __spark_entry__ as e
 assert not [q for q in e.queries() if q.startswith("op") or q == "pipeline"], sorted(e.queries())
 assert set(e.oracle_sql()) == set(e.queries())
 """
-    env = os.environ | {"PYTHONPATH": str(copy), "PYTHONDONTWRITEBYTECODE": "1"}
-    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
-    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, check=True, timeout=120, stdout=subprocess.DEVNULL)
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYTEST_")}
+    others = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x and Path(x).resolve() != REPO]  # what the run needs besides this repository
+    env |= {"PYTHONPATH": os.pathsep.join([str(copy), *others]), "PYTHONDONTWRITEBYTECODE": "1"}
+    for command in (["-c", code], ["-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "--rootdir", str(copy), "tests"]):
+        done = subprocess.run([sys.executable, *command], cwd=copy, env=env, timeout=300, capture_output=True, text=True)
+        assert done.returncode == 0, f"{command}\n{done.stdout[-3000:]}\n{done.stderr[-3000:]}"
