@@ -15,7 +15,7 @@ from cadenza.operators import structure_rows as tabular
 from cadenza.plans import bindings as bind
 from cadenza.plans.catalogue import QUERIES, analyzed, archive, matched, nth_section, query, seeds, segments, songs, stored, structure_tables, structures, text
 from cadenza.sources import gp, shared, store, tables
-from cadenza.streaming import sessions
+from cadenza.streaming import sessions, sync
 
 __all__ = ["QUERIES"]
 NOW = "2030-01-01 00:00:00"
@@ -190,6 +190,19 @@ def sync_pushes(spark, sf_dir):
     return made[0].unionAll(made[1]).unionAll(made[2])
 
 
+@query
+def sync_stream(spark, sf_dir):
+    """The other copy's rows arrive as a stream, a file a batch, and the last write wins."""
+    root, kind = shared.fresh_dir(spark, "library"), "id string, title string, updated_at string"
+    local, cloud = (t.select("id", "title", "updated_at") for t in bind.local_and_cloud(spark, sf_dir))
+    store.commit(spark, root, {"songs": local})
+    for part in range(2):
+        cloud.where(number() % 2 == part).coalesce(4).write.mode("append").parquet(f"{root}/arriving")
+    changes = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{root}/arriving")
+    sync.synchronising(changes, root, "songs", kind, source="cloud").awaitTermination()
+    return store.current(spark, root, "songs", kind)
+
+
 @query
 def library_session(spark, sf_dir):
     """A session of edits: a table is committed, records are saved over it, some are removed, and it is listed anew."""

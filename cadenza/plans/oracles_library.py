@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cadenza import dims
-from cadenza.plans.oracles import ANALYZED, COPIES, DOCUMENTS, FIELD, GOOD, MATCHED, ORACLES, SCALES, STEPS, STORED, lit, moved, name, text, values
+from cadenza.plans.oracles import ANALYZED, APPLIED, COPIES, DOCUMENTS, FIELD, GOOD, MATCHED, ORACLES, SCALES, STEPS, STORED, lit, moved, name, text, values
 
 __all__ = ["ORACLES"]
 NOW = "'2030-01-01 00:00:00'"
@@ -56,6 +56,7 @@ def last_write(mine: str, theirs: str, collection: str) -> str:
 ORACLES["sync_library"] = f"""WITH {PARTS} SELECT coalesce(l.id, c.id) AS id, coalesce(l.title, c.title) AS title, coalesce(l.updated_at, c.updated_at) AS updated_at, 'progressions' AS collection FROM local l FULL JOIN cloud c ON l.id = c.id
 UNION ALL {last_write('lt', 'cloud', 'songs')} UNION ALL {last_write('local', 'ct', 'structures')}"""
 ORACLES["sync_pushes"] = f"""WITH {PARTS} SELECT id, 'progressions' AS collection FROM local WHERE id NOT IN (SELECT id FROM cloud) UNION ALL SELECT id, 'songs' FROM lt WHERE id NOT IN (SELECT id FROM cloud) UNION ALL SELECT id, 'structures' FROM local WHERE id NOT IN (SELECT id FROM ct)"""
+ORACLES["sync_stream"] = f"WITH {COPIES}, a AS ({APPLIED}) SELECT id, title, updated_at FROM local WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT * FROM a"
 ORACLES["library_session"] = f"""WITH {STORED} SELECT id, CASE WHEN k % 4 = 0 THEN 'saved ' || title ELSE title END AS title, CASE WHEN k % 4 = 0 THEN {NOW} ELSE updated_at END AS updated_at, is_example FROM stored WHERE k % 6 > 0 OR is_example = 1"""
 ORACLES["snapshot_pull"] = f"WITH {COPIES} SELECT id, title, updated_at FROM cloud"
 
