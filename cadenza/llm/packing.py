@@ -16,6 +16,7 @@ than a sequence are cut. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ CAPACITY = 1024
 CLOSING = 2
 #: Below this code point both tokenizers' patterns know the same letters and digits.
 COMMON = 0x250
-PIECE = "piece int, start long, length long, ids array<int>, part int, nth long"
+PIECE = "piece int, start long, length long, ids array<int>, ids_crc32 long, part int, nth long"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -85,18 +86,20 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, closing: int = CLOSING, key: str = "doc_id") -> DataFrame:
-    """A written table: key, piece, start, length, ids, and part and nth, the piece's number in its partition and length."""
+    """A written table: key, piece, start, length, ids, their crc32 as little-endian unsigned 32-bit numbers, and part and nth, the
+    piece's number in its partition and length."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows, ids, numbers = [], [], []
+            rows, ids, sums = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 got = np.append(encode(text or "", path), np.int32(closing))
                 for number, (start, length) in enumerate(cuts(len(got), capacity)):
                     rows.append((row, number, start, length, seen[length]))
                     seen[length] += 1
+                    sums.append(zlib.crc32(got[start : start + length].astype("<u4").data))
                 ids.append(got)
             if not rows:
                 continue
@@ -109,10 +112,11 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
                     pa.array(start),
                     pa.array(length),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids))),
+                    pa.array(sums, pa.int64()),
                     pa.array(np.full(len(row), part, np.int32)),
                     pa.array(nth),
                 ],
-                ["key", "piece", "start", "length", "ids", "part", "nth"],
+                ["key", "piece", "start", "length", "ids", "ids_crc32", "part", "nth"],
             )
 
     kind = docs.schema[key].dataType.simpleString()

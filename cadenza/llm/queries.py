@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,21 +26,9 @@ def op1_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, urls.fit(urls.labelled_by_rules(pages, URL_RULES)))
 
 
-def ids_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids column replaced by the crc32 of the ids as little-endian unsigned 32-bit numbers."""
-    for batch in batches:
-        ids = batch.column("ids")
-        data, bounds = ids.values.to_numpy().astype("<u4").data.cast("B"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        rest = [batch.column(c) for c in batch.schema.names if c != "ids"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(crc, pa.int64())], [*(c for c in batch.schema.names if c != "ids"), "ids_crc32"])
-
-
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pieces(docs)
-    kind = pieces.schema["key"].dataType.simpleString()
-    digests = pieces.mapInArrow(ids_digests, f"key {kind}, piece int, start long, length long, part int, nth long, ids_crc32 long")
-    placed = packing.place(digests, pieces)
+    placed = packing.place(pieces.drop("ids"), pieces)
     return placed.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
