@@ -6,16 +6,16 @@ a shingle is one shingle. Sets hold XXH3 values of 64 bits, and ``id``, XXH64 of
 Candidates: SimHash fingerprints of 128 bits over the distinct shingles. Two sets of the given similarity differ in 19 bits
 on average with a deviation of 4, so that a share of about 1e-5 of such pairs lies beyond ``RADIUS`` and is missed, and far
 fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. A second fingerprint of WIDE bits goes with them: candidates that differ in more of its bits than a pair of the given
-similarity may (``WIDE_RADIUS``, more than five deviations above the mean) aren't listed. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
+similarity may (``WIDE_RADIUS``, four deviations above the mean as well) aren't listed. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
 together, so such tile pairs are skipped without losing a link. The others are compared whole.
 
 Verification: in each round the texts of listed candidates are read once more for their sets, which are compared exactly. Sets
 of texts that very many pairs share are broadcast, a bounded number. Components go over verified pairs.
 
 Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
-all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates and the first one, and two components no more
+all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates by the second fingerprint and the first one, and two components no more
 than ``FEW`` pairs between them. Nodes with unlisted candidates go through another round with lists ``MORE`` times as long, in
-which pairs that are already in one component are left out. Rounds end when nothing is unlisted, so no candidate is
+which pairs that are already in one component are left out, and none is verified twice. Rounds end when nothing is unlisted, so no candidate is
 dropped, and a group of copies doesn't list all pairs.
 
 Nulls and texts without words are one node without shingles, which is like no other. Very long texts are read whole. Equal
@@ -45,8 +45,8 @@ LIKE, OF = 4, 5
 #: Bits of 128.
 RADIUS = 36
 FEW, MORE = 4, 32
-#: Bits of the second fingerprint, and how many may differ: 77 do on average at the similarity, with a deviation of 8.
-WIDE, WIDE_RADIUS = 512, 120
+#: Bits of the second fingerprint, and how many may differ: 155 do on average at the similarity, with a deviation of 11.4.
+WIDE, WIDE_RADIUS = 1024, 203
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
 TILES, TILE_FROM, TILE_TO = 24, 4096, 65_536
 #: Keys that are broadcast; more are joined by a shuffle of the texts.
@@ -173,9 +173,9 @@ def sizes_of(labels: np.ndarray) -> np.ndarray:
     return many[which]
 
 
-def close(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the candidates a[i], b[j] have second fingerprints within WIDE_RADIUS."""
-    return np.concatenate([np.zeros(0, bool), *(np.bitwise_count(a[i[at : at + AT_ONCE]] ^ b[j[at : at + AT_ONCE]]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS for at in range(0, len(i), AT_ONCE))])
+def wide_apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits of the second fingerprints of the candidates a[i], b[j] differ."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(a[i[at : at + AT_ONCE]] ^ b[j[at : at + AT_ONCE]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), AT_ONCE))])
 
 
 def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,13 +194,14 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: in
             continue
         apart = np.bitwise_count(strip["hi"][:, None] ^ hi[None, left:right]) + np.bitwise_count(strip["lo"][:, None] ^ lo[None, left:right])
         i, j = np.nonzero(apart <= radius)
-        bits, j = apart[i, j], j + left
+        j = j + left
         small, large = np.minimum(n[i], sizes[j]), np.maximum(n[i], sizes[j])
         right_ones = (strip["label"][i] != b["label"][j]) & (OF * small >= LIKE * large)
         if same:
             right_ones &= j > i + at
-        i, j, bits = i[right_ones], j[right_ones], bits[right_ones]
-        near = close(strip["wide"], wide_b, i, j)
+        i, j = i[right_ones], j[right_ones]
+        bits = wide_apart(strip["wide"], wide_b, i, j)
+        near = bits <= WIDE_RADIUS
         i, j, bits = i[near], j[near], bits[near]
         if not len(i):
             continue
@@ -301,10 +302,12 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
     marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked", batches=TEXTS).select("key", "m.*")
     nodes = written(marked.groupBy("id", "n", "hi", "lo", "wide").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    left, roots, alone = nodes.withColumn("label", F.col("id")), None, True
+    left, roots, tried, alone = nodes.withColumn("label", F.col("id")), None, None, True
     while True:
         found, whole = candidates(left, few, alone=alone)
-        pairs = written(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "listed")
+        listed = found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = written(listed if tried is None else listed.join(tried, ["u", "v"], "left_anti"), "listed")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         made = verified(docs, nodes, pairs, key=key, text=text)
         if roots is None:
             roots = written(components(made), "roots")
