@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -178,3 +179,9 @@ def test_alignment_query(spark, tmp_path):
     for n, want in enumerate(brute(texts)):
         assert tuple(got[n][c] for c in NAMES[:-1]) == want[:-1]
         assert got[n].groups_sha256 == (hashlib.sha256(want[-1].encode()).hexdigest() if want[-1] else "")
+
+
+def test_pieces_carry_the_checksum_of_their_ids(spark):
+    docs = spark.createDataFrame([(1, prose(4, 900)), (2, None), (3, "x")], "doc_id long, text string")
+    got = packing.pieces(docs, capacity=64).collect()
+    assert len(got) > 10 and all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
