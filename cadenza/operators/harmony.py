@@ -33,6 +33,11 @@ def match_bars(bars: DataFrame) -> DataFrame:
     return out.select(*bars.columns, kind.alias("kind"), F.col("_chosen.root").alias("root_pc"), "_chosen.quality", "_chosen.intervals", "_chosen.symbol")
 
 
+def field_of(keys: DataFrame) -> DataFrame:
+    """Each row (key_root, is_minor and its own columns) with the seven chords of its key; a row without a key has none."""
+    return keys.join(F.broadcast(harmonic_field(keys.sparkSession)), ["key_root", "is_minor"])  # 168 rows
+
+
 def harmonic_field(spark: SparkSession) -> DataFrame:
     """The seven chords of each of the 24 keys, spelled by the key's sharp name."""
     crossed = dims.keys(spark).join(F.broadcast(dims.field_templates(spark)), "is_minor")  # 168 rows

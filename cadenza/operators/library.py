@@ -41,6 +41,12 @@ def seeded(table: DataFrame, created_at: str) -> DataFrame:
     return table if n else table.unionByName(examples(table.sparkSession, created_at))
 
 
+def conformed(rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with the columns and types of a stored table; columns that they don't have are null, others go."""
+    fields = [field.split() for field in kind.split(", ")]
+    return rows.select(*((F.col(name) if name in rows.columns else F.lit(None)).cast(type_).alias(name) for name, type_ in fields))
+
+
 def decoded(progressions: DataFrame) -> DataFrame:
     """Stored progressions with steps parsed (malformed JSON fails) and is_example as a boolean."""
     kind = STEP.replace("offset_eighths", "offsetEighths")

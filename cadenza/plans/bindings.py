@@ -71,6 +71,12 @@ def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 12).cast("int").alias("root_note"), kind.alias("type_id"), F.pmod(F.floor(F.col("p_partkey") / 12), F.lit(12)).cast("int").alias("key_root"))
 
 
+def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is a key: p_partkey, key_root, is_minor."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", (n % 12).cast("int").alias("key_root"), (F.floor(n / 12) % 2 == 1).alias("is_minor"))
+
+
 def local_and_cloud(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two copies of a library of orders: ids, titles and timestamps in the two text formats."""
     orders = table(spark, sf_dir, "orders")

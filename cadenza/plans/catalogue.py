@@ -75,8 +75,9 @@ def assemble_sections(spark, sf_dir):
 
 @query
 def harmonic_field(spark, sf_dir):
-    field = harmony.harmonic_field(spark)
-    return field.select("key_root", "is_minor", "degree", "numeral", "function", "chord_name", text("notes").alias("notes"), text("note_names").alias("note_names"), "family")
+    """The seven chords of each part's key."""
+    field = harmony.field_of(bind.part_keys(spark, sf_dir))
+    return field.select("p_partkey", "key_root", "is_minor", "degree", "numeral", "function", "chord_name", text("notes").alias("notes"), text("note_names").alias("note_names"), "family")
 
 
 # scales and theory
@@ -102,8 +103,9 @@ def scale_compare(spark, sf_dir):
 
 @query
 def chromatic_steps(spark, sf_dir):
-    made = progressions.common_chromatic_steps(dims.keys(spark).where("not is_minor").drop("is_minor"))
-    return made.select("key_root", "category", "label", text("notes").alias("notes"), text("step_intervals").alias("step_intervals"))
+    """The common chromatic chords in each part's key."""
+    made = progressions.common_chromatic_steps(bind.part_keys(spark, sf_dir).drop("is_minor"))
+    return made.select("p_partkey", "key_root", "category", "label", text("notes").alias("notes"), text("step_intervals").alias("step_intervals"))
 
 
 @query
@@ -148,7 +150,10 @@ def bass_positions(spark, sf_dir):
 
 @query
 def bass_neck(spark, sf_dir):
-    return scales.neck(spark, [0, 4, 7])
+    """The neck with the notes of each part's chord."""
+    frets = scales.chord_notes(bind.chords(spark, sf_dir)).select("p_partkey", "notes").join(F.broadcast(scales.neck(spark).drop("highlighted")))  # 52 frets
+    made = scales.shown_frets(frets, notes=F.col("notes"), positions=F.lit(None).cast("array<string>"), show_all=F.lit(False))
+    return made.select("p_partkey", "string_no", "fret", "note", "octave", "octave_start", "highlighted")
 
 
 @query

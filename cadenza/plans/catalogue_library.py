@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,10 +116,19 @@ def valid_rows(spark, sf_dir):
 
 @query
 def stored_schemas(spark, sf_dir):
-    """The columns of the stored tables, here and in the remote store."""
+    """The columns of the stored tables, here and in the remote store, and in how many rows each is filled when the library's
+    rows are made to conform to them."""
     local = {"saved_progressions": library.PROGRESSION, "songs": library.SONG, "structures": library.STRUCTURE}
-    rows = [(where, name, k, *col.split()) for where in ("local", "cloud") for name, kind in local.items() for k, col in enumerate([*kind.split(", "), *(["device_id string"] if where == "cloud" else [])])]
-    return spark.createDataFrame(rows, "store string, name string, place int, column string, type string")
+    rows = stored(spark, sf_dir)
+
+    def filled(store: str, name: str, kind: str) -> DataFrame:
+        table = library.conformed(rows, kind)
+        counts = table.agg(*(F.count(c).alias(c) for c in table.columns))
+        each = [F.struct(F.lit(store).alias("store"), F.lit(name).alias("name"), F.lit(k).alias("place"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).alias("n_filled")) for k, (c, t) in enumerate(table.dtypes)]
+        return counts.select(F.inline(F.array(*each)))
+
+    made = [filled(store, name, kind + extra) for store, extra in (("local", ""), ("cloud", ", device_id string")) for name, kind in local.items()]
+    return reduce(DataFrame.unionAll, made)
 
 
 @query
@@ -239,7 +250,8 @@ def segment_files(spark, sf_dir):
 
 @query
 def synthetic_segments(spark, sf_dir):
-    return tables.synthetic_segments(spark, ["C:maj", "A:min", "F:maj", "G:maj", "C:maj"], 2.0)
+    """Each song's steps as label segments of two seconds."""
+    return tables.laid_out(bind.steps(spark, sf_dir), F.col("pos"), 2.0).select("song", "start_us", "end_us", "label")
 
 
 @query
@@ -354,7 +366,8 @@ def bar_classes(spark, sf_dir):
 
 @query
 def diatonic_steps(spark, sf_dir):
-    return progressions.diatonic_steps(dims.keys(spark)).select("key_root", "is_minor", "degree", "label", F.coalesce("beats", F.lit(4.0)).alias("beats"))
+    """The steps that the field of each part's key makes."""
+    return progressions.diatonic_steps(bind.part_keys(spark, sf_dir)).select("p_partkey", "key_root", "is_minor", "degree", "label", F.coalesce("beats", F.lit(4.0)).alias("beats"))
 
 
 @query
@@ -381,7 +394,8 @@ def selected_chords(spark, sf_dir):
 
 @query
 def default_scales(spark, sf_dir):
-    return dims.keys(spark).select("key_root", "is_minor", text(scales.default_scale(F.col("key_root"), F.col("is_minor"))).alias("notes"))
+    """The scale that each part's key is heard by."""
+    return bind.part_keys(spark, sf_dir).select("p_partkey", "key_root", "is_minor", text(scales.default_scale(F.col("key_root"), F.col("is_minor"))).alias("notes"))
 
 
 @query

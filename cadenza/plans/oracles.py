@@ -121,8 +121,9 @@ ORACLES["analyze_bars"] = f"WITH {ANALYZED} SELECT song, number, kind, detected,
 ORACLES["bar_summary"] = f"""WITH {ANALYZED} SELECT song, count(*) FILTER (NOT carried AND degree IS NOT NULL) AS diatonic, count(*) FILTER (kind = 'chord' AND degree IS NULL) AS chromatic,
   count(*) FILTER (kind = 'unclear') AS unclear, count(*) FILTER (kind = 'no-chord-data') AS no_data FROM done GROUP BY song"""
 ORACLES["assemble_sections"] = f"""WITH {ANALYZED} SELECT song, CAST(bar // 64 + 1 AS INTEGER) AS section, 'Parte ' || (bar // 64 + 1) AS section_label, CAST(count(*) AS INTEGER) AS n_steps, string_agg(label, ' ' ORDER BY bar) AS labels, sum(beats) AS beats FROM done GROUP BY ALL"""
-ORACLES["harmonic_field"] = f"""WITH {FIELD} SELECT key_root, is_minor, degree, numeral, fn AS "function", chord_name, {text('notes')} AS notes,
-  {text(f"list_transform(notes, lambda n: {name('n', name('key_root'))})")} AS note_names, family FROM field"""
+PART_KEYS = "part_keys AS (SELECT p_partkey, CAST(p_partkey % 12 AS INTEGER) AS key_root, (p_partkey // 12) % 2 = 1 AS is_minor FROM part)"
+ORACLES["harmonic_field"] = f"""WITH {FIELD}, {PART_KEYS} SELECT p_partkey, key_root, is_minor, degree, numeral, fn AS "function", chord_name, {text('notes')} AS notes,
+  {text(f"list_transform(notes, lambda n: {name('n', name('key_root'))})")} AS note_names, family FROM field JOIN part_keys USING (key_root, is_minor)"""
 
 STEP_NAME = "CASE {d} WHEN 1 THEN 'ST' WHEN 2 THEN 'T' WHEN 3 THEN 'T+ST' ELSE {d} || 'st' END"
 ORACLES["scale_notes"] = f"""WITH {SCALES} SELECT n_nationkey, scale_id, {text(moved('n_nationkey', 'intervals'))} AS notes,
@@ -137,8 +138,8 @@ SELECT n_nationkey, scale_a, scale_b, {text('list_filter(na, lambda x: list_cont
   array_to_string(list_transform(range(12), lambda k: CASE WHEN list_contains(na, (n_nationkey + k) % 12) AND list_contains(nb, (n_nationkey + k) % 12) THEN 's' WHEN list_contains(na, (n_nationkey + k) % 12) THEN 'a' WHEN list_contains(nb, (n_nationkey + k) % 12) THEN 'b' ELSE '-' END), '') AS strip
 FROM u"""
 CHROMATIC = f"common(category, label, above, type_id) AS ({values(dims.CHROMATIC)})"
-ORACLES["chromatic_steps"] = f"""WITH {KINDS}, {CHROMATIC} SELECT CAST(k AS INTEGER) AS key_root, category, label, {text(moved('k + above', 'intervals'))} AS notes, {text(moved('above', 'intervals'))} AS step_intervals
-FROM range(12) t(k), common JOIN kinds USING (type_id)"""
+ORACLES["chromatic_steps"] = f"""WITH {KINDS}, {CHROMATIC} SELECT p_partkey, CAST(p_partkey % 12 AS INTEGER) AS key_root, category, label, {text(moved('p_partkey + above', 'intervals'))} AS notes, {text(moved('above', 'intervals'))} AS step_intervals
+FROM part, common JOIN kinds USING (type_id)"""
 CHORDS = f"{KINDS}, chords AS (SELECT p_partkey, p_partkey % 12 AS root_note, (p_partkey // 12) % 12 AS key_root, k.* FROM part JOIN kinds k ON k.pos = p_size % 9)"
 ORACLES["manual_chromatic_steps"] = f"""WITH {CHORDS} SELECT p_partkey, {name('root_note', preferred('key_root'))} || symbol AS label, {text(moved('root_note', 'intervals'))} AS notes, {text(moved('root_note - key_root', 'intervals'))} AS step_intervals FROM chords"""
 VOICED = "list_transform(range(1, len(notes) + 1), lambda k: struct_pack(note := notes[k], octave := {base} + len(list_filter(range(2, k + 1), lambda j: notes[j] <= notes[j - 1]))))"
@@ -152,7 +153,7 @@ ORACLES["bass_positions"] = f"""WITH {CHORDS}, {BASS}, c AS (SELECT p_partkey, {
 f AS (SELECT p_partkey, position, x.note AS note, x.octave AS target, no, fret, (oct * 12 + open + fret) // 12 AS octave, row_number() OVER (PARTITION BY p_partkey, position, no ORDER BY fret) AS nth FROM v, strings, range(13) t(fret) WHERE (open + fret) % 12 = x.note),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, position ORDER BY octave - target, fret, no) AS best FROM f WHERE nth = 1 AND octave IN (target, target + 1))
 SELECT p_partkey, CAST(position AS INTEGER) AS position, note, no AS string_no, CAST(fret AS INTEGER) AS fret FROM r WHERE best = 1"""
-ORACLES["bass_neck"] = f"""WITH {BASS} SELECT no AS string_no, CAST(fret AS INTEGER) AS fret, CAST((open + fret) % 12 AS INTEGER) AS note, CAST((oct * 12 + open + fret) // 12 AS INTEGER) AS octave, fret > 0 AND (open + fret) % 12 = 0 AS octave_start, (open + fret) % 12 IN (0, 4, 7) AS highlighted FROM strings, range(13) t(fret)"""
+ORACLES["bass_neck"] = f"""WITH {CHORDS}, {BASS} SELECT p_partkey, no AS string_no, CAST(fret AS INTEGER) AS fret, CAST((open + fret) % 12 AS INTEGER) AS note, CAST((oct * 12 + open + fret) // 12 AS INTEGER) AS octave, fret > 0 AND (open + fret) % 12 = 0 AS octave_start, list_contains({moved('root_note', 'intervals')}, CAST((open + fret) % 12 AS INTEGER)) AS highlighted FROM chords, strings, range(13) t(fret)"""
 
 STEPS = f"""steps AS (
   SELECT l_orderkey AS song, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INTEGER) AS pos, l_partkey AS pk, CASE WHEN l_partkey % 9 < 7 THEN CAST(l_partkey % 9 AS INTEGER) END AS degree,

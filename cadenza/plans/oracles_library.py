@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cadenza import dims
-from cadenza.plans.oracles import ANALYZED, APPLIED, COPIES, DOCUMENTS, FIELD, GOOD, MATCHED, ORACLES, SCALES, STEPS, STORED, lit, moved, name, text, values
+from cadenza.plans.oracles import ANALYZED, APPLIED, COPIES, DOCUMENTS, FIELD, GOOD, MATCHED, ORACLES, PART_KEYS, SCALES, STEPS, STORED, lit, moved, name, text, values
 
 __all__ = ["ORACLES"]
 NOW = "'2030-01-01 00:00:00'"
@@ -34,7 +34,8 @@ TABLES = {
     "structures": "id string, title string, artist string, bpm int, bars string, sections string, created_at string, updated_at string",
 }
 COLUMNS = [(w, t, k, *c.split()) for w in ("local", "cloud") for t, cols in TABLES.items() for k, c in enumerate([*cols.split(", "), *(["device_id string"] if w == "cloud" else [])])]
-ORACLES["stored_schemas"] = f'SELECT * FROM ({values(COLUMNS)}) t(store, name, place, "column", type)'
+FILLED = " ".join(f"WHEN '{c}' THEN (SELECT count({c}) FROM stored)" for c in ("id", "title", "artist", "mode", "bpm", "is_example", "device_id", "created_at", "updated_at"))
+ORACLES["stored_schemas"] = f'WITH {STORED} SELECT *, CASE "column" {FILLED} ELSE 0 END AS n_filled FROM ({values(COLUMNS)}) t(store, name, place, "column", type)'
 ORACLES["upsert_defaults"] = f"""WITH {STORED} SELECT id, CASE WHEN k % 3 = 0 AND k % 2 > 0 THEN '' ELSE artist END AS artist, CASE WHEN k % 3 > 0 THEN bpm WHEN k % 4 = 0 THEN coalesce(bpm, 120) ELSE 120 END AS bpm,
   CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN {NOW} ELSE created_at END AS created_at FROM stored"""
 ORACLES["device_or_all"] = f"WITH {STORED} SELECT id, device_id, 'd4' AS asked FROM stored WHERE device_id = 'd4' UNION ALL SELECT id, device_id, 'all' FROM stored"
@@ -64,7 +65,7 @@ ORACLES["snapshot_pull"] = f"WITH {COPIES} SELECT id, title, updated_at FROM clo
 
 SEGMENTS = "s AS (SELECT user_id, event_type AS label, epoch_us(ts) AS a, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)"
 ORACLES["segment_files"] = f"WITH {SEGMENTS} SELECT CAST(round(a / 1000.0) * 1000 AS BIGINT) AS start_us, CAST(round(b / 1000.0) * 1000 AS BIGINT) AS end_us, label FROM s WHERE b IS NOT NULL"
-ORACLES["synthetic_segments"] = "SELECT CAST(k * 2000000 AS BIGINT) AS start_us, CAST((k + 1) * 2000000 AS BIGINT) AS end_us, ['C:maj', 'A:min', 'F:maj', 'G:maj', 'C:maj'][k + 1] AS label FROM range(5) t(k)"
+ORACLES["synthetic_segments"] = f"WITH {STEPS} SELECT song, CAST(pos * 2000000 AS BIGINT) AS start_us, CAST((pos + 1) * 2000000 AS BIGINT) AS end_us, label FROM steps"
 ORACLES["playlist_file"] = """SELECT printf('20%02d-01-01', p_partkey % 30) AS release_date, 'track "' || p_partkey || '", live' AS name, CAST(p_partkey % 101 AS INTEGER) AS popularity, 'a' || (p_partkey % 5) || CASE WHEN p_partkey % 2 = 0 THEN '|b' ELSE '' END AS artists FROM part"""
 PITCHES = f"""{MATCHED}, tracks AS (
   SELECT song, bar, 'Gtr' AS track, CASE WHEN ln = 4 THEN [] WHEN f = 'R' THEN [40 + (pk * ln * 5) % 30, 41 + (pk * ln * 11) % 30] ELSE list_transform(intervals, lambda i: i + 48 + pk % 12) END AS pitches FROM bars JOIN vocabulary ON t = (pk * 7 + ln) % 18
@@ -88,14 +89,14 @@ ORACLES["active_step"] = f"""WITH {STEPS}, p AS (SELECT song, pos, coalesce(beat
 SELECT s.song, CAST(s.pos * 11 - 1 AS BIGINT) AS eighth, CAST(coalesce(p.pos, -1) AS INTEGER) AS active FROM steps s LEFT JOIN p ON p.song = s.song AND p.a <= s.pos * 11 - 1 AND s.pos * 11 - 1 < p.a + p.n"""
 ORACLES["label_durations"] = f"WITH {SEGMENTS}, d AS (SELECT label, CAST(sum(b - a) AS BIGINT) AS duration_us FROM s WHERE b IS NOT NULL GROUP BY label) SELECT *, CAST(row_number() OVER (ORDER BY duration_us DESC, label) - 1 AS INTEGER) AS place FROM d"
 ORACLES["bar_classes"] = f"WITH {ANALYZED} SELECT song, number, CASE WHEN kind = 'unclear' THEN 'unclear' WHEN kind = 'no-chord-data' THEN 'no-data' WHEN degree IS NULL THEN 'chromatic' ELSE 'diatonic' END AS bar_class FROM done"
-ORACLES["diatonic_steps"] = f"WITH {FIELD} SELECT key_root, is_minor, CAST(degree - 1 AS INTEGER) AS degree, numeral AS label, CAST(4 AS DOUBLE) AS beats FROM field"
+ORACLES["diatonic_steps"] = f"WITH {FIELD}, {PART_KEYS} SELECT p_partkey, key_root, is_minor, CAST(degree - 1 AS INTEGER) AS degree, numeral AS label, CAST(4 AS DOUBLE) AS beats FROM field JOIN part_keys USING (key_root, is_minor)"
 ORACLES["explained_degrees"] = f"WITH {STEPS} SELECT song, pos, CASE WHEN degree <> 5 THEN 'text ' || (degree * 2 + CAST(is_minor AS INTEGER)) END AS text FROM steps"
 ORACLES["key_changes"] = f"""WITH {FIELD}, f AS (SELECT key_root, is_minor, string_agg(chord_name, '|' ORDER BY degree) AS field FROM field GROUP BY ALL)
 SELECT n_nationkey, is_minor, field, CAST(NULL AS INTEGER) AS selected, 0 AS n_highlighted FROM nation JOIN f ON key_root = n_nationkey % 12"""
 COLOR = "CASE fn " + " ".join(f"WHEN {lit(f)} THEN {lit(c)}" for f, c in dims.FUNCTION_COLORS.items()) + " END"
 ORACLES["selected_chords"] = f"""WITH {FIELD} SELECT p_partkey, CAST(f.degree - 1 AS INTEGER) AS selected, {text('f.notes')} AS highlighted, {COLOR} AS color
 FROM part LEFT JOIN field f ON f.key_root = p_partkey % 12 AND f.is_minor = (p_partkey % 2 = 1) AND f.degree - 1 = p_partkey % 9"""
-ORACLES["default_scales"] = f"""WITH {SCALES}, {FIELD} SELECT key_root, is_minor, {text(moved('key_root', 's.intervals'))} AS notes FROM keys JOIN scales s ON s.scale_id = CASE WHEN is_minor THEN 'aeolian' ELSE 'major' END"""
+ORACLES["default_scales"] = f"""WITH {SCALES}, {PART_KEYS} SELECT p_partkey, key_root, is_minor, {text(moved('key_root', 's.intervals'))} AS notes FROM part_keys JOIN scales s ON s.scale_id = CASE WHEN is_minor THEN 'aeolian' ELSE 'major' END"""
 BASS = f"strings(no, open, oct) AS ({values([(k, n, o) for k, (n, o) in enumerate(dims.BASS)])})"
 ORACLES["shown_frets"] = f"""WITH {BASS}, f AS (SELECT n_nationkey, no AS string_no, CAST(fret AS INTEGER) AS fret, CASE WHEN n_nationkey % 3 = 0 THEN (no = 0 AND fret = n_nationkey % 13) OR (no = 2 AND fret = 4) ELSE (open + fret) % 12 = n_nationkey % 12 END AS highlighted FROM nation, strings, range(13) t(fret))
 SELECT *, highlighted OR n_nationkey % 2 = 0 AS shown FROM f"""

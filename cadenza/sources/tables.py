@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators.playback import segment_lines
@@ -34,11 +34,17 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def laid_out(labels: DataFrame, place: Column, seconds: float) -> DataFrame:
+    """Rows one after another, each as long: with start_us and end_us by their ``place`` from 0 in their song."""
+    long_ = int(seconds * 1_000_000)
+    at = place.cast("long")
+    return labels.withColumns({"start_us": at * long_, "end_us": (at + 1) * long_})
+
+
 def synthetic_segments(spark: SparkSession, labels: list[str], seconds: float) -> DataFrame:
     """Labels one after another, each as long."""
     each = spark.createDataFrame([(labels,)], "labels array<string>").select(F.posexplode("labels").alias("n", "label"))
-    long_ = int(seconds * 1_000_000)
-    return each.select((F.col("n") * long_).cast("long").alias("start_us"), ((F.col("n") + 1) * long_).cast("long").alias("end_us"), "label")
+    return laid_out(each, F.col("n"), seconds).select("start_us", "end_us", "label")
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
