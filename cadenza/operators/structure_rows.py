@@ -29,6 +29,33 @@ def section_places(sections: DataFrame) -> DataFrame:
     return numbered(sections, ["doc"], [F.col("at")], "place")
 
 
+def moves(sections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The new keys (doc, section_id, at) once each section of ``wanted`` (doc, section_id, over; one row a document at most)
+    takes the place of the section ``over``: after it, if it stood before, and before it, if it stood after.
+
+    One row a move: a key between those of its new neighbours, or one beyond the outermost. Where two keys leave no room
+    between them, the whole document is numbered anew, so all its sections are rows. Unknown ids, or one place, give none.
+    ``at`` is a double, and no two sections of a document share one."""
+    placed = section_places(sections.select("doc", "section_id", "at"))
+    here = wanted.select("doc", "section_id", "over").join(placed.select("doc", "section_id", F.col("place").alias("_old")), ["doc", "section_id"])
+    there = placed.select("doc", F.col("section_id").alias("over"), F.col("at").alias("_at"), F.col("place").alias("_new"))
+    step = F.when(F.col("_old") < F.col("_new"), 1).otherwise(-1)
+    pairs = here.join(there, ["doc", "over"]).where("_old <> _new").withColumn("_step", step).withColumn("place", F.col("_new") + F.col("_step"))
+    beyond = pairs.join(placed.select("doc", "place", F.col("at").alias("_beyond")), ["doc", "place"], "left")
+    key = F.coalesce((F.col("_at") + F.col("_beyond")) / 2, F.col("_at") + F.col("_step"))
+    found = beyond.withColumn("_key", key).withColumn("_room", (F.col("_key") != F.col("_at")) & ~F.col("_key").eqNullSafe(F.col("_beyond")))
+    one = found.where("_room").select("doc", "section_id", F.col("_key").alias("at"))
+    tight = found.where("not _room").select("doc", F.col("section_id").alias("_moved"), (F.col("_new") + F.col("_step") / 2).alias("_key"))
+    anew = placed.join(tight, "doc").select("doc", "section_id", F.when(F.col("section_id") == F.col("_moved"), F.col("_key")).otherwise(F.col("place").cast("double")).alias("at"))
+    return one.unionByName(anew)
+
+
+def rekeyed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """``rows`` of sections or listings with the keys of ``changes`` (doc, section_id, at)."""
+    new = changes.select("doc", "section_id", F.col("at").alias("_at"))
+    return rows.join(new, ["doc", "section_id"], "left").withColumn("at", F.coalesce("_at", "at")).select(*rows.columns)
+
+
 def without(listings: DataFrame, bars: DataFrame) -> DataFrame:
     """``listings`` less those of the bars (doc, bar_id)."""
     return listings.join(bars.select("doc", "bar_id"), ["doc", "bar_id"], "left_anti")

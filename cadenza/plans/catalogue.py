@@ -563,8 +563,11 @@ def remove_section(spark, sf_dir):
 @query
 def reorder_sections(spark, sf_dir):
     """The first section moves to the third one's place."""
-    made = structures(spark, sf_dir)
-    return section_rows(made, docs.reorder_sections("bars", "sections", nth_section(0), nth_section(2))[1])
+    made = structure_tables(spark, sf_dir)
+    wanted = section_at(made, 0).select("doc", "section_id").join(section_at(made, 2).select("doc", F.col("section_id").alias("over")), "doc")
+    placed = tabular.section_places(tabular.rekeyed(made.sections, tabular.moves(made.sections, wanted)))
+    ids = made.listings.groupBy("doc", "section_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "bar_id"))), lambda x: x["bar_id"]), ",").alias("bar_ids"))
+    return placed.join(ids, ["doc", "section_id"], "left").select("doc", "place", "section_id", "name", F.coalesce("bar_ids", F.lit("")).alias("bar_ids"))
 
 
 @query

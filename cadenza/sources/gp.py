@@ -41,16 +41,27 @@ def container_error(content: Column) -> Column:
     return F.when(magic.isin("4243465A", "42434653"), "gpx-container").when(F.contains(head, F.lit("FICHIER GUITAR PRO")), "legacy-binary").when(~magic.eqNullSafe("504B0304"), "not-a-zip")
 
 
+def entry(data: bytes) -> tuple[str | None, str | None]:
+    """(error, xml) of a zip file's score."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return (None, z.read(ENTRY).decode("utf-8", "replace")) if ENTRY in z.namelist() else ("not-a-gp-file", None)
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError):
+        return "corrupt", None
+
+
+def entry_of(data: bytes) -> tuple[str | None, str | None]:
+    """(error, xml) of any file, its first bytes looked at as ``container_error`` does."""
+    if data[:4] in (b"BCFZ", b"BCFS"):
+        return "gpx-container", None
+    if b"FICHIER GUITAR PRO" in data[:64]:
+        return "legacy-binary", None
+    return entry(data) if data[:4] == b"PK\x03\x04" else ("not-a-zip", None)
+
+
 @F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("xml", T.StringType())]))
 def unzipped(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in content:
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                rows.append((None, z.read(ENTRY).decode("utf-8", "replace")) if ENTRY in z.namelist() else ("not-a-gp-file", None))
-        except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError):
-            rows.append(("corrupt", None))
-    return pd.DataFrame(rows, columns=["error", "xml"])
+    return pd.DataFrame([entry(data) for data in content], columns=["error", "xml"])
 
 
 def zipped(entries: dict[str, str]) -> bytes:
@@ -66,10 +77,15 @@ def parsed(files: DataFrame) -> DataFrame:
     """(path, error, message, score): error is null where score is read."""
     first = files.withColumn("_why", container_error(F.col("content")))
     open_ = first.withColumn("_entry", F.when(F.col("_why").isNull(), unzipped(F.when(F.col("_why").isNull(), F.col("content")).otherwise(F.lit(b"")))))
-    rooted = F.regexp_like(F.coalesce("_entry.xml", F.lit("")), F.lit(r"(?s)<GPIF[\s>].*</GPIF>\s*$"))
-    score = F.from_xml(F.when(rooted, F.col("_entry.xml")), SCORE, {"mode": "PERMISSIVE"})
-    read = open_.withColumn("score", score)
-    error = F.coalesce("_why", "_entry.error", F.when(~rooted | F.col("score").isNull() | F.col("score.GPVersion").isNull() & F.col("score.MasterBars").isNull(), "corrupt"))
+    return scored(open_.select("path", F.coalesce("_why", "_entry.error").alias("error"), F.col("_entry.xml").alias("xml")))
+
+
+def scored(entries: DataFrame) -> DataFrame:
+    """(path, error, message, score) of entries (path, error, xml)."""
+    rooted = F.regexp_like(F.coalesce("xml", F.lit("")), F.lit(r"(?s)<GPIF[\s>].*</GPIF>\s*$"))
+    score = F.from_xml(F.when(rooted, F.col("xml")), SCORE, {"mode": "PERMISSIVE"})
+    read = entries.withColumn("score", score)
+    error = F.coalesce("error", F.when(~rooted | F.col("score").isNull() | F.col("score.GPVersion").isNull() & F.col("score.MasterBars").isNull(), "corrupt"))
     read = read.withColumn("error", error)
     message = F.coalesce(*(F.when(F.col("error") == k, F.lit(m)) for k, m in dims.GP_ERRORS.items()))
     return read.select("path", "error", message.alias("message"), F.when(F.col("error").isNull(), F.col("score")).alias("score"))

@@ -11,9 +11,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cadenza.plans import catalogue, catalogue_library, oracles, oracles_library
+from cadenza.plans import catalogue, catalogue_library, catalogue_saved, oracles, oracles_library, oracles_saved
 
-QUERIES, ORACLES = catalogue.QUERIES | catalogue_library.QUERIES, oracles.ORACLES | oracles_library.ORACLES
+QUERIES = catalogue.QUERIES | catalogue_library.QUERIES | catalogue_saved.QUERIES
+ORACLES = oracles.ORACLES | oracles_library.ORACLES | oracles_saved.ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parent.parent
