@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,6 +231,12 @@ def compared(few: int):
     return run
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The size up to which Spark itself broadcasts a table."""
+    setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)) if not setting.startswith("-") else 0
+
+
 def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, bool]:
     """(u, v) of listed candidates and (u, null) of nodes with unlisted ones, from (id, n, hi, lo, label); and whether
     these are of all tile pairs. ``alone``: each tile is compared with itself only."""
@@ -249,7 +255,11 @@ def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, b
     left = tiles.select(F.col("part").alias("pa"), F.col("nth").alias("na"), F.col("nodes").alias("a"))
     right = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("nodes").alias("b"))
     tasks = max(12, min(4000, -(-pairs.count() // 4)))
-    both = pairs.join(left, ["pa", "na"]).join(right, ["pb", "nb"]).repartition(tasks, "pa", "na", "pb", "nb")
+    places = ("pa", "na", "pb", "nb")
+    if count * NODE.itemsize <= broadcast_bytes(nodes.sparkSession):  # pairs are dealt before the nodes come, so that no node is shuffled
+        both = pairs.repartition(tasks, *places).join(F.broadcast(left), ["pa", "na"]).join(F.broadcast(right), ["pb", "nb"])
+    else:
+        both = pairs.join(left, ["pa", "na"]).join(right, ["pb", "nb"]).repartition(tasks, *places)
     found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates", batches=16)
     whole = not alone or tiles.count() <= 1
     discard(tiles, pairs)
