@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +140,7 @@ def cut(size: int):
     """Rows of ``size`` nodes, in the order in which they come."""
 
     def tile(values: np.ndarray, part: int, nth: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "low": [int(values["n"][0])], "high": [int(values["n"][-1])], "nodes": [values.tobytes()]}, CUT)
+        return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "low": [int(values["n"][0])], "high": [int(values["n"][-1])], "n": [len(values)], "nodes": [values.tobytes()]}, CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, made = np.zeros(0, NODE), TaskContext.get().partitionId(), 0
@@ -164,7 +164,7 @@ def cut(size: int):
     return run
 
 
-CUT = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("nodes", pa.binary())])
+CUT = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int64()), ("nodes", pa.binary())])
 
 
 def sizes_of(labels: np.ndarray) -> np.ndarray:
@@ -225,7 +225,7 @@ def compared(few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, a, b in zip(batch.column("same").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                u, v, more = compare(np.frombuffer(a, NODE), np.frombuffer(b, NODE), same, few)
+                u, v, more = compare(np.frombuffer(b"".join(a), NODE), np.frombuffer(b"".join(b), NODE), same, few)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, more])), pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(more), pa.int64())])], ["u", "v"])
 
     return run
@@ -237,6 +237,19 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)) if not setting.startswith("-") else 0
 
 
+def gathered(strips: DataFrame, size: int) -> DataFrame:
+    """The written strips of ``cut`` as tiles (tile, low, high, nodes: its strips in order) of fewer than twice ``size`` nodes.
+    Tiles go by the nodes before a strip and not by the ranges, so that many small ranges don't make many tiles."""
+    # one row a strip, without the nodes, so one task holds about as many rows as there are ranges and tiles
+    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    places = strips.select("part", "nth", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size).alias("tile"))
+    strip = F.struct("part", "nth", "low", "high", "nodes")
+    tiles = strips.join(places, ["part", "nth"]).groupBy("tile").agg(F.sort_array(F.collect_list(strip)).alias("s"))
+    made = written(tiles.select("tile", F.array_min("s.low").alias("low"), F.array_max("s.high").alias("high"), F.col("s.nodes").alias("nodes")), "tiles")
+    discard(strips)
+    return made
+
+
 def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, bool]:
     """(u, v) of listed candidates and (u, null) of nodes with unlisted ones, from (id, n, hi, lo, label); and whether
     these are of all tile pairs. ``alone``: each tile is compared with itself only."""
@@ -244,22 +257,20 @@ def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, b
     size = min(TILE_TO, max(TILE_FROM, count // TILES))
     order = ("n", "hi", "id")
     ranged = nodes.select(*NODE.names).repartitionByRange(max(1, -(-count // size)), *order).sortWithinPartitions(*order)
-    tiles = written(ranged.mapInArrow(cut(size), "part int, nth int, low int, high int, nodes binary"), "tiles")
-    one = tiles.select(F.col("part").alias("pa"), F.col("nth").alias("na"), "high")
-    two = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), "low")
-    same = (F.col("pa") == F.col("pb")) & (F.col("na") == F.col("nb"))
-    later = (F.col("pb") > F.col("pa")) | ((F.col("pb") == F.col("pa")) & (F.col("nb") >= F.col("na")))
+    tiles = gathered(written(ranged.mapInArrow(cut(size), "part int, nth int, low int, high int, n long, nodes binary"), "strips"), size)
+    one = tiles.select(F.col("tile").alias("ta"), "high")
+    two = tiles.select(F.col("tile").alias("tb"), "low")
+    same = F.col("ta") == F.col("tb")
     # rows of whole tiles, without the nodes
-    reach = same if alone else later & (F.col("low").cast("long") * LIKE <= F.col("high").cast("long") * OF)
-    pairs = written(one.join(F.broadcast(two), reach).select("pa", "na", "pb", "nb"), "pairs")
-    left = tiles.select(F.col("part").alias("pa"), F.col("nth").alias("na"), F.col("nodes").alias("a"))
-    right = tiles.select(F.col("part").alias("pb"), F.col("nth").alias("nb"), F.col("nodes").alias("b"))
+    reach = same if alone else (F.col("tb") >= F.col("ta")) & (F.col("low").cast("long") * LIKE <= F.col("high").cast("long") * OF)
+    pairs = written(one.join(F.broadcast(two), reach).select("ta", "tb"), "pairs")
+    left = tiles.select(F.col("tile").alias("ta"), F.col("nodes").alias("a"))
+    right = tiles.select(F.col("tile").alias("tb"), F.col("nodes").alias("b"))
     tasks = max(12, min(4000, -(-pairs.count() // 4)))
-    places = ("pa", "na", "pb", "nb")
     if count * NODE.itemsize <= broadcast_bytes(nodes.sparkSession):  # pairs are dealt before the nodes come, so that no node is shuffled
-        both = pairs.repartition(tasks, *places).join(F.broadcast(left), ["pa", "na"]).join(F.broadcast(right), ["pb", "nb"])
+        both = pairs.repartition(tasks, "ta", "tb").join(F.broadcast(left), "ta").join(F.broadcast(right), "tb")
     else:
-        both = pairs.join(left, ["pa", "na"]).join(right, ["pb", "nb"]).repartition(tasks, *places)
+        both = pairs.join(left, "ta").join(right, "tb").repartition(tasks, "ta", "tb")
     found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates", batches=16)
     whole = not alone or tiles.count() <= 1
     discard(tiles, pairs)
