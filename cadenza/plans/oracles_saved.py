@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cadenza import dims
-from cadenza.plans.oracles import GOOD, ORACLES, STORED, lit
+from cadenza.plans.oracles import DOCUMENTS, GOOD, ORACLES, STORED, lit, reindexed
 from cadenza.plans.oracles_library import NOW
 
 __all__ = ["ORACLES"]
@@ -15,3 +15,8 @@ ORACLES["device_tables"] = f"""WITH {STORED}, after AS (SELECT id, CASE WHEN k %
   CASE WHEN k % 3 = 0 THEN 'd' || (CAST(substr(device_id, 2) AS INTEGER) + 1) % 10 ELSE device_id END AS device_id FROM stored)
 SELECT * FROM after WHERE device_id IN ('d4', 'd7')"""
 ORACLES["evolved_table"] = f"WITH {STORED} SELECT id, title, CASE WHEN k % 3 = 0 THEN 120 ELSE bpm END AS bpm, updated_at FROM stored"
+ORACLES["edit_log_bars"] = f"""WITH {DOCUMENTS}, many AS (SELECT doc, count(*) AS many FROM sec GROUP BY doc), put AS (
+  SELECT b.doc, bar_id, ts, accents, CASE WHEN nth = 1 AND many >= 3 THEN 3 ELSE place END AS a, CASE WHEN nth = 1 AND many >= 3 THEN 1000000 ELSE b.n END AS b, many
+    FROM b JOIN sec s ON s.doc = b.doc AND s.o = b.o JOIN many ON many.doc = b.doc WHERE listed
+  UNION ALL SELECT doc, 'added', '6/8', NULL, 1, 2000000, many FROM many
+) {reindexed('SELECT doc, bar_id, ts, accents, CASE WHEN a = 1 AND many >= 3 THEN 3.5 ELSE a END AS a, b FROM put WHERE a <> 2')}"""
