@@ -109,3 +109,17 @@ def test_awkward_rows(spark, awkward, empty):
     twice = spark.createDataFrame([(5, prose(1, 90)), (5, prose(2, 90)), (None, prose(3, 90)), (None, prose(4, 90)), (None, prose(3, 90)), (6, edited(1, 90, 1)), (None, edited(3, 90, 1))], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in near_copies.one_of_each(twice).collect()) == ["5", "5", "None", "None"]
     assert near_copies.one_of_each(empty).count() == 0
+
+
+def test_tiles_follow_nodes_and_not_ranges(spark):
+    """Many small ranges make as many tiles as few large ones, with each node once and in order of size."""
+    rows = spark.range(1000).selectExpr("id as hi", "id as lo", "id", "id as label", "cast(id % 50 as int) as n", "cast(repeat('x', 128) as binary) as wide").select(*near_copies.NODE.names)
+    for parts in (1, 40):
+        ranged = rows.repartitionByRange(parts, "n", "id").sortWithinPartitions("n", "id")
+        strips = near_copies.written(ranged.mapInArrow(near_copies.cut(100), "part int, nth int, low int, high int, n long, nodes binary"), "strips")
+        tiles = near_copies.gathered(strips, 100).orderBy("tile").collect()
+        held = [np.frombuffer(b"".join(t["nodes"]), near_copies.NODE) for t in tiles]
+        assert len(tiles) == 10 and max(map(len, held)) < 200
+        assert [(t["low"], t["high"]) for t in tiles] == [(h["n"].min(), h["n"].max()) for h in held]
+        nodes = np.concatenate(held)
+        assert (np.diff(nodes["n"]) >= 0).all() and sorted(nodes["id"]) == list(range(1000))
