@@ -5,9 +5,11 @@ a shingle is one shingle. Sets hold XXH3 values of 64 bits, and ``id``, XXH64 of
 
 Candidates: SimHash fingerprints of 128 bits over the distinct shingles. Two sets of the given similarity differ in 19 bits
 on average with a deviation of 4, so that a share of about 1e-5 of such pairs lies beyond ``RADIUS`` and is missed, and far
-fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. A second fingerprint of WIDE bits goes with them: candidates that differ in more of its bits than a pair of the given
-similarity may (``WIDE_RADIUS``, four deviations above the mean as well) aren't listed. Nodes are sorted by the size of their sets into tiles; sizes whose ratio is below the similarity can't belong
-together, so such tile pairs are skipped without losing a link. The others are compared whole.
+fewer of more similar ones; unrelated texts differ in 64 with a deviation of 6. A second fingerprint of WIDE bits goes with
+them: candidates that differ in more of its bits than a pair of the given similarity may (``WIDE_RADIUS``, four deviations
+above the mean as well) aren't listed. Nodes are sorted by the size of their sets into tiles, whose number goes by the number
+of nodes alone; sizes whose ratio is below the similarity can't belong together, so such tile pairs are skipped without losing
+a link. The others are compared whole.
 
 Verification: in each round the texts of listed candidates are read once more for their sets, which are compared exactly. Sets
 of texts that very many pairs share are broadcast, a bounded number. Components go over verified pairs.
