@@ -11,14 +11,15 @@ above the mean as well) aren't listed. Nodes are sorted by the size of their set
 of nodes alone; sizes whose ratio is below the similarity can't belong together, so such tile pairs are skipped without losing
 a link. The others are compared whole.
 
-Verification: in each round the texts of listed candidates are read once more for their sets, which are compared exactly. Sets
+Verification: in each of two rounds the texts of listed candidates are read once more for their sets, which are compared exactly. Sets
 of texts that very many pairs share are broadcast, a bounded number. Components go over verified pairs.
 
-Large groups: the first round compares each tile with itself, so that groups of copies grow together; the next compare
+Large groups: the first round compares each tile with itself, so that groups of copies grow together; the second compares
 all tile pairs. In a tile pair each node lists its ``FEW`` nearest candidates by the second fingerprint and the first one, and two components no more
-than ``FEW`` pairs between them. Nodes with unlisted candidates go through another round with lists ``MORE`` times as long, in
-which pairs that are already in one component are left out, and none is verified twice. Rounds end when nothing is unlisted, so no candidate is
-dropped, and a group of copies doesn't list all pairs.
+than ``FEW`` pairs between them. Of its unlisted candidates a tile pair gives a spanning forest, whose components are the groups
+that aren't settled. Groups of one component are done. The nodes of the others are cut, group by group, into tiles that hold their sets;
+tiles of one group are compared whole, candidates of different components exactly in the task, and links between components come
+back. So no candidate is dropped, and pairs of a group are never rows.
 
 Nulls and texts without words are one node without shingles, which is like no other. Very long texts are read whole. Equal
 distances are listed in the order of ids. The columns of a table may have any names. An empty table gives no rows.
@@ -39,14 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm._work import HOT_ROWS, TEXTS, discard, hot_join, written
-from cadenza.llm.simhash import SEED, STRIP, components, lowest_of, one_of_found
+from cadenza.llm.simhash import HELD, SEED, STRIP, components, forest, lowest_of, one_of_found
 
 SHINGLE = 5
 #: A similarity of 4 / 5 or more makes near copies.
 LIKE, OF = 4, 5
 #: Bits of 128.
 RADIUS = 36
-FEW, MORE = 4, 32
+FEW = 4
 #: Bits of the second fingerprint, and how many may differ: 155 do on average at the similarity, with a deviation of 11.4.
 WIDE, WIDE_RADIUS = 1024, 203
 #: Nodes of a tile: few tiles keep down what is sent to tile pairs, many keep the tasks small.
@@ -56,10 +57,14 @@ KEYS = 1 << 18
 #: Fewer sets than these are broadcast, of texts that are in over 1 / HOT_SETS of the pairs.
 HOT_SETS = 100
 
+#: Tiles of nodes with their sets, and their bytes: few tiles keep down what is sent, and bytes bound a task's memory.
+SET_TILES, SET_FROM, SET_TO = 8, 1 << 16, 1 << 24
 #: Candidates whose second fingerprints are compared at once.
 AT_ONCE = 1 << 16
 
 NODE = np.dtype([("hi", "u8"), ("lo", "u8"), ("id", "i8"), ("label", "i8"), ("n", "i4"), ("wide", "u8", WIDE // 64)])
+#: With the group of unlisted candidates.
+GROUPED = np.dtype([("grp", "i8"), *NODE.descr])
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -138,6 +143,18 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def nodes_of(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    rows = np.zeros(batch.num_rows, kind)
+    for name in kind.names:
+        column = batch.column(batch.schema.get_field_index(name))
+        if name == "wide":
+            rows[name] = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            continue
+        values = column.to_numpy(zero_copy_only=False)
+        rows[name] = values.view(np.uint64) if name in ("hi", "lo") else values
+    return rows
+
+
 def cut(size: int):
     """Rows of ``size`` nodes, in the order in which they come."""
 
@@ -147,15 +164,7 @@ def cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, made = np.zeros(0, NODE), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = np.zeros(batch.num_rows, NODE)
-            for name in NODE.names:
-                column = batch.column(batch.schema.get_field_index(name))
-                if name == "wide":
-                    rows[name] = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    continue
-                values = column.to_numpy(zero_copy_only=False)
-                rows[name] = values.view(np.uint64) if name in ("hi", "lo") else values
-            held = np.concatenate([held, rows])
+            held = np.concatenate([held, nodes_of(batch, NODE)])
             while len(held) >= size:
                 made += 1
                 yield tile(held[:size], part, made)
@@ -180,13 +189,11 @@ def wide_apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(a[i[at : at + AT_ONCE]] ^ b[j[at : at + AT_ONCE]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), AT_ONCE))])
 
 
-def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The listed candidates (u, v) of two tiles that are sorted by n, and the ids of nodes with unlisted ones."""
-    us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def near(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates a[i], b[j] of different labels of two tiles that are sorted by n, a strip of ``a`` at a time, in the order
+    of i; and how many bits of their second fingerprints differ. Labels may change between strips."""
     sizes = b["n"].astype(np.int64)
     hi, lo, wide_b = (np.ascontiguousarray(b[c]) for c in ("hi", "lo", "wide"))
-    many_a, many_b = sizes_of(a["label"]), sizes_of(b["label"])
-    between: dict[tuple[int, int], int] = {}  # listed pairs between two components of several nodes
     for at in range(0, len(a), STRIP):
         strip = a[at : at + STRIP]
         n = strip["n"].astype(np.int64)
@@ -203,36 +210,149 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: in
             right_ones &= j > i + at
         i, j = i[right_ones], j[right_ones]
         bits = wide_apart(strip["wide"], wide_b, i, j)
-        near = bits <= WIDE_RADIUS
-        i, j, bits = i[near], j[near], bits[near]
-        if not len(i):
-            continue
-        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])  # rows come in order, so that these are the first of each
+        close = bits <= WIDE_RADIUS
+        if close.any():
+            yield i[close] + at, j[close], bits[close]
+
+
+def firsts(i: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+
+
+def listings(a: np.ndarray, b: np.ndarray, same: bool, few: int, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates of ``near``, and which of them are listed."""
+    many_a, many_b = sizes_of(a["label"]), sizes_of(b["label"])
+    between: dict[tuple[int, int], int] = {}  # listed pairs between two components of several nodes
+    for i, j, bits in near(a, b, same, radius):
+        starts = firsts(i)
         order = np.lexsort((j, bits, i))
         rank = np.empty(len(i), np.int64)
         rank[order] = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
         listed = rank < few
         listed[starts] = True
-        for k in np.flatnonzero(listed & (many_a[i + at] > 1) & (many_b[j] > 1)):
-            pair = (int(strip["label"][i[k]]), int(b["label"][j[k]]))
+        for k in np.flatnonzero(listed & (many_a[i] > 1) & (many_b[j] > 1)):
+            pair = (int(a["label"][i[k]]), int(b["label"][j[k]]))
             between[pair] = between.get(pair, 0) + 1
             listed[k] = between[pair] <= few
-        us.append(strip["id"][i[listed]])
-        vs.append(b["id"][j[listed]])
-        more.append(np.unique(np.concatenate([strip["id"][i[~listed]], b["id"][j[~listed]]])))
-    return np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(more))
+        yield i, j, listed
+
+
+def compare(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The listed candidates (u, v) of two tiles that are sorted by n, and the ids of nodes with unlisted ones."""
+    u, v, x, y = parted(a, b, same, few, radius)
+    return u, v, np.unique(np.concatenate([x, y]))
+
+
+def parted(a: np.ndarray, b: np.ndarray, same: bool, few: int = FEW, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The listed candidates (u, v) of two tiles that are sorted by n, and a spanning forest (x, y) of the unlisted ones."""
+    ids, shift = (a["id"], 0) if same else (np.concatenate([a["id"], b["id"]]), len(a))
+    us, vs, xs, ys, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, j, listed in listings(a, b, same, few, radius):
+        us.append(ids[i[listed]])
+        vs.append(ids[j[listed] + shift])
+        xs.append(i[~listed])
+        ys.append(j[~listed] + shift)
+        held += len(xs[-1])
+        if held > HELD:
+            x, y = forest(len(ids), np.concatenate(xs), np.concatenate(ys))
+            xs, ys, held = [x], [y], len(x)
+    x, y = forest(len(ids), np.concatenate(xs), np.concatenate(ys))
+    return np.concatenate(us), np.concatenate(vs), ids[x], ids[y]
 
 
 def compared(few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, a, b in zip(batch.column("same").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                u, v, more = compare(np.frombuffer(b"".join(a), NODE), np.frombuffer(b"".join(b), NODE), same, few)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, more])), pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(more), pa.int64())])], ["u", "v"])
+                u, v, x, y = parted(np.frombuffer(b"".join(a), NODE), np.frombuffer(b"".join(b), NODE), same, few)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, x])), pa.array(np.concatenate([v, y])), pa.array(np.arange(len(u) + len(x)) < len(u))], ["u", "v", "listed"])
+
+    return run
+
+
+CUT_SETS = pa.schema([("part", pa.int32()), ("nth", pa.int32()), *((end, pa.struct([("grp", pa.int64()), ("n", pa.int32())])) for end in ("low", "high")), ("n", pa.int64()), ("nodes", pa.binary())])
+
+
+def cut_sets(size: int):
+    """Rows of nodes with their sets, of about ``size`` bytes (``n``), in the order in which they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, nodes, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def strip() -> pa.RecordBatch:
+            values = np.concatenate(nodes)
+            ends = [{"grp": int(x["grp"]), "n": int(x["n"])} for x in (values[0], values[-1])]
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [made], "low": ends[:1], "high": ends[1:], "n": [held], "nodes": [len(values).to_bytes(8, "little") + values.tobytes() + b"".join(sets)]}, CUT_SETS)
+
+        for batch in batches:
+            rows = nodes_of(batch, GROUPED)
+            for k, of in enumerate(batch.column(batch.schema.get_field_index("shingles")).to_pylist()):
+                nodes.append(rows[k : k + 1])
+                sets.append(of)
+                held += GROUPED.itemsize + len(of)
+                if held >= size:
+                    made += 1
+                    yield strip()
+                    nodes, sets, held = [], [], 0
+        if nodes:
+            made += 1
+            yield strip()
 
     return run
 
 
+def opened(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The nodes and the sets of the strips of a tile."""
+    nodes, sets = [], []
+    for blob in blobs:
+        count = int.from_bytes(blob[:8], "little")
+        nodes.append(np.frombuffer(blob, GROUPED, count, 8))
+        values = np.frombuffer(blob[8 + count * GROUPED.itemsize :], np.uint64)
+        sets += np.split(values, np.cumsum(nodes[-1]["n"], dtype=np.int64)[:-1])
+    return np.concatenate(nodes), sets
+
+
+def alike_ones(of: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted sets ``others``, none of them empty, are alike to ``of``."""
+    sizes, values = np.array([len(x) for x in others]), np.concatenate(others)
+    hits = of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+    both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return OF * both >= LIKE * (len(of) + sizes - both)
+
+
+def links(a: np.ndarray, sets_a: list[np.ndarray], b: np.ndarray, sets_b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that join all which alike nodes of one group have, of two tiles that are sorted by group and n: a spanning
+    forest. Candidates whose labels were joined before aren't compared."""
+    a = a.copy()
+    b = a if same else b.copy()
+    names, which = np.unique(np.concatenate([a["label"], b["label"]]), return_inverse=True)
+    top, us, vs = np.arange(len(names)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    of_a, of_b = which[: len(a)], which[len(a) :]
+    for grp in np.intersect1d(a["grp"], b["grp"]):
+        (from_a, to_a), (from_b, to_b) = (np.searchsorted(x["grp"], [grp, grp + 1]) for x in (a, b))
+        for i, j, _ in near(a[from_a:to_a], b[from_b:to_b], same):
+            i, j, starts = i + from_a, j + from_b, firsts(i)
+            ok = np.concatenate([alike_ones(sets_a[i[x]], [sets_b[k] for k in j[x:y]]) for x, y in zip(starts, np.r_[starts[1:], len(i)], strict=True)])
+            if ok.any():
+                node, root = forest(len(top), top[of_a[i[ok]]], top[of_b[j[ok]]])
+                us.append(names[node])
+                vs.append(names[root])
+                over = np.arange(len(top))
+                over[node] = root
+                top = over[top]
+                a["label"], b["label"] = names[top[of_a]], names[top[of_b]]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for same, a, b in zip(batch.column("same").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            left = opened(a)
+            u, v = links(*left, *(left if same else opened(b)), same)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def broadcast_bytes(spark: SparkSession) -> int:
     """The size up to which Spark itself broadcasts a table."""
     setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -253,8 +373,8 @@ def gathered(strips: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, bool]:
-    """(u, v) of listed candidates and (u, null) of nodes with unlisted ones, from (id, n, hi, lo, label); and whether
-    these are of all tile pairs. ``alone``: each tile is compared with itself only."""
+    """(u, v, listed) of listed candidates and of a spanning forest of the unlisted ones of each tile pair, from (id, n, hi, lo,
+    label); and whether these are of all tile pairs. ``alone``: each tile is compared with itself only."""
     count = nodes.count()
     size = min(TILE_TO, max(TILE_FROM, count // TILES))
     order = ("n", "hi", "id")
@@ -273,7 +393,7 @@ def candidates(nodes: DataFrame, few: int, *, alone: bool) -> tuple[DataFrame, b
         both = pairs.repartition(tasks, "ta", "tb").join(F.broadcast(left), "ta").join(F.broadcast(right), "tb")
     else:
         both = pairs.join(left, "ta").join(right, "tb").repartition(tasks, "ta", "tb")
-    found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long"), "candidates", batches=16)
+    found = written(both.select(same.alias("same"), "a", "b").mapInArrow(compared(few), "u long, v long, listed boolean"), "candidates", batches=16)
     whole = not alone or tiles.count() <= 1
     discard(tiles, pairs)
     return found, whole
@@ -321,30 +441,65 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, *, key: str, t
     return made
 
 
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with the root of their component as ``label``."""
+    return nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+
+
+def unsettled(nodes: DataFrame, roots: DataFrame, unlisted: DataFrame) -> DataFrame:
+    """The labelled nodes, with their group ``grp``, of those groups of unlisted candidates that are in several components."""
+    groups = components(unlisted)
+    member = groups.select(F.col("node").alias("id"), F.col("root").alias("grp")).unionAll(groups.select("root", "root").distinct())
+    rows = written(labelled(nodes.join(member, "id"), roots).select(*GROUPED.names, "first"), "grouped")
+    several = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    keyed = written(several.select("grp", F.col("n").alias("rows")), "several")
+    return written(hot_join(rows, keyed, ["grp"], "rows"), "unsettled")
+
+
+def settled(docs: DataFrame, rows: DataFrame, *, key: str, text: str) -> DataFrame:
+    """Links (u, v) between the components of the nodes of ``unsettled``, whose candidates are compared exactly in tiles."""
+    total = rows.agg(F.coalesce(F.sum(F.col("n").cast("long") * 8 + GROUPED.itemsize), F.lit(0))).first()[0]
+    size = min(SET_TO, max(SET_FROM, total // SET_TILES))
+    known = sets_of(docs, rows.select("id", "first"), key=key, text=text)
+    order = ("grp", "n", "hi", "id")
+    ranged = rows.select(*GROUPED.names).join(known, "id").repartitionByRange(max(1, -(-total // size)), *order).sortWithinPartitions(*order)
+    end = "struct<grp: long, n: int>"
+    tiles = gathered(written(ranged.mapInArrow(cut_sets(size), f"part int, nth int, low {end}, high {end}, n long, nodes binary"), "strips", batches=64), size)
+    one, two = tiles.select(F.col("tile").alias("ta"), "high"), tiles.select(F.col("tile").alias("tb"), "low")
+    # rows of whole tiles; two tiles share at most the group that ends one and begins the other
+    reach = (F.col("high.grp") == F.col("low.grp")) & (F.col("tb") > F.col("ta")) & (F.col("low.n").cast("long") * LIKE <= F.col("high.n").cast("long") * OF)
+    pairs = written(one.select("ta", F.col("ta").alias("tb")).unionAll(one.join(F.broadcast(two), reach).select("ta", "tb")), "pairs")
+    left = tiles.select(F.col("tile").alias("ta"), F.col("nodes").alias("a"))
+    right = tiles.select(F.col("tile").alias("tb"), F.col("nodes").alias("b"))
+    both = pairs.join(left, "ta").join(right, "tb").repartition(max(12, min(4000, pairs.count())), "ta", "tb")
+    made = written(both.select((F.col("ta") == F.col("tb")).alias("same"), "a", "b").mapInArrow(linking, "u long, v long"), "settled", batches=1)
+    discard(tiles, pairs, known)
+    return made
+
+
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
     """(key, fp, component_id, root) of each row: fp is the node's id, root the smallest in its component."""
     marked = written(docs.select(F.col(key).alias("key"), marks(F.col(text)).alias("m")), "marked", batches=TEXTS).select("key", "m.*")
     nodes = written(marked.groupBy("id", "n", "hi", "lo", "wide").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    left, roots, tried, alone = nodes.withColumn("label", F.col("id")), None, None, True
-    while True:
-        found, whole = candidates(left, few, alone=alone)
-        listed = found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = written(listed if tried is None else listed.join(tried, ["u", "v"], "left_anti"), "listed")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        made = verified(docs, nodes, pairs, key=key, text=text)
-        if roots is None:
-            roots = written(components(made), "roots")
-        elif not made.isEmpty():  # a component goes on as a star
-            roots = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(made)), "roots")
-        if whole:
-            more = written(found.where("v is null").select(F.col("u").alias("id")).distinct(), "more")
-            if more.isEmpty():
-                break
-            left, few = nodes.join(more, "id", "left_semi"), few * MORE
-        else:
-            left, alone = nodes, False
-        left = left.join(roots.withColumnRenamed("node", "id"), "id", "left")
-        left = written(left.select("id", "n", "hi", "lo", "wide", F.coalesce("root", "id").alias("label")), "left")
+
+    def grown(roots: DataFrame, more: DataFrame) -> DataFrame:  # a component goes on as a star
+        return roots if more.isEmpty() else written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more)), "roots")
+
+    def ends(found: DataFrame) -> DataFrame:
+        return found.where("listed").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    found, whole = candidates(nodes.withColumn("label", F.col("id")), few, alone=True)
+    pairs = written(ends(found), "listed")
+    roots = written(components(verified(docs, nodes, pairs, key=key, text=text)), "roots")
+    if not whole:
+        found, _ = candidates(written(labelled(nodes, roots).select(*NODE.names), "left"), few, alone=False)
+        pairs = written(ends(found).join(pairs, ["u", "v"], "left_anti"), "listed")
+        roots = grown(roots, verified(docs, nodes, pairs, key=key, text=text))
+    unlisted = written(found.where("not listed").select("u", "v").distinct(), "unlisted")
+    if not unlisted.isEmpty():
+        rows = unsettled(nodes, roots, unlisted)
+        if not rows.isEmpty():
+            roots = grown(roots, settled(docs, rows, key=key, text=text))
     named = lowest_of(roots, nodes.select("id", "first", F.col("rows").alias("n")), "id")
     return hot_join(marked.select("key", "id"), named, ["id"], "n").select(F.col("key").alias(key), F.col("id").alias("fp"), "component_id", "root")
 

@@ -123,3 +123,65 @@ def test_tiles_follow_nodes_and_not_ranges(spark):
         assert [(t["low"], t["high"]) for t in tiles] == [(h["n"].min(), h["n"].max()) for h in held]
         nodes = np.concatenate(held)
         assert (np.diff(nodes["n"]) >= 0).all() and sorted(nodes["id"]) == list(range(1000))
+
+
+def dense_rows() -> list[tuple[int, str]]:
+    """A group of copies, and texts beside it that are candidates of all of them but near copies of none."""
+    base = prose(700, 300).split()
+
+    def changed(k: int, words: list[int]) -> str:
+        return " ".join(f"x{k}" if i in words else w for i, w in enumerate(base))
+
+    copies = [(k, changed(k, [7 * (k % 40) + 5])) for k in range(150)]
+    beside = [(1000 + k, changed(1000 + k, [*range(k % 25 + 3, 300, 28)])) for k in range(40)]
+    return copies + beside
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 1 << 14])
+def test_the_pairs_of_a_dense_group_are_no_rows(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "SET_FROM", tile, raising=False)
+    rows, seen, verified, settled = dense_rows(), [], near_copies.verified, getattr(near_copies, "settled", None)
+
+    def counted(docs, nodes, pairs, **names):
+        seen.append(pairs.count())
+        return verified(docs, nodes, pairs, **names)
+
+    def links(docs, nodes, **names):
+        seen.append(nodes.count())
+        made = settled(docs, nodes, **names)
+        seen.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    monkeypatch.setattr(near_copies, "settled", links, raising=False)
+    found = near_copies.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted({r["component_id"] for r in found}) == brute_kept(rows)
+    assert sum(seen) <= 8 * len(rows), seen
+
+
+def test_links_of_tiles_join_what_is_alike():
+    """Tiles that share a group, against all pairs; nothing is joined over groups, and labels that are one already aren't compared."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 63, 60).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.r_[base[k % 4][rng.random(60) < 0.97], rng.integers(0, 1 << 63, 1 + k % 5).astype(np.uint64)]) for k in range(80)]
+    nodes = np.zeros(80, near_copies.GROUPED)
+    nodes["id"] = nodes["label"] = np.arange(80)
+    nodes["grp"], nodes["n"] = np.arange(80) // 4 % 2, [len(x) for x in sets]
+    order = np.lexsort((nodes["id"], nodes["n"], nodes["grp"]))
+    nodes, sets = nodes[order], [sets[k] for k in order]
+    nodes["label"][:3] = nodes["label"][0]
+
+    def groups(pairs) -> set[frozenset]:
+        top = {int(x): int(x) for x in nodes["label"]}
+        for u, v in pairs:
+            old, new = top[int(u)], top[int(v)]
+            top = {k: new if t == old else t for k, t in top.items()}
+        return {frozenset(k for k in top if top[k] == t) for t in top.values()}
+
+    want = [(nodes["label"][i], nodes["label"][j]) for i in range(80) for j in range(i) if nodes["grp"][i] == nodes["grp"][j] and 5 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - both)]
+    got = []
+    for a, b in [(slice(0, 55), slice(0, 55)), (slice(0, 55), slice(55, 80)), (slice(55, 80), slice(55, 80))]:
+        u, v = near_copies.links(nodes[a], sets[a], nodes[b], sets[b], a == b)
+        assert len(u) < len(set(nodes["label"][a]) | set(nodes["label"][b]))
+        got += zip(u, v, strict=True)
+    assert groups(got) == groups(want) and 2 < len(groups(want)) < 20
