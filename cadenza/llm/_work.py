@@ -116,15 +116,16 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             _delete(spark, path)
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, *, keys: int = HOT_KEYS) -> DataFrame:
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, *, keys: int = HOT_KEYS, least: int | None = None, merge: bool = False) -> DataFrame:
     """The inner join of ``rows`` with ``keyed``, a written table with one row a key; its column ``n`` says how many
-    rows have the key. Hot keys, fewer than ``keys`` whatever the input, are broadcast, so that no task gets all rows
-    of one; the others are joined as Spark likes."""
+    rows have the key. Hot keys, fewer than ``keys`` whatever the input and of more than ``least`` rows (HOT_ROWS), are broadcast, so that
+    no task gets all rows of one; the others are joined as Spark likes, or with ``merge`` by a shuffle at every size."""
     total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    least = max(HOT_ROWS, -(-total // keys))
+    least = max(HOT_ROWS if least is None else least, -(-total // keys))
+    known = keyed.hint("merge") if merge else keyed
     if most <= least:
-        return rows.join(keyed.drop(n), on)
-    hot, cold = keyed.where(F.col(n) > least).drop(n), keyed.where(F.col(n) <= least).drop(n)
+        return rows.join(known.drop(n), on)
+    hot, cold = keyed.where(F.col(n) > least).drop(n), known.where(F.col(n) <= least).drop(n)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 

@@ -7,8 +7,9 @@ bytes for the merge, as every text ends on both sides. Spark counts in how many
 each id's highest count, and joins both back to the documents' links.
 
 A document's links go as distinct pairs with how often they come, so that repeats inside it are one row. A batch with very
-many pairs is worked off in slices by A id. Pairs that very many documents share are joined by broadcasting those few, so
-that no task gets all rows of one.
+many pairs is worked off in slices by A id. Most rows are of few pairs: those that hold more than one in HOT_PAIRS of the rows,
+fewer than HOT_PAIRS whatever the input, are joined by a broadcast where the documents' links are, so that no task gets all rows of
+one; only the rows of the others are shuffled. The plan is one at every size.
 
 Nulls: a null text has no tokens, as an empty one and one whose tokens' bytes differ from a space and the text (a normalising
 tokenizer, or unknown pieces). A null key is kept. Repeated rows are documents of their own. Very long texts are aligned
@@ -35,6 +36,8 @@ from cadenza.llm.packing import COMMON, quick, tokenizer_path
 SPACE = "▁"
 #: Bits that an id takes in the keys of pairs, and pairs that a slice holds.
 ID_BITS, HELD = 20, 1 << 22
+#: Pairs that are broadcast are fewer than this, of some 50 bytes.
+HOT_PAIRS = 1 << 16
 #: Rows of a partition are numbered below this.
 ROWS = 1 << 40
 SHAPE = "nth int, at long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<long>"
@@ -209,7 +212,7 @@ def pair_counts(table: DataFrame) -> DataFrame:
 
 def counted(table: DataFrame, counts: DataFrame) -> DataFrame:
     """The documents of a written table of ``aligned``, with n_best, n_best_b and count_sum of their links."""
-    known = hot_join(links(table), counts.withColumn("rows", F.col("n")), ["a", "b"], "rows")
+    known = hot_join(links(table), counts.withColumn("rows", F.col("n")), ["a", "b"], "rows", keys=HOT_PAIRS, least=1, merge=True)
     sums = known.groupBy("at").agg(
         F.sum(F.when(F.col("best_a"), F.col("times")).otherwise(0)).alias("n_best"),
         F.sum(F.when(F.col("best_b"), F.col("times")).otherwise(0)).alias("n_best_b"),

@@ -147,6 +147,19 @@ def test_alignment_equals_brute_force(spark):
     assert got == dict(enumerate(brute(texts)))
 
 
+@pytest.mark.parametrize("hot", [1, 300, 1 << 16])
+def test_counts_are_joined_by_one_plan_at_every_size(spark, monkeypatch, hot):
+    """Also a table of counts that Spark would broadcast: pairs of few rows are shuffled, and only those."""
+    monkeypatch.setattr(alignment, "HOT_PAIRS", hot, raising=False)
+    texts = [*[prose(n, 40) for n in range(30)], "the same text", "the same text", None]
+    docs = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    table = written(alignment.aligned(docs), "aligned")
+    made = alignment.counted(table, alignment.pair_counts(table))
+    assert {int(r.key): tuple(r[c] for c in NAMES) for r in made.collect()} == dict(enumerate(brute(texts)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 1 and plan.count("strategy=broadcast") == (0 if hot == 1 else 2), plan
+
+
 def test_slices_hold_the_same_pairs(monkeypatch):
     rng = np.random.default_rng(0)
     doc = np.sort(rng.integers(0, 9, 60))
