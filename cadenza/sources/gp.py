@@ -11,7 +11,7 @@ import zipfile
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,30 +130,31 @@ def _nodes(scores: DataFrame, group: str, item: str, value: Column, name: str) -
 
 
 def bar_pitches(scores: DataFrame) -> DataFrame:
-    """(path, bar, track_index, track, pitches) of every bar and track, silent ones too; pitches sorted and distinct."""
-    good = scores.where("error is null")
-    tracks = good.select("path", F.posexplode("score.Tracks.Track").alias("track_index", "t")).select("path", "track_index", F.col("t.Name").alias("track"))
-    grid = master_bars(scores).join(tracks, "path").withColumn("bar_id", F.get("bar_ids", F.col("track_index"))).drop("bar_ids", "time_signature", "quarter_beats")
+    """(path, bar, track_index, track, pitches) of every bar and track, silent ones too; pitches sorted and distinct.
+
+    All joins are by sorted shuffles: Spark takes the size of exploded nodes from the file of scores, which is far smaller.
+    """
+    each = scores.where("error is null").select("path", F.posexplode("score.MasterBars.MasterBar").alias("bar", "m"), F.col("score.Tracks.Track").alias("tracks"))
+    grid = each.select("path", "bar", split(F.col("m.Bars")).alias("bar_ids"), F.posexplode("tracks").alias("track_index", "t"))
+    grid = grid.select("path", "bar", "track_index", F.col("t.Name").alias("track"), F.get("bar_ids", F.col("track_index")).alias("bar_id"))
     bars = _nodes(scores, "Bars", "Bar", F.col("x.Voices"), "bar").where(F.trim("value") != "-1")
     voices = _nodes(scores, "Voices", "Voice", F.col("x.Beats"), "voice")
     beats = _nodes(scores, "Beats", "Beat", F.col("x.Notes"), "beat")
     midi = F.get(F.filter("x.Properties.Property", lambda p: p["_name"] == "Midi"), F.lit(0))["Number"].try_cast("int")
     notes = _nodes(scores, "Notes", "Note", midi, "note").where("value is not null").withColumnRenamed("value", "midi")
-    walk = grid.join(bars, ["path", "bar_id"]).select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("voice_id"))
-    walk = walk.join(voices, ["path", "voice_id"]).where("value is not null").select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("beat_id"))
-    walk = walk.join(beats, ["path", "beat_id"]).where("value is not null").select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("note_id"))
-    found = walk.join(notes, ["path", "note_id"]).groupBy("path", "bar", "track_index").agg(F.array_sort(F.collect_set("midi")).alias("pitches"))
-    out = grid.join(found, ["path", "bar", "track_index"], "left")
+    walk = grid.join(bars.hint("merge"), ["path", "bar_id"]).select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("voice_id"))
+    walk = walk.join(voices.hint("merge"), ["path", "voice_id"]).where("value is not null").select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("beat_id"))
+    walk = walk.join(beats.hint("merge"), ["path", "beat_id"]).where("value is not null").select("path", "bar", "track_index", F.explode(split(F.col("value"))).alias("note_id"))
+    found = walk.join(notes.hint("merge"), ["path", "note_id"]).groupBy("path", "bar", "track_index").agg(F.array_sort(F.collect_set("midi")).alias("pitches"))
+    out = grid.join(found.hint("merge"), ["path", "bar", "track_index"], "left")
     return out.select("path", "bar", "track_index", "track", F.coalesce("pitches", F.array().cast("array<int>")).alias("pitches"))
 
 
 def bars_for(scores: DataFrame, harmony_track: str, root_track: str) -> DataFrame:
     """Bars of each file for the matcher: (song, bar, harmony, root, quarter_beats). Of tracks of one name the last
     counts; a track that isn't there is silent."""
-    last = Window.partitionBy("path", "bar", "track").orderBy(F.desc("track_index"))
-    pitches = bar_pitches(scores).withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    out = master_bars(scores).select("path", "bar", "quarter_beats")
-    for name, track in (("harmony", harmony_track), ("root", root_track)):
-        own = pitches.where(F.col("track") == track).select("path", "bar", F.col("pitches").alias(name))
-        out = out.join(own, ["path", "bar"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
-    return out.withColumnRenamed("path", "song")
+    tracks, none = {"harmony": harmony_track, "root": root_track}, F.array().cast("array<int>")
+    last = lambda t: F.max_by("pitches", F.when(F.col("track") == t, F.col("track_index")))
+    own = bar_pitches(scores).where(F.col("track").isin(*tracks.values())).groupBy("path", "bar").agg(*(last(t).alias(name) for name, t in tracks.items()))
+    out = master_bars(scores).select("path", "bar", "quarter_beats").join(own.hint("merge"), ["path", "bar"], "left")
+    return out.withColumns({name: F.coalesce(name, none) for name in tracks}).withColumnRenamed("path", "song")

@@ -207,6 +207,14 @@ def test_of_tracks_with_one_name_the_last_counts(scores):
     assert [(r["harmony"], r["root"]) for r in rows] == [([36, 60, 64, 67], []), ([], []), ([36, 60, 64, 67], [])]
 
 
+def test_no_nodes_of_scores_go_through_the_driver(spark, scores, tmp_path):
+    scores.write.parquet(str(tmp_path / "scores"))  # a small file, whatever it explodes to
+    read = spark.read.schema(scores.schema).parquet(str(tmp_path / "scores"))
+    made = gp.bars_for(read, "Guitar", "Bass")
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r["harmony"], r["root"], r["quarter_beats"]) for r in made.orderBy("bar").collect()] == [([36, 60, 64, 67], [36], 3.0), ([], [], 4.0), ([36, 60, 64, 67], [], 4.0)]
+
+
 # other sources
 
 
