@@ -17,6 +17,24 @@ def offsets(steps: DataFrame, *, song: str = "song", pos: str = "pos", run: int
     return scanned(dur, [song], [F.col(pos)], {"begin": Sum(F.col("dur"), inclusive=False), "total": Total(F.col("dur"))}, run=run)
 
 
+def placed(steps: DataFrame, *, song: str, pos: str) -> DataFrame:
+    """(song, index, begin, dur, total, offset) of steps, null offsets as 0."""
+    return offsets(steps, song=song, pos=pos).select(song, F.col(pos).cast("long").alias("index"), "begin", "dur", "total", F.coalesce("offset_eighths", F.lit(0)).alias("offset"))
+
+
+def told(rows: DataFrame, song: str, line: Column, now: Column, soon: Column) -> DataFrame:
+    """The events of steps at eighths (the columns of ``placed``, tick, sub and eighth): the cell of the timeline where ``line``
+    holds, the step where ``now`` holds, and the step an eighth early where ``soon`` holds. A step of no song (null) isn't heard."""
+    heard, sub, offset = F.col(song).isNotNull(), F.col("sub"), F.col("offset")
+    now, soon = heard & now & ((offset >= 0) | (F.col("eighth") <= 0)), heard & soon & (offset < 0) & (offset >= -1)
+    each = rows.withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    kind = F.col("_kind")
+    each = each.where(((kind == 0) & line) | ((kind == 1) & now) | ((kind == 2) & soon))
+    value = F.when(kind == 0, F.pmod("eighth", "total")).otherwise(F.col("index"))
+    at = F.when(kind == 0, sub).when(kind == 1, sub + F.greatest(offset, F.lit(0))).otherwise(sub + 1 + offset)
+    return each.select(song, "tick", "eighth", F.when(kind == 0, "timeline").otherwise("step").alias("type"), value.cast("long").alias("value"), at.cast("double").alias("at"))
+
+
 def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
     """Events of each song at each tick (tick: the global eighth at which it comes; each covers two eighths).
 
@@ -39,6 +57,22 @@ def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str =
     return line.unionAll(now).unionAll(soon)
 
 
+def cycle_events(steps: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:
+    """The events of ``events`` at ``cycle_ticks``, of which each step gives those in its own eighths: no ticks are joined, and
+    nothing is shuffled after the onsets."""
+    total, begin = F.col("total"), F.col("begin")
+    first, last = F.lit(-2).cast("long"), total - 1 + total % 2  # a tick covers two eighths
+    until = begin + F.col("dur") - 1
+    # the rounds in which an eighth of the step, or the one before it, is in the cycle
+    rounds = F.sequence(-F.floor((until - first) / total), F.floor((last - begin + 1) / total))
+    shift = F.col("_round") * total
+    each = placed(steps, song=song, pos=pos).withColumn("_round", F.explode(rounds))
+    each = each.withColumn("eighth", F.explode(F.sequence(F.greatest(first, begin + shift - 1), F.least(last, until + shift))))
+    each = each.withColumn("sub", F.pmod("eighth", F.lit(2))).withColumn("tick", F.col("eighth") - F.col("sub"))
+    since = F.col("eighth") - begin - shift
+    return told(each, song, since >= 0, since == 0, since == -1)
+
+
 def cycle_ticks(steps: DataFrame, *, song: str = "song") -> DataFrame:
     """(song, tick): each song's ticks from two eighths before the start over one whole cycle."""
     length = steps.groupBy(song).agg(F.sum(th.step_eighths(F.col("beats"))).cast("long").alias("total"))

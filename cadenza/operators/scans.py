@@ -25,6 +25,8 @@ from cadenza.sources.shared import written
 
 #: Rows of a key that one task takes.
 RUN = 1 << 20
+#: Hashes of keys that are counted, a bound of the rows that this shuffles and sends to the driver.
+HASHES = 1 << 14
 START, BEFORE, NOW = Window.unboundedPreceding, -1, 0
 
 #: A window over more columns than the key and run, in order and up to the current row or the one before.
@@ -145,6 +147,14 @@ def longest(rows: DataFrame, key: list[str]) -> int:
     return rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
 
 
+def longer(rows: DataFrame, key: list[str], run: int) -> bool:
+    """Whether a key has more than ``run`` rows. Hashes of keys are counted first, so that few rows are shuffled; keys are counted
+    only where a hash has that many."""
+    code = F.pmod(F.xxhash64(*key), F.lit(HASHES))
+    full = [r["_code"] for r in rows.groupBy(code.alias("_code")).count().where(F.col("count") > run).select("_code").collect()]
+    return bool(full) and longest(rows.where(code.isin(full)), key) > run
+
+
 def over(by: list[str], order: list[Column]) -> Over:
     def window(*more: str, upto: int | None = NOW) -> WindowSpec:
         w = Window.partitionBy(*by, *more).orderBy(*order)
@@ -164,7 +174,7 @@ def runs(rows: DataFrame, key: list[str], order: list[Column], run: int) -> Data
 
 def scanned(rows: DataFrame, key: list[str], order: list[Column], scans: dict[str | tuple[str, ...], Scan], *, run: int = RUN) -> DataFrame:
     """``rows`` with a column for each scan (two for a Streak: its name is a pair), in each key by ``order``."""
-    split = longest(rows, key) > run
+    split = longer(rows, key, run)
     laid = runs(rows, key, order, run) if split else rows
     by = [*key, "_run"] if split else key
     window = over(by, [F.col("_at")] if split else order)

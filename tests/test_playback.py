@@ -1,6 +1,7 @@
 """Playback, quiz, streams, score files and other sources, on literal cases."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -61,6 +62,23 @@ def test_each_song_plays_its_whole_cycle(spark):
     assert sorted((r["tick"], r["value"], r["at"]) for r in got if r["song"] == 2 and r["type"] == "step") == sorted((t, v, a) for t in ticks[2] for t, _, v, a in loop([(1.5, 0), (1.0, 0)], t))
 
 
+def random_songs(spark):
+    rng = random.Random(5)
+    rows = [(song, n, str(n), rng.choice([None, 0.1, 0.5, 1.0, 1.5, 4.0]), rng.choice([None, -3, -1, -1, 0, 2])) for song in range(60) for n in range(rng.choice([1, 1, 2, 5]))]
+    return spark.createDataFrame([*rows, (None, 0, "0", 1.0, -1)], STEPS)
+
+
+def test_a_whole_cycle_takes_no_join(spark):
+    steps = random_songs(spark)
+    made = playback.cycle_events(steps)
+    songs = playback.events(steps, playback.cycle_ticks(steps))
+    assert made.where("song is not null").count() > 500
+    assert sorted(map(str, made.where("song is not null").collect())) == sorted(map(str, songs.collect()))
+    assert {(r["type"], r["tick"]) for r in made.where("song is null").collect()} == {("timeline", -2), ("timeline", 0)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_positions(spark):
     steps = spark.createDataFrame([(1, 0, "a", 2.0, None), (1, 1, "b", None, None)], STEPS)
     at = spark.createDataFrame([(1, p) for p in (0, 3, 4, 11, 12)], "song int, position int")

@@ -147,3 +147,13 @@ def test_debounce_equals_the_greedy_chain_and_the_stream(spark, tmp_path, run):
         stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/taps")
         assert sorted(map(tuple, sessions.drained(sessions.debounced(stream, 100), f"{tmp_path}/out").collect())) == got
     assert playback.debounced(frame.limit(0), 100).count() == 0
+
+
+def test_keys_are_counted_only_where_their_hash_is_full(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, n) for k in (1, 2, None) for n in range(4)], "k int, n int")
+    counted, whole = [], scans.longest
+    monkeypatch.setattr(scans, "longest", lambda *a: counted.append(a) or whole(*a))
+    assert not scans.longer(rows, ["k"], 1000) and not scans.longer(rows.limit(0), ["k"], 0) and not counted
+    assert scans.longer(rows, ["k"], 3) and not scans.longer(rows, ["k"], 4)
+    monkeypatch.setattr(scans, "HASHES", 1)
+    assert scans.longer(rows, ["k"], 3) and not scans.longer(rows, ["k"], 4)
