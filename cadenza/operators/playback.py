@@ -41,20 +41,27 @@ def events(steps: DataFrame, ticks: DataFrame, *, song: str = "song", pos: str =
     Columns song, tick, eighth, type ('timeline' or 'step'), value (cycle position or step index) and at, in eighths
     from the tick. ``ticks`` is one list for all songs, or has the song's column and is each song's own; it may be a stream.
     A step comes at its onset, or later by a positive offset; an offset of -1 brings it an eighth early, and any negative
-    one at its onset only in the first eighths. Both rules are equi-joins on the cycle position.
+    one at its onset only in the first eighths.
+
+    One list is bounded and goes to all steps, of which each gives the events in its own eighths, so that after the onsets nothing
+    is shuffled. Where it is a stream, the onsets are written once and each batch only reads them. Lists of songs are joined by
+    cycle position; for those of ``cycle_ticks``, ``cycle_events`` does without.
     """
-    placed = offsets(steps, song=song, pos=pos).withColumn("offset", F.coalesce("offset_eighths", F.lit(0)))
-    length = placed.groupBy(song).agg(F.first("total").alias("total"))
-    each = length.join(ticks, song) if song in ticks.columns else length.join(ticks if ticks.isStreaming else F.broadcast(ticks))  # one list is bounded
-    grid = each.withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1))))
-    grid = grid.withColumn("eighth", F.col("tick") + F.col("sub")).withColumn("cycle", F.pmod("eighth", "total"))
-    line = grid.select(song, "tick", "eighth", F.lit("timeline").alias("type"), F.col("cycle").cast("long").alias("value"), F.col("sub").cast("double").alias("at"))
-    onset = placed.select(F.col(song).alias("_song"), F.col(pos).alias("index"), "begin", "offset")
-    now = grid.join(onset, (F.col(song) == F.col("_song")) & (F.col("cycle") == F.col("begin"))).where((F.col("offset") >= 0) | (F.col("eighth") <= 0))
-    now = now.select(song, "tick", "eighth", F.lit("step").alias("type"), F.col("index").cast("long").alias("value"), (F.col("sub") + F.greatest("offset", F.lit(0))).cast("double").alias("at"))
-    soon = grid.withColumn("next", F.pmod(F.col("cycle") + 1, "total")).join(onset, (F.col(song) == F.col("_song")) & (F.col("next") == F.col("begin"))).where("offset < 0 and offset >= -1")
-    soon = soon.select(song, "tick", "eighth", F.lit("step").alias("type"), F.col("index").cast("long").alias("value"), (F.col("sub") + 1 + F.col("offset")).cast("double").alias("at"))
-    return line.unionAll(now).unionAll(soon)
+    own = song in ticks.columns
+    onsets = placed(steps, song=song, pos=pos)
+    cells = ticks.withColumn("sub", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("eighth", F.col("tick") + F.col("sub"))
+    cycle, after, begin = F.pmod("eighth", "total"), F.pmod(F.col("eighth") + 1, F.col("total")), F.col("begin")
+    if not own:
+        inside, soon = (cycle >= begin) & (cycle < begin + F.col("dur")), (after == begin) & (F.col("offset") < 0)
+        each = written(onsets, "onsets").join(cells, inside | soon) if ticks.isStreaming else onsets.join(F.broadcast(cells), inside | soon)
+        return told(each, song, inside, cycle == begin, after == begin)
+    grid = onsets.groupBy(song).agg(F.first("total").alias("total")).join(cells, song)
+    line = grid.select(song, "tick", "eighth", F.lit("timeline").alias("type"), cycle.cast("long").alias("value"), F.col("sub").cast("double").alias("at"))
+    found = [line]
+    for at, now in ((cycle, True), (after, False)):
+        steps_at = grid.withColumn("begin", at).join(onsets.drop("total"), [song, "begin"])
+        found.append(told(steps_at, song, F.lit(False), F.lit(now), F.lit(not now)))
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 def cycle_events(steps: DataFrame, *, song: str = "song", pos: str = "pos") -> DataFrame:

@@ -79,6 +79,16 @@ def test_a_whole_cycle_takes_no_join(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_a_list_of_ticks_takes_no_shuffle_after_the_onsets(spark):
+    steps, ticks = random_songs(spark), spark.range(9).select((F.col("id") * 2 - 2).alias("tick"))
+    made = playback.events(steps, ticks)
+    songs = playback.events(steps, steps.select("song").distinct().join(ticks))
+    assert sorted(map(str, made.where("song is not null").collect())) == sorted(map(str, songs.collect()))
+    assert {r["type"] for r in made.where("song is null").collect()} == {"timeline"}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "SortMergeJoin" not in plan
+
+
 def test_positions(spark):
     steps = spark.createDataFrame([(1, 0, "a", 2.0, None), (1, 1, "b", None, None)], STEPS)
     at = spark.createDataFrame([(1, p) for p in (0, 3, 4, 11, 12)], "song int, position int")
