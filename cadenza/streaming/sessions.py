@@ -88,7 +88,8 @@ def tick_source(spark: SparkSession, bpm: int) -> DataFrame:
 
 
 def playback(steps: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Playback events of a stream of ticks: a static table of steps joined to it, without state."""
+    """Playback events of a stream of ticks: a static table of steps joined to it, without state. The steps' onsets are written
+    once, and a batch of ticks only reads them."""
     return events(steps, ticks)
 
 

@@ -89,6 +89,16 @@ def test_a_list_of_ticks_takes_no_shuffle_after_the_onsets(spark):
     assert plan.count("Exchange hash") == 1 and "SortMergeJoin" not in plan
 
 
+def test_batches_of_ticks_dont_place_steps_anew(spark, tmp_path):
+    steps, ticks = random_songs(spark), spark.range(9).select((F.col("id") * 2 - 2).alias("tick"))
+    ticks.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("tick long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = sessions.playback(steps, stream)
+    assert "Window" not in made._jdf.queryExecution().analyzed().toString()
+    got = sessions.drained(made, f"file://{tmp_path}/out")
+    assert sorted(map(str, got.collect())) == sorted(map(str, playback.events(steps, ticks).collect()))
+
+
 def test_positions(spark):
     steps = spark.createDataFrame([(1, 0, "a", 2.0, None), (1, 1, "b", None, None)], STEPS)
     at = spark.createDataFrame([(1, p) for p in (0, 3, 4, 11, 12)], "song int, position int")
