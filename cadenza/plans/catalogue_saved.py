@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from cadenza.operators import edit_log, library
+from cadenza.operators import structure_rows as tabular
 from cadenza.plans import bindings as bind
-from cadenza.plans.catalogue import QUERIES, archive, first_bars, numbered_bars, query, section_at, stored, structure_tables
+from cadenza.plans.catalogue import QUERIES, archive, first_bars, query, stored, structure_tables, text
 from cadenza.plans.catalogue_library import NOW, number
 from cadenza.sources import gp, saved, score_files, shared
 
@@ -57,12 +58,13 @@ def edit_log_bars(spark, sf_dir):
     """Four edits of each document: a bar is added to the first section, the document's first bar moves to the third section,
     the first section takes the third one's place, and the second one is removed."""
     made = structure_tables(spark, sf_dir)
-    one, two, three = (section_at(made, k).select("doc", "section_id") for k in range(3))
+    at = [F.max(F.when(F.col("place") == k, F.col("section_id"))).alias(name) for k, name in enumerate(("one", "two", "three"))]
+    heads = shared.written(tabular.section_places(made.sections).where("place < 3").groupBy("doc").agg(*at), "heads")
+    one, two, three = (heads.where(f"{name} is not null").select("doc", F.col(name).alias("section_id")) for name in ("one", "two", "three"))
     edit = lambda rows, seq, op, bar="cast(null as string)", over="cast(null as string)": rows.selectExpr("doc", f"{seq}L as seq", f"'{op}' as op", "section_id", f"{bar} as bar_id", f"{over} as over")
     log = edit(one, 1, "add_bar", bar="'added'")
     log = log.unionByName(edit(three.join(first_bars(spark, sf_dir), "doc"), 2, "move_bar", bar="bar_id"))
     log = log.unionByName(edit(one.join(three.withColumnRenamed("section_id", "third"), "doc"), 3, "reorder", over="third"))
     log = shared.written(log.unionByName(edit(two, 4, "remove_section")), "log")
     new = one.selectExpr("doc", "'added' as bar_id", "'6/8' as time_signature", "cast(null as array<int>) as accents")
-    _, bars, listings = edit_log.applied(made.sections, made.bars, made.listings, log, new_bars=new)
-    return numbered_bars(bars, listings)
+    return edit_log.numbered(made.sections, made.placed, log, new_bars=new).select("doc", "bar_id", "bar_index", "time_signature", text("accents").alias("accents"))

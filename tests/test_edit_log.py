@@ -87,3 +87,26 @@ def test_random_logs(spark, seed):
 def test_nothing(spark):
     empty = [t.limit(0) for t in tables(spark, [random_case(random.Random(3))])]
     assert [t.count() for t in edit_log.applied(*empty[:4])] == [0, 0, 0]
+
+
+def test_only_edited_bars_are_followed(spark, monkeypatch):
+    case = [["s0", [f"b{n:02}" for n in range(30)]], ["s1", ["c"]]], [f"b{n:02}" for n in range(30)] + ["c", "loose"], [("move_bar", "s1", "b07", None), ("remove_bar", None, "b08", None)]
+    followed, whole = [], edit_log.placements
+    monkeypatch.setattr(edit_log, "placements", lambda bars, *a: followed.append(bars.count()) or whole(bars, *a))
+    sections, bars, listings, log, _, _ = tables(spark, [case])
+    _, left, listed = edit_log.applied(sections, bars, listings, log)
+    assert [r["bar_id"] for r in tabular.reindexed(left, listed).orderBy("bar_index").collect()] == in_turn(*case)[0]
+    assert followed == [2]
+
+
+@pytest.mark.parametrize("run", [1, 1 << 20])
+def test_numbers_of_documents_long_and_short(spark, run):
+    rng = random.Random(4)
+    cases = [random_case(rng) for _ in range(100)]
+    sections, bars, listings, log, new_bars, _ = tables(spark, cases)
+    placed = bars.join(listings.drop("at"), ["doc", "bar_id"], "left")
+    got = {}
+    for r in edit_log.numbered(sections, placed, log, new_bars=new_bars, run=run).collect():
+        got.setdefault(r["doc"], {})[r["bar_index"]] = r["bar_id"]
+    for d, case in enumerate(cases):
+        assert got.get(d, {}) == dict(enumerate(in_turn(*case)[0])), case
